@@ -130,13 +130,15 @@ def random_n(df: DataFrame, n: int, seed: int | str, total: int | None = None) -
 
 
 def exact_rank(df: DataFrame, key: Column, tie: str = "row_id", out: str = "rank",
-               pieces: int = 512) -> DataFrame:
+               pieces: int | None = None) -> DataFrame:
     """0-based position of every row under (key, tie).
 
     The key range is cut at approximate quantiles. A value that is itself a cut gets a bucket of its own,
     and those buckets are cut again along `tie`, so one value held by a third of all rows still spreads
     over many tasks. Counts per bucket (a bounded table) give the offsets.
     """
+    if pieces is None:  # a few buckets per shuffle partition
+        pieces = max(2, min(512, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     fractions = [i / pieces for i in range(1, pieces)]
     work = df.withColumn("_k", key.cast("double"))
     cuts = work.agg(F.percentile_approx("_k", fractions, 10 * pieces).alias("k"),
@@ -145,16 +147,16 @@ def exact_rank(df: DataFrame, key: Column, tie: str = "row_id", out: str = "rank
     work = _bucketed(work, "_k", key_cuts, "_b")
     at_cut = F.element_at(F.array(*[F.lit(c) for c in [float("-inf")] + key_cuts]),
                           (F.col("_b") + 1).cast("int")) == F.col("_k")
-    work = _bucketed(work.withColumn("_tie", F.col(tie).cast("double")), "_tie", tie_cuts, "_s")
-    work = (work.withColumn("_b", F.col("_b") * 2 + F.when(at_cut, 0).otherwise(1))
-            .withColumn("_s", F.when(at_cut, F.col("_s")).otherwise(F.lit(0.0))))
+    work = _bucketed(work.withColumns({"_tie": F.col(tie).cast("double"), "_cut": at_cut}), "_tie", tie_cuts, "_s")
+    work = work.withColumns({"_b": F.col("_b") * 2 + F.when(F.col("_cut"), 0).otherwise(1),
+                             "_s": F.when(F.col("_cut"), F.col("_s")).otherwise(F.lit(0.0))})
     before = Window.orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (work.groupBy("_b", "_s").count()
                .select("_b", "_s", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o")))
     inside = Window.partitionBy("_b", "_s").orderBy("_k", tie)
-    return (work.withColumn("_n", F.row_number().over(inside)).join(offsets, ["_b", "_s"])
-            .withColumn(out, (F.col("_o") + F.col("_n") - 1).cast("bigint"))
-            .drop("_k", "_b", "_s", "_o", "_n", "_tie"))
+    return (work.withColumn("_i", F.row_number().over(inside)).join(offsets, ["_b", "_s"])
+            .withColumn(out, (F.col("_o") + F.col("_i") - 1).cast("bigint"))
+            .drop("_k", "_b", "_s", "_o", "_i", "_tie", "_cut"))
 
 
 def _bucketed(df: DataFrame, col: str, cuts: list[float], out: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import space_queries
+from . import feature_queries, space_queries
 
-_FAMILIES = [space_queries]
+_FAMILIES = [space_queries, feature_queries]
 
 QUERIES = {name: fn for family in _FAMILIES for name, fn in family.Q.items()}
 SQL = {name: text for family in _FAMILIES for name, text in family.SQL.items()}
