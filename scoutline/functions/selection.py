@@ -8,6 +8,7 @@ operators that need the position of *every* row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -42,10 +43,15 @@ class _Range:
         return F.least(F.floor(at), F.lit(BINS - 1)).cast("int")
 
 
-def thresholds(df: DataFrame, key: Column | str, tie: Column | str, ranks: list[int]) -> list[tuple]:
-    """The (key, tie) pair at each 1-based rank of the ascending order; `tie` must be unique per key."""
+def thresholds(df: DataFrame, key: Column | str, tie: Column | str,
+               ranks: list[int] | Callable[[int], list[int]]) -> list[tuple]:
+    """The (key, tie) pair at each 1-based rank of the ascending order; `tie` must be unique per key.
+
+    `ranks` may be a function of the number of rows, which is counted here anyway.
+    """
     work = df.select(_named(key, "_k"), _named(tie, "_t")).where(F.col("_k").isNotNull())
     ends = work.agg(F.count("*").alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
+    ranks = ranks(ends["n"]) if callable(ranks) else ranks
     for rank in ranks:
         if not 1 <= rank <= ends["n"]:
             raise ValueError(f"rank {rank} outside 1..{ends['n']}")
@@ -113,19 +119,29 @@ def _rows_of(work: DataFrame, ranges: list[_Range]) -> dict[_Range, list[tuple]]
     return {r: sorted(v) for r, v in out.items()}
 
 
-def first_n_by(df: DataFrame, n: int, key: Column, tie: str = "row_id") -> Column:
-    """Predicate that holds for exactly the n rows smallest by (key, tie). No shuffle of the rows."""
-    if n <= 0:
+def first_n_by(df: DataFrame, n: int | Callable[[int], int], key: Column, tie: str = "row_id") -> Column:
+    """Predicate that holds for exactly the n rows smallest by (key, tie). No shuffle of the rows.
+
+    `n` may be a function of the number of rows.
+    """
+    everything = []
+
+    def ranks(total: int) -> list[int]:
+        size = n(total) if callable(n) else n
+        everything.append(size >= total)
+        return [size] if 0 < size < total else []
+
+    if not callable(n) and n <= 0:
         return F.lit(False)
-    k, t = thresholds(df, key, tie, [n])[0]
+    cut = thresholds(df, key, tie, ranks)
+    if not cut:
+        return F.lit(everything[0])
+    k, t = cut[0]
     return (key < F.lit(k)) | ((key == F.lit(k)) & (F.col(tie) <= F.lit(t)))
 
 
-def random_n(df: DataFrame, n: int, seed: int | str, total: int | None = None) -> Column:
+def random_n(df: DataFrame, n: int | Callable[[int], int], seed: int | str) -> Column:
     """Predicate for exactly n rows without replacement: the first n in portable hash order."""
-    total = df.count() if total is None else total
-    if n >= total:
-        return F.lit(True)
     return first_n_by(df, n, portable_hash("row_id", seed))
 
 

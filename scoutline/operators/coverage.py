@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,9 +92,11 @@ def index_points(df: DataFrame, delta: float, keep: list[str] = (), extra: list[
     """
     points = df.groupBy("features", *keep).agg(F.min("row_id").alias("pid"), F.count("*").alias("weight"), *extra).persist()
     try:
-        pivot_count = int(np.clip(points.count() // (4 * BLOCK_ROWS), 1, MAX_PIVOTS))
+        size = Observation()
         # Any points serve as pivots; the exactness does not depend on them.
-        chosen = points.orderBy(portable_hash("pid", "pivot"), "pid").limit(pivot_count).select("features").collect()
+        chosen = (points.observe(size, F.count(F.lit(1)).alias("n")).orderBy(portable_hash("pid", "pivot"), "pid")
+                  .limit(MAX_PIVOTS).select("features").collect())
+        chosen = chosen[:int(np.clip(size.get["n"] // (4 * BLOCK_ROWS), 1, MAX_PIVOTS))]
         if not chosen:
             empty = points.withColumns({"cell": F.lit(0), "dist": F.lit(0.0), "ring": F.lit(0)})
             return PointIndex(cut_lineage(empty), np.zeros((1, 1)), delta)

@@ -41,10 +41,14 @@ def top_ratio_mae(df: DataFrame, ratios: list[float] = RATIOS, label: str = "y",
 
     The cut of each ratio comes from `thresholds`; all ratios are then conditional sums of one scan.
     """
-    n = df.count()
-    ks = {r: int(n * r) for r in ratios}
-    wanted = sorted({k for k in ks.values() if k})
-    cuts = dict(zip(wanted, thresholds(df, -F.col(label), "row_id", wanted))) if wanted else {}
+    ks: dict[float, int] = {}
+
+    def wanted(n: int) -> list[int]:
+        ks.update({r: int(n * r) for r in ratios})
+        return sorted({k for k in ks.values() if k})
+
+    found = thresholds(df, -F.col(label), "row_id", wanted)
+    cuts = dict(zip(sorted({k for k in ks.values() if k}), found))
     err, key = F.abs(F.col(label) - F.col(pred)), -F.col(label)
 
     def mae(k: int) -> Column:
@@ -64,9 +68,7 @@ def rank_threshold_confusion(df: DataFrame, ratios: list[float] = RATIOS, label:
     Comparisons are strict: a label or prediction equal to the threshold is counted nowhere. A zero
     denominator gives null.
     """
-    n = df.count()
-    at = [int(r * n) + 1 for r in ratios]
-    cuts = thresholds(df, F.col(label), "row_id", at)
+    cuts = thresholds(df, F.col(label), "row_id", lambda n: [int(r * n) + 1 for r in ratios])
     y, p = F.col(label), F.col(pred)
     counts = [F.struct(F.lit(r).alias("ratio"), F.lit(c).alias("threshold"),
                        F.count_if((y > c) & (p > c)).alias("tp"), F.count_if((y < c) & (p < c)).alias("tn"),

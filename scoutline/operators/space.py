@@ -64,11 +64,13 @@ def mask_keep_sample(df: DataFrame, n: int, lo: float = 0, hi: float = 30, seed:
     """Keep n random labels strictly between lo and hi, mask the rest. Fewer eligible rows are an error."""
     eligible = (F.col(label) > lo) & (F.col(label) < hi)
     pool = df.where(eligible)
-    have = pool.count()
-    if have < n:
-        raise ValueError(f"only {have} rows with {lo} < {label} < {hi}, {n} asked for")
-    return df.withColumn(label, F.when(eligible & random_n(pool, n, seed, have), F.col(label))
-                         .otherwise(F.lit(UNKNOWN)))
+
+    def enough(have: int) -> int:
+        if have < n:
+            raise ValueError(f"only {have} rows with {lo} < {label} < {hi}, {n} asked for")
+        return n
+
+    return df.withColumn(label, F.when(eligible & random_n(pool, enough, seed), F.col(label)).otherwise(F.lit(UNKNOWN)))
 
 
 def compose_reaction(df: DataFrame, parts: list[str], maps: dict[str, DataFrame], product: Column,

@@ -20,21 +20,18 @@ def _tag(df: DataFrame, is_test: Column) -> DataFrame:
 
 def split_exact(df: DataFrame, test_ratio: float, seed: int) -> DataFrame:
     """Exactly int(n * ratio) rows are test, without replacement."""
-    n = df.count()
-    return _tag(df, random_n(df, int(n * test_ratio), seed, n))
+    return _tag(df, random_n(df, lambda n: int(n * test_ratio), seed))
 
 
 def split_ratio(df: DataFrame, train_ratio: float = 0.8, seed: int = 0) -> DataFrame:
     """Exactly round(n * ratio) rows (half to even) are train."""
-    n = df.count()
-    return _tag(df, ~random_n(df, round(n * train_ratio), seed, n))
+    return _tag(df, ~random_n(df, lambda n: round(n * train_ratio), seed))
 
 
 def initial_set(df: DataFrame, n: int = 0, test_ratio: float = 0.95, seed: int = 0) -> DataFrame:
     """The start set in ascending id order: n rows, or all but int(ratio * rows) of them when n is 0."""
-    total = df.count()
-    size = n if n else total - int(test_ratio * total)
-    return df.where(random_n(df, size, seed, total)).orderBy("row_id")
+    size = n if n else lambda total: total - int(test_ratio * total)
+    return df.where(random_n(df, size, seed)).orderBy("row_id")
 
 
 def split_by_group(df: DataFrame, col: str, test_values: DataFrame | list) -> DataFrame:
@@ -60,9 +57,7 @@ def labelled_set(df: DataFrame, label: str = "yield", zero_is_known: bool = Fals
 
 def split_ordered(df: DataFrame, test_size: float = 0.95) -> DataFrame:
     """Unshuffled hold-out of the tail: the last ceil(n * size) rows by id are test."""
-    n = df.count()
-    n_train = n - math.ceil(n * test_size)
-    return _tag(df, ~first_n_by(df, n_train, F.col("row_id")))
+    return _tag(df, ~first_n_by(df, lambda n: n - math.ceil(n * test_size), F.col("row_id")))
 
 
 def union_splits(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -86,9 +81,8 @@ def active_init(df: DataFrame, init: float, seed: int, existing: DataFrame | Non
         rest = ids.join(known, "row_id", "left_anti")
         is_known = F.coalesce("_known", F.lit(False))
         return _status(ids.join(known, "row_id", "left"), is_known | random_n(rest, int(init), seed))
-    n = ids.count()
-    size = n if init == -1 else round(init * n) if init < 1.0 else round(init)
-    return _status(ids, random_n(ids, size, seed, n))
+    size = (lambda n: n) if init == -1 else (lambda n: round(init * n)) if init < 1.0 else round(init)
+    return _status(ids, random_n(ids, size, seed))
 
 
 def active_move(status: DataFrame, ids: DataFrame, is_global: bool = True) -> DataFrame:
