@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import portable_hash
+from .hashing import HASH_RANGE, portable_hash
 
 BINS = 2048
 FINISH_ROWS = 4096  # a range this small is read back and sorted on the driver
@@ -44,18 +44,25 @@ class _Range:
 
 
 def thresholds(df: DataFrame, key: Column | str, tie: Column | str,
-               ranks: list[int] | Callable[[int], list[int]]) -> list[tuple]:
+               ranks: list[int] | Callable[[int], list[int]], span: tuple | None = None) -> list[tuple]:
     """The (key, tie) pair at each 1-based rank of the ascending order; `tie` must be unique per key.
 
-    `ranks` may be a function of the number of rows, which is counted here anyway.
+    `ranks` may be a function of the number of rows, which is counted here anyway. `span` is the range of the key
+    where it is known beforehand, and saves the pass that looks for it.
     """
     work = df.select(_named(key, "_k"), _named(tie, "_t")).where(F.col("_k").isNotNull())
-    ends = work.agg(F.count("*").alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
-    ranks = ranks(ends["n"]) if callable(ranks) else ranks
+    first_bins = None
+    if span is None:
+        total, lo, hi = work.agg(F.count("*"), F.min("_k"), F.max("_k")).first()
+    else:
+        lo, hi = span
+        first_bins = _bins_of(work, [_Range(None, lo, hi)])
+        total = sum(b[1] for b in first_bins[_Range(None, lo, hi)])
+    ranks = ranks(total) if callable(ranks) else ranks
     for rank in ranks:
-        if not 1 <= rank <= ends["n"]:
-            raise ValueError(f"rank {rank} outside 1..{ends['n']}")
-    open_ = {i: (_Range(None, ends["lo"], ends["hi"]), rank, ends["n"]) for i, rank in enumerate(ranks)}
+        if not 1 <= rank <= total:
+            raise ValueError(f"rank {rank} outside 1..{total}")
+    open_ = {i: (_Range(None, lo, hi), rank, total) for i, rank in enumerate(ranks)}
     found: dict[int, tuple] = {}
     while open_:
         small = {i: s for i, s in open_.items() if s[2] <= FINISH_ROWS}
@@ -66,7 +73,8 @@ def thresholds(df: DataFrame, key: Column | str, tie: Column | str,
                 del open_[i]
         if not open_:
             break
-        bins = _bins_of(work, [s[0] for s in open_.values()])
+        bins = first_bins or _bins_of(work, [s[0] for s in open_.values()])
+        first_bins = None
         for i, (rng, rank, _) in list(open_.items()):
             for _, n, lo, hi in bins[rng]:
                 if rank <= n:
@@ -119,7 +127,8 @@ def _rows_of(work: DataFrame, ranges: list[_Range]) -> dict[_Range, list[tuple]]
     return {r: sorted(v) for r, v in out.items()}
 
 
-def first_n_by(df: DataFrame, n: int | Callable[[int], int], key: Column, tie: str = "row_id") -> Column:
+def first_n_by(df: DataFrame, n: int | Callable[[int], int], key: Column, tie: str = "row_id",
+               span: tuple | None = None) -> Column:
     """Predicate that holds for exactly the n rows smallest by (key, tie). No shuffle of the rows.
 
     `n` may be a function of the number of rows.
@@ -133,7 +142,7 @@ def first_n_by(df: DataFrame, n: int | Callable[[int], int], key: Column, tie: s
 
     if not callable(n) and n <= 0:
         return F.lit(False)
-    cut = thresholds(df, key, tie, ranks)
+    cut = thresholds(df, key, tie, ranks, span)
     if not cut:
         return F.lit(everything[0])
     k, t = cut[0]
@@ -142,16 +151,16 @@ def first_n_by(df: DataFrame, n: int | Callable[[int], int], key: Column, tie: s
 
 def random_n(df: DataFrame, n: int | Callable[[int], int], seed: int | str) -> Column:
     """Predicate for exactly n rows without replacement: the first n in portable hash order."""
-    return first_n_by(df, n, portable_hash("row_id", seed))
+    return first_n_by(df, n, portable_hash("row_id", seed), span=(0, HASH_RANGE - 1))
 
 
-def exact_rank(df: DataFrame, key: Column, tie: str = "row_id", out: str = "rank",
+def exact_rank(df: DataFrame, key: Column, tie: str = "row_id", out: str = "rank", by: list[str] = (),
                pieces: int | None = None) -> DataFrame:
-    """0-based position of every row under (key, tie).
+    """0-based position of every row under (key, tie), over all rows or within each group of `by`.
 
     The key range is cut at approximate quantiles. A value that is itself a cut gets a bucket of its own,
     and those buckets are cut again along `tie`, so one value held by a third of all rows still spreads
-    over many tasks. Counts per bucket (a bounded table) give the offsets.
+    over many tasks. Counts per bucket (a bounded table per group) give the offsets.
     """
     if pieces is None:  # a few buckets per shuffle partition
         pieces = max(2, min(512, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -166,11 +175,11 @@ def exact_rank(df: DataFrame, key: Column, tie: str = "row_id", out: str = "rank
     work = _bucketed(work.withColumns({"_tie": F.col(tie).cast("double"), "_cut": at_cut}), "_tie", tie_cuts, "_s")
     work = work.withColumns({"_b": F.col("_b") * 2 + F.when(F.col("_cut"), 0).otherwise(1),
                              "_s": F.when(F.col("_cut"), F.col("_s")).otherwise(F.lit(0.0))})
-    before = Window.orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (work.groupBy("_b", "_s").count()
-               .select("_b", "_s", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o")))
-    inside = Window.partitionBy("_b", "_s").orderBy("_k", tie)
-    return (work.withColumn("_i", F.row_number().over(inside)).join(offsets, ["_b", "_s"])
+    before = Window.partitionBy(*by).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (work.groupBy(*by, "_b", "_s").count()
+               .select(*by, "_b", "_s", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o")))
+    inside = Window.partitionBy(*by, "_b", "_s").orderBy("_k", tie)
+    return (work.withColumn("_i", F.row_number().over(inside)).join(offsets, [*by, "_b", "_s"])
             .withColumn(out, (F.col("_o") + F.col("_i") - 1).cast("bigint"))
             .drop("_k", "_b", "_s", "_o", "_i", "_tie", "_cut"))
 

@@ -35,8 +35,8 @@ from ..functions.hashing import portable_hash
 from ..functions.session import cut_lineage
 
 BLOCK_ROWS = 1024      # points per block: a pair of blocks is a 1024 x 1024 product
-MAX_PIVOTS = 64
-MAX_RINGS = 16
+MAX_PIVOTS = 256
+MAX_RINGS = 8
 FRONTIER = 256         # candidates re-counted per pick
 SLACK = 1e-9           # relative safety margin of the pruning limits; undecided pairs are always measured
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import _c
+from ..functions.session import cut_lineage
 
 GOLDEN = 2654435761  # multiplicative hash constant, 2^32 / golden ratio
 
@@ -32,10 +33,11 @@ def distinct_components(df: DataFrame, cols: list[str]) -> DataFrame:
 def encode_distinct(df: DataFrame, cols: list[str], encoder: Callable[[Column], Column]) -> DataFrame:
     """Run `encoder` once per distinct component and look the block up for every row, as `<col>_enc`.
 
-    `encoder` is a column expression or a pandas UDF. The joins are left to the optimizer: a small block
-    table is broadcast, a large one is shuffled and its hot components are split by adaptive execution.
+    `encoder` is a column expression or a pandas UDF. The blocks are written out once, so no later filter or
+    second column makes Spark encode again, and the joins see their true size: a small block table is broadcast,
+    a large one is shuffled and its hot components are split by adaptive execution.
     """
-    blocks = distinct_components(df, cols).withColumn("block", encoder(F.col("component")))
+    blocks = cut_lineage(distinct_components(df, cols).withColumn("block", encoder(F.col("component"))))
     for col in cols:
         lookup = blocks.select(F.col("component").alias(f"_{col}"), F.col("block").alias(f"{col}_enc"))
         df = df.join(lookup, F.col(col) == F.col(f"_{col}"), "left").drop(f"_{col}")
@@ -96,7 +98,7 @@ def _slots_of(chars: Column, lookup: Column, width: int, offset: int) -> Column:
 
 def _text_of(slots: Column, letters: Column, first: int, end: int) -> Column:
     width = F.size(letters)
-    local = F.transform(F.array_sort(F.filter(slots, lambda s: (s >= first) & (s < end))), lambda s: s - first)
+    local = F.transform(F.sort_array(F.filter(slots, lambda s: (s >= first) & (s < end))), lambda s: s - first)
     filled = F.filter(local, lambda s, i: F.floor(s / width) == i)
     return F.array_join(F.transform(filled, lambda s: F.element_at(letters, ((s % width) + 1).cast("int"))), "")
 
@@ -126,15 +128,30 @@ def fingerprint(text: Column | str, n_bits: int = 2048, n: int = 3) -> Column:
         starts = F.sequence(F.lit(0), F.size(codes) - n)
         key = lambda i: reduce(lambda acc, j: (acc * 31 + codes[i + j]) % 1073741824, range(1, n), codes[i])
         grams = F.transform(starts, lambda i: F.shiftright((key(i) * GOLDEN) % 4294967296 * n_bits, 32).cast("int"))
-        return F.array_sort(F.array_distinct(grams))
+        return F.sort_array(F.array_distinct(grams))
 
     return F.when(F.length(_c(text)) >= n, F.element_at(F.transform(F.array(points), bits), 1)) \
         .otherwise(F.array().cast("array<int>"))
 
 
-def hash_fingerprint(df: DataFrame, cols: list[str], n_bits: int = 2048, n: int = 3, out: str = "slots") -> DataFrame:
-    """Fingerprints of several components side by side, each computed once per distinct component."""
-    encoded = encode_distinct(df, cols, lambda c: fingerprint(c, n_bits, n))
+def encode(df: DataFrame, cols: list[str], encoder: Callable[[Column], Column], distinct: bool = True) -> DataFrame:
+    """`<col>_enc` for each column: once per distinct component, or in place for texts that hardly repeat.
+
+    In place there is no lookup; distinct components pay when they are far fewer than the rows.
+    """
+    return encode_distinct(df, cols, encoder) if distinct else spread(df).withColumns({f"{c}_enc": encoder(F.col(c)) for c in cols})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Before work that is heavy per row: use every core when the input comes in fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def hash_fingerprint(df: DataFrame, cols: list[str], n_bits: int = 2048, n: int = 3, out: str = "slots",
+                     distinct: bool = True) -> DataFrame:
+    """Fingerprints of several components side by side."""
+    encoded = encode(df, cols, lambda c: fingerprint(c, n_bits, n), distinct)
     return assemble_slots(encoded, [(f"{c}_enc", n_bits) for c in cols], out).drop(*[f"{c}_enc" for c in cols])
 
 
@@ -145,16 +162,16 @@ def descriptors(text: Column | str) -> Column:
     """
     t = F.coalesce(_c(text), F.lit(""))
     kept = lambda pattern: F.length(F.regexp_replace(t, pattern, "")).cast("double")
-    words = kept("[^ ]") + F.lit(1.0)
-    block = F.array(F.length(t).cast("double"), kept("[^a-zA-Z]"), kept("[^0-9]"), kept("[^A-Z]"), kept("[^ ]"),
-                    (F.length(t) - kept("[^ ]")) / words)
+    words = kept("[^ ]+") + F.lit(1.0)
+    block = F.array(F.length(t).cast("double"), kept("[^a-zA-Z]+"), kept("[^0-9]+"), kept("[^A-Z]+"), kept("[^ ]+"),
+                    (F.length(t) - kept("[^ ]+")) / words)
     return F.when(F.length(t) > 0, F.transform(block, lambda x: F.when(F.isnan(x), 0.0).otherwise(F.coalesce(x, F.lit(0.0))))) \
         .otherwise(F.array_repeat(F.lit(0.0), 6))
 
 
 def descriptor_block(df: DataFrame, cols: list[str], out: str = "features",
-                     encoder: Callable[[Column], Column] = descriptors) -> DataFrame:
-    encoded = encode_distinct(df, cols, encoder)
+                     encoder: Callable[[Column], Column] = descriptors, distinct: bool = True) -> DataFrame:
+    encoded = encode(df, cols, encoder, distinct)
     return assemble(encoded, [f"{c}_enc" for c in cols], out).drop(*[f"{c}_enc" for c in cols])
 
 

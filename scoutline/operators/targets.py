@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import _c, array_sum, literal_array, normalised, squared_distance
+from ..functions.selection import exact_rank
 
 MAX_SPAN, MAX_TIGHTEST, MIN_SPAN = 5.0, 1.0, 3.0  # fixed values of the cluster-count search
 MIN_WEIGHT = 1e-4
@@ -108,15 +109,24 @@ def kl_sum(df: DataFrame, target: str, q0: str, q1: str, lam: float = 1.0) -> Da
     return df.agg(F.sum(own(q0) + lam * kl(q1, q0)).alias("loss_0"), F.sum(own(q1) + lam * kl(q0, q1)).alias("loss_1"))
 
 
-def converged(losses: DataFrame, min_len: int = 20, tol: float = 0.015, run: str = "run", order: list[str] = ("step",),
-              loss: str = "loss") -> DataFrame:
-    """Per run and step: has the mean of the last 10 losses moved less than `tol` against the 10 before?"""
-    steps = Window.partitionBy(run).orderBy(*order)
+LOSS_BLOCK = 8192  # steps per task-side window
+
+
+def converged(losses: DataFrame, min_len: int = 20, tol: float = 0.015, run: str = "run", step: Column | str = "step",
+              tie: str = "step", loss: str = "loss") -> DataFrame:
+    """Per run and step: has the mean of the last 10 losses moved less than `tol` against the 10 before?
+
+    A run may be long, so it is cut into blocks of consecutive steps; each block also gets the 19 steps before it.
+    """
+    ranked = exact_rank(losses, _c(step).cast("double"), tie, "_n", [run])
+    own, place = F.expr(f"_n div {LOSS_BLOCK}"), F.col("_n") % LOSS_BLOCK
+    blocks = F.when(place >= LOSS_BLOCK - 19, F.array(own, own + 1)).otherwise(F.array(own))
+    steps = Window.partitionBy(run, "_block").orderBy("_n")
     last, before = F.avg(loss).over(steps.rowsBetween(-9, 0)), F.avg(loss).over(steps.rowsBetween(-19, -10))
-    return (losses.withColumns({"n": F.row_number().over(steps), "_l": last, "_p": before})
-            .withColumn("converged", F.coalesce((F.col("n") >= min_len) & (F.abs(F.col("_l") - F.col("_p")) < F.col("_l") * tol),
-                                                F.lit(False)))
-            .drop("_l", "_p"))
+    settled = (F.col("n") >= min_len) & (F.abs(F.col("_l") - F.col("_p")) < F.col("_l") * tol)
+    return (ranked.withColumn("_block", F.explode(blocks)).withColumns({"n": F.col("_n") + 1, "_l": last, "_p": before})
+            .where(F.col("_block") == own).withColumn("converged", F.coalesce(settled, F.lit(False)))
+            .drop("_l", "_p", "_n", "_block"))
 
 
 def has_converged(losses: list[float], min_len: int = 20, tol: float = 0.015) -> bool:

@@ -95,8 +95,8 @@ def _bits_sql(source, text, n_bits, offset=0):
 WITH docs AS (SELECT doc_id AS row_id, text FROM documents)
 {_bits_sql('docs', 'text', 2048)}""")
 def c5(spark, sf):
-    encoded = features.hash_fingerprint(documents(spark, sf), ["text"], 2048)
-    return encoded.select("row_id", F.explode("slots").alias("bit"))
+    encoded = features.hash_fingerprint(documents(spark, sf), ["text"], 2048, distinct=False)
+    return encoded.select("row_id", F.explode_outer("slots").alias("bit")).where(F.col("bit").isNotNull())
 
 
 @query("c6_descriptor_minmax", f"""
@@ -106,8 +106,8 @@ ends AS (SELECT slot, min(v) AS lo, max(v) AS hi FROM long GROUP BY slot)
 SELECT row_id, l.slot, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 9) AS value
 FROM long l JOIN ends e ON l.slot = e.slot""")
 def c6(spark, sf):
-    block = features.descriptor_block(documents(spark, sf), ["text"])
-    return (features.minmax(block).select("row_id", F.posexplode("features").alias("s", "v"))
+    block = features.descriptor_block(documents(spark, sf), ["text"], distinct=False)
+    return (features.minmax(block).select("row_id", F.posexplode_outer("features").alias("s", "v"))
             .select("row_id", F.col("s").cast("bigint").alias("slot"), F.round("v", 9).alias("value")))
 
 

@@ -145,8 +145,8 @@ WITH steps AS (
 SELECT event_id, run, n, coalesce(n >= 20 AND abs(l - p) < l * 0.015, FALSE) AS converged FROM steps""")
 def e11(spark, sf):
     losses = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("run"), F.col("value").alias("loss"))
-    return (targets.converged(losses, order=["ts", "event_id"])
-            .select("event_id", "run", F.col("n").cast("bigint").alias("n"), "converged"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return targets.converged(losses, step=at, tie="event_id").select("event_id", "run", "n", "converged")
 
 
 # --- G: prediction and metrics ---------------------------------------------------------------------
