@@ -69,7 +69,7 @@ def char_vocab(df: DataFrame, cols: list[str]) -> DataFrame:
 def vocab_index(vocab: DataFrame, cols: list[str]) -> dict[str, tuple[dict[str, int], int]]:
     """The vocabulary read back as {column: (char -> index, max length)}."""
     out: dict[str, tuple[dict[str, int], int]] = {c: ({}, 0) for c in cols}
-    for row in vocab.collect():
+    for row in vocab.where(F.col("col").isin(cols)).collect():
         index, _ = out[row["col"]]
         index[row["ch"]] = row["idx"]
         out[row["col"]] = (index, row["max_len"])
