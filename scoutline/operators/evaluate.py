@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.selection import thresholds
+from ..functions.session import concurrently
 from .features import binarize
 
 RATIOS = [0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50]  # fixed values of the metric report
@@ -111,12 +112,12 @@ def threshold_models(df: DataFrame, boundaries: list[float], features: str = "fe
     train = df if labelled is None else df.where(labelled)
     train = train.withColumn("_v", array_to_vector(F.col(features))).persist()
     try:
-        models = {}
-        for b in boundaries:
+        def fit(boundary: float):
             stages = [StandardScaler(inputCol="_v", outputCol="_z", withMean=True),
                       LogisticRegression(featuresCol="_z", labelCol="_l", predictionCol="above")]
-            models[b] = Pipeline(stages=stages).fit(train.withColumn("_l", binarize(label, b).cast("double")))
-        return models
+            return Pipeline(stages=stages).fit(train.withColumn("_l", binarize(label, boundary).cast("double")))
+
+        return dict(zip(boundaries, concurrently(df.sparkSession, fit, boundaries)))
     finally:
         train.unpersist()
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import _c, array_sum, literal_array, normalised, squared_distance
 from ..functions.selection import exact_rank
+from ..functions.session import concurrently
 
 MAX_SPAN, MAX_TIGHTEST, MIN_SPAN = 5.0, 1.0, 3.0  # fixed values of the cluster-count search
 MIN_WEIGHT = 1e-4
+LOOK_AHEAD = 4
 
 
 @dataclass(frozen=True)
@@ -36,31 +38,39 @@ def adaptive_label_kmeans(labelled: DataFrame, k0: int, seed: int = 0, label: st
     Equal labels are counted together first, so the fit sees distinct values with weights. k stays between 2
     and the number of distinct labels, and a k seen before ends the search (the rule can oscillate).
     """
+    spark = labelled.sparkSession
     values = (labelled.groupBy(F.col(label).alias("y")).agg(F.count("*").cast("double").alias("w"))
               .withColumn("v", array_to_vector(F.array("y"))).persist())
+
+    def fit(k: int) -> LabelClusters:
+        model = KMeans(k=k, seed=seed, featuresCol="v", weightCol="w", predictionCol="cluster").fit(packed)
+        spans = cluster_spans(model.transform(packed)).first()
+        return LabelClusters(sorted(float(c[0]) for c in model.clusterCenters()), spans["max_span"], spans["min_span"])
+
     try:
         most = values.count()
-        k, seen = max(2, min(k0, most)), {}
-        for _ in range(max_rounds):
-            if most < 2:
-                only = [r["y"] for r in values.collect()]
-                return LabelClusters(only, 0.0, 0.0)
-            model = KMeans(k=k, seed=seed, featuresCol="v", weightCol="w", predictionCol="cluster").fit(values)
-            spans = cluster_spans(model.transform(values)).first()
-            seen[k] = LabelClusters(sorted(float(c[0]) for c in model.clusterCenters()),
-                                    spans["max_span"], spans["min_span"])
-            if spans["max_span"] > MAX_SPAN or spans["min_span"] > MAX_TIGHTEST:
+        if most < 2:
+            return LabelClusters([r["y"] for r in values.collect()], 0.0, 0.0)
+        packed = values.coalesce(1 + most // 50_000)  # each fit is many passes over a short table
+        clamp = lambda k: max(2, min(k, most))
+        k, step, fits, visited = clamp(k0), 2, {}, []
+        while len(visited) < max_rounds:
+            if k not in fits:  # the search mostly keeps its direction, so the next few counts are fitted along
+                ahead = sorted({clamp(k + i * step) for i in range(LOOK_AHEAD)} - set(fits))
+                fits.update(zip(ahead, concurrently(spark, fit, ahead, LOOK_AHEAD)))
+            visited.append(k)
+            now = fits[k]
+            if now.max_span > MAX_SPAN or now.min_span > MAX_TIGHTEST:
                 step = 2
-            elif spans["max_span"] < MIN_SPAN:
+            elif now.max_span < MIN_SPAN:
                 step = -2
             else:
                 break
-            nxt = max(2, min(k + step, most))
-            if nxt in seen:
-                k = min((k, nxt), key=lambda i: seen[i].max_span)
+            if clamp(k + step) in visited:
+                k = min((k, clamp(k + step)), key=lambda i: fits[i].max_span)
                 break
-            k = nxt
-        return seen[k] if k in seen else seen[max(seen)]
+            k = clamp(k + step)
+        return fits[k]
     finally:
         values.unpersist()
 

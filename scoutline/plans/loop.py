@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import cut_lineage
+from ..functions.session import concurrently, cut_lineage
 from ..operators import coverage, cotrain, evaluate, targets
 from ..operators.features import align_views, assemble
 from ..operators.splits import initial_set
@@ -79,12 +80,14 @@ def one_round(aligned: DataFrame, labelled_ids: DataFrame, encoders: list[cotrai
 
 def _evaluate(encoded: DataFrame, s: LoopSettings) -> list[dict]:
     """Metrics on the unlabelled rows, for the original, encoded and cluster features of both views."""
-    preds = None
-    for view in (0, 1):
-        for kind, col in (("original", f"x{view}"), ("encoded", f"z{view}"), ("cluster", f"q{view}")):
-            pred = (evaluate.fit_predict_rf(encoded, F.col("labelled"), col, "y", s.seed, s.trees).where(~F.col("labelled"))
-                    .select(F.lit(f"view_{view}").alias("view"), F.lit(kind).alias("kind"), "row_id", "y", "pred"))
-            preds = pred if preds is None else preds.unionByName(pred)
+    kinds = [(f"view_{v}", kind, f"{col}{v}") for v in (0, 1) for kind, col in (("original", "x"), ("encoded", "z"), ("cluster", "q"))]
+
+    def predict(item: tuple) -> DataFrame:
+        view, kind, col = item
+        return (evaluate.fit_predict_rf(encoded, F.col("labelled"), col, "y", s.seed, s.trees).where(~F.col("labelled"))
+                .select(F.lit(view).alias("view"), F.lit(kind).alias("kind"), "row_id", "y", "pred"))
+
+    preds = reduce(DataFrame.unionByName, concurrently(encoded.sparkSession, predict, kinds, 3))
     return [r.asDict() for r in evaluate.evaluate_representations(preds).collect()]
 
 
