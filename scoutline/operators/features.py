@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -139,11 +140,11 @@ def encode(df: DataFrame, cols: list[str], encoder: Callable[[Column], Column],
 
     In place there is no lookup; distinct components pay when they are far fewer than the rows.
     """
-    return encode_distinct(df, cols, encoder) if distinct else spread(df).withColumns({f"{c}_enc": encoder(F.col(c)) for c in cols})
+    return encode_distinct(df, cols, encoder) if distinct else df.withColumns({f"{c}_enc": encoder(F.col(c)) for c in cols})
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Before work that is heavy per row: use every core when the input comes in fewer partitions than there are cores."""
+    """For a plain scan, before work that is heavy per row: use every core when the files give fewer partitions."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -242,6 +243,13 @@ def slots_to_dense(slots: Column | str, width: int) -> Column:
     return scatter(_c(slots))
 
 
+def slots_to_vector(df: DataFrame, slots: str, width: int, out: str) -> DataFrame:
+    """A sparse block as an MLlib sparse vector: each slot is a word of a vocabulary that is just the numbers."""
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(width)], inputCol="_words", outputCol=out)
+    words = df.withColumn("_words", F.col(slots).cast("array<string>"))
+    return model.setBinary(True).transform(words).drop("_words")
+
+
 def align_views(v0: DataFrame, v1: DataFrame) -> DataFrame:
     """Two views of the same rows side by side as x0, x1 with one label; a row in only one view is an error."""
     lone = lambda name: F.raise_error(F.lit(f"a row is missing from {name}"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import to_matrix
+from .features import slots_to_vector
 
 
 def map_matrix(df: DataFrame, inputs: list[str], fn, out: str, width_type: str = "array<double>") -> DataFrame:
@@ -42,6 +44,17 @@ class SvdModel:
         shared = df.sparkSession.sparkContext.broadcast(self.components)
         return map_matrix(df, [col], lambda x: x @ shared.value, col)
 
+    def transform_slots(self, df: DataFrame, slots: str = "slots", out: str = "features") -> DataFrame:
+        """Projection of sparse 0/1 rows: the sum of the component rows of the set slots."""
+        shared = df.sparkSession.sparkContext.broadcast(self.components)
+
+        @F.pandas_udf("array<double>")
+        def project(rows: pd.Series) -> pd.Series:
+            v = shared.value
+            return pd.Series([v[r].sum(0) for r in rows])
+
+        return df.withColumn(out, project(slots))
+
 
 def fit_svd(df: DataFrame, k: int, col: str = "features") -> SvdModel:
     """Fit on every row of `df`; k is cut to what rows and columns allow.
@@ -50,7 +63,16 @@ def fit_svd(df: DataFrame, k: int, col: str = "features") -> SvdModel:
     Gram-times-vector products (wide).
     """
     width, rows = df.select(F.size(col)).first()[0], df.count()
-    vectors = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.col(col)).alias("v")), "v")
+    return _fit(df.select(array_to_vector(F.col(col)).alias("v")), rows, width, k)
+
+
+def fit_svd_slots(df: DataFrame, width: int, k: int, slots: str = "slots") -> SvdModel:
+    """As `fit_svd` for sparse 0/1 rows given by their set slots, without making them dense."""
+    return _fit(slots_to_vector(df.select(slots), slots, width, "v").select("v"), df.count(), width, k)
+
+
+def _fit(vectors: DataFrame, rows: int, width: int, k: int) -> SvdModel:
+    vectors = MLUtils.convertVectorColumnsFromML(vectors, "v")
     svd = RowMatrix(vectors, rows, width).computeSVD(min(k, rows, width))
     v = svd.V.toArray()
     v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])  # a fixed sign per component
@@ -64,7 +86,6 @@ def total_variance(col: Column) -> Column:
 
 def explained_variance_ratio(df: DataFrame, projected: str, original: str) -> DataFrame:
     """Summed variance of the projection over the summed variance of the input, in one pass."""
-    from pyspark.ml.functions import vector_to_array
     s = df.agg(total_variance(F.col(projected)).alias("p"), total_variance(F.col(original)).alias("o"))
     total = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda a, x: a + x)
     return s.select((total("p.variance") / total("o.variance")).alias("explained_variance_ratio"))

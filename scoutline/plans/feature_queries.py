@@ -23,7 +23,7 @@ COMPONENTS = ["c_0", "c_1", "c_2"]
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return features.spread(table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text"))
 
 
 def _kept(text, cls):
@@ -172,6 +172,12 @@ def c11(spark, sf):
     return projected.select("row_id", "features", F.lit(ratio).alias("explained_variance_ratio"))
 
 
+@query("c11_truncated_svd_sparse")
+def c11_sparse(spark, sf):
+    encoded = features.hash_fingerprint(reactions(spark, sf).select("row_id", *COMPONENTS), COMPONENTS, 128)
+    return reduce.fit_svd_slots(encoded, 384, 8).transform_slots(encoded.select("row_id", "slots"))
+
+
 @query("c11_explained_variance", f"""
 WITH {POINTS}, long AS (SELECT unnest(features) AS v, unnest(range(64)) AS slot FROM points),
 vars AS (SELECT slot, var_pop(v) AS s FROM long GROUP BY slot)

@@ -115,6 +115,16 @@ def test_svd_equals_numpy(spark):
     np.testing.assert_allclose(np.abs([r["features"] for r in wider.orderBy("row_id").collect()]), np.abs(x[:10] @ vt[:2].T), atol=1e-8)
 
 
+def test_sparse_svd_equals_dense(spark):
+    rng = np.random.default_rng(3)
+    bits = rng.random((30, 12)) < 0.3
+    df = spark.createDataFrame([(i, [int(j) for j in np.nonzero(b)[0]]) for i, b in enumerate(bits)], "row_id bigint, slots array<int>")
+    model = reduce.fit_svd_slots(df, 12, 3)
+    np.testing.assert_allclose(model.singular_values, np.linalg.svd(bits.astype(float))[1][:3])
+    got = [r["features"] for r in model.transform_slots(df).orderBy("row_id").collect()]
+    np.testing.assert_allclose(got, bits.astype(float) @ model.components, atol=1e-9)
+
+
 def test_one_hot_round_trip_with_empty_and_non_ascii(spark):
     df = spark.createDataFrame([(0, "abc", "é"), (1, "", "日本"), (2, "c", "é日")], "row_id bigint, a string, b string")
     vocab = features.char_vocab(df, ["a", "b"])

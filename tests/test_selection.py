@@ -110,3 +110,16 @@ def test_compose_reaction_drops_empty_parts_but_not_unknown_names(spark):
     names = spark.createDataFrame([("a", ""), ("b", "CC")], "name string, structure string")
     got = space.compose_reaction(df, ["x", "y"], {"x": names}, F.lit("P")).orderBy("row_id").collect()
     assert [r["reaction"] for r in got] == ["k>>P", "CC.k>>P", None]
+
+
+def test_catalog_space(spark):
+    from scoutline.sources.catalog import COMPONENTS, HALIDE_GROUPS, catalog_components
+    built = space.build_space(spark, *catalog_components(spark))
+    assert built.count() == 360 and built.columns[1:] == list(COMPONENTS)
+    assert built.distinct().count() == 360
+    last = built.orderBy(F.desc("row_id")).first()
+    assert [last[c] for c in COMPONENTS] == [list(v.values())[-1] for v in COMPONENTS.values()]
+    halides = spark.createDataFrame([(i, h) for i, h in enumerate(h for g in HALIDE_GROUPS.values() for h in g)], "row_id bigint, h string")
+    for mode, group in HALIDE_GROUPS.items():
+        held = splits.split_by_group(halides, "h", group).where("split = 'test'").collect()
+        assert {r["h"] for r in held} == set(group), mode
