@@ -110,7 +110,7 @@ class _Plan:
     """What to do with each pair of (cell, ring) entries of the two sides."""
 
     full: DataFrame   # lc, lr, rc, rr: every pair is within delta
-    check: DataFrame  # lc, lr, rc, rr, l_blocks, r_blocks: pairs to measure
+    check: DataFrame  # lc, lr, rc, rr, blocks and distance limits of both sides: pairs to measure
     sure: DataFrame   # lc, lr, sure: summed weight of the entries wholly within delta
 
 
@@ -136,9 +136,12 @@ def _plan(left: DataFrame, right: DataFrame, index: PointIndex) -> _Plan:
     i, j = np.nonzero(is_check)
     blocks = lambda n: np.maximum(1, -(-n // BLOCK_ROWS))
     check = pd.DataFrame({"lc": ls.cell.values[i], "lr": ls.ring.values[i], "rc": rs.cell.values[j], "rr": rs.ring.values[j],
-                          "l_blocks": blocks(ls.n.values[i]), "r_blocks": blocks(rs.n.values[j])})
+                          "l_blocks": blocks(ls.n.values[i]), "r_blocks": blocks(rs.n.values[j]),
+                          "between": between[i, j], "reach": delta + margin[i, j], "l_lo": ls.lo.values[i], "l_hi": ls.hi.values[i],
+                          "r_lo": rs.lo.values[j], "r_hi": rs.hi.values[j]})
     ids = "lc int, lr int, rc int, rr int"
-    return _Plan(spark.createDataFrame(full, ids), spark.createDataFrame(check, f"{ids}, l_blocks int, r_blocks int"),
+    limits = "l_blocks int, r_blocks int, between double, reach double, l_lo double, l_hi double, r_lo double, r_hi double"
+    return _Plan(spark.createDataFrame(full, ids), spark.createDataFrame(check, f"{ids}, {limits}"),
                  spark.createDataFrame(sure, "lc int, lr int, sure bigint"))
 
 
@@ -157,9 +160,12 @@ def _measure(left: DataFrame, right: DataFrame, check: DataFrame, per_pair: Call
     keys = ["lc", "lr", "rc", "rr", "lb", "rb"]
     block = lambda n: F.pmod(F.xxhash64("pid"), F.col(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (left.join(check, (F.col("cell") == F.col("lc")) & (F.col("ring") == F.col("lr")))
+    # A single point can often be ruled out where its whole entry could not.
+    near = lambda lo, hi: F.greatest(F.col("between") - F.col("dist") - F.col(hi), F.col("dist") - F.col("between") - F.col(hi),
+                                     F.col(lo) - F.col("between") - F.col("dist")) < F.col("reach")
+    left = (left.join(check, (F.col("cell") == F.col("lc")) & (F.col("ring") == F.col("lr")) & near("r_lo", "r_hi"))
             .select(*keys[:4], "pid", "features", block("l_blocks").alias("lb"), others("r_blocks").alias("rb")))
-    right = (right.join(check, (F.col("cell") == F.col("rc")) & (F.col("ring") == F.col("rr")))
+    right = (right.join(check, (F.col("cell") == F.col("rc")) & (F.col("ring") == F.col("rr")) & near("l_lo", "l_hi"))
              .select(*keys[:4], "pid", "features", "weight", block("r_blocks").alias("rb"), others("l_blocks").alias("lb")))
     right = right.toDF(*right.columns)  # its own column ids: both sides were joined to the same table
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(per_pair, schema)

@@ -84,7 +84,7 @@ def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def started_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points with a `labelled` flag: the start set is drawn as the reference loop draws it."""
+    """Points with a `labelled` flag: the start set is a random 5 percent."""
     p = points(spark, sf_dir)
     chosen = initial_set(p, test_ratio=START_TEST_RATIO, seed=START_SEED).select("row_id", F.lit(True).alias("labelled"))
     return p.join(chosen, "row_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))

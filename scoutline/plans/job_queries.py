@@ -9,7 +9,7 @@ from ..operators import commit, cotrain, splits, targets
 from ..operators.features import align_views
 from ..sources import tables
 from ..streaming.commit import stream_commit, winners, winners_schema
-from .bindings import (ACCEPTED, GIVEN_PRED, POINTS, REACTIONS, feed, feed_of, given_pred, hash_sql, points, reactions,
+from .bindings import (ACCEPTED, GIVEN_PRED, POINTS, REACTIONS, feed, feed_of, given_pred, hash_sql, reactions,
                        started_points, table, views)
 from .loop import LoopSettings, _feature_rows, active_loop
 from .metric_queries import POINT_CENTROIDS, SQL as METRIC_SQL

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bins, evaluate, targets
-from .bindings import GIVEN_PRED, POINTS, STARTED, VIEWS, given_pred, hash_sql, points, started_points, table, views, reactions, REACTIONS
 from ..operators.splits import labelled_set
+from .bindings import (GIVEN_PRED, POINTS, REACTIONS, STARTED, VIEWS, given_pred, hash_sql, points, reactions, started_points,
+                       table, views)
 
 Q, SQL = {}, {}
 

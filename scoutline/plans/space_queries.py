@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import commit, space, splits
 from .bindings import (ACCEPTED, FEED, POINTS, REACTIONS, START_SEED, STARTED, VIEWS, feed, hash_sql, points,
-                       reactions, started_points, table, views)
+                       reactions, table, views)
 
 Q, SQL = {}, {}
 

@@ -1,8 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from scoutline.operators import commit
 from scoutline.sources import tables
 from scoutline.streaming.commit import stream_commit, winners, winners_schema
