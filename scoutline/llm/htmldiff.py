@@ -256,7 +256,8 @@ def differences(pages: DataFrame) -> DataFrame:
                 cut = to_delete(r.flags.tolist(), common_lines(r.hashes.tolist(), other.tolist()), r.sizes.tolist())
                 if cut:
                     keys.append(r.key), gone.append(np.array(cut, np.int32))
-            yield pd.DataFrame({"key": keys, "gone": gone})
+            if keys:
+                yield pd.DataFrame({"key": keys, "gone": gone})
 
     return both.select("key", "path", "hashes", "flags", "sizes", "last_path", "last_hashes", "next_path", "next_hashes").mapInPandas(run, "key binary, gone array<int>")
 

@@ -143,7 +143,8 @@ def train_model(docs: DataFrame, labels: DataFrame, label: str = "quality", trai
         yield pd.DataFrame({"model": [model.astype("<f8").tobytes()]})
 
     rows = training_rows(docs, labels, label, train, max_rows)
-    return np.frombuffer(rows.repartition(1).mapInPandas(run, "model binary").first().model, "<f8")
+    made = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return np.frombuffer(made.model, "<f8") if made else fit([], [])
 
 
 def score(docs: DataFrame, model: np.ndarray) -> DataFrame:

@@ -300,9 +300,9 @@ def test_differencing_deletes_what_the_site_repeats(spark):
 
 
 def test_quoted_prose_and_copies_stay(spark):
-    article = lambda k: f"<article><p>quoted passage</p><p>own {k}</p><div>Subscribe</div></article>"
+    article = lambda k: f"<article><p>quoted passage</p><p>own text of page {k}</p><div>Subscribe</div></article>"
     rows = [(k, f"http://h/{k}", article(k)) for k in range(4)]
-    assert extracted(spark, rows) == [(k, f"quoted passage\n\nown {k}") for k in range(4)]
+    assert extracted(spark, rows) == [(k, f"quoted passage\n\nown text of page {k}") for k in range(4)]
     same = [(k, f"http://h/{k}", "<div>copy</div><div>of a page</div>") for k in range(3)] * 2
     assert extracted(spark, same) == [(k, "copy\n\nof a page") for k in range(3) for _ in range(2)]
     assert extracted(spark, []) == []
