@@ -44,6 +44,7 @@ disqus footer gdpr header login masthead menu modal nav navbar navigation newsle
 promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "form", "menu", "menubar"}
 COMMENTS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
+NEGATIONS = {"has", "with", "no", "without", "not"}
 COPY_SHARE = 0.8  # of the characters outside the furniture
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
@@ -67,7 +68,9 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
             found.update(NOT_WORD.split(value))
     if tag in ("article", "main", "body", "header"):
         return bool(found & COMMENTS)
-    return role in ROLES or bool(found & MARKS)
+    if found & NEGATIONS:  # a container "with-sidebar" is not the sidebar
+        return role in ROLES
+    return role in ROLES or bool(found & (MARKS - {"header"} if in_article else MARKS))
 
 
 def lines_of(page: str) -> list[Line]:

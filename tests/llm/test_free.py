@@ -290,6 +290,11 @@ def test_article_without_furniture(spark):
     assert extracted(spark, [(1, "http://a.b/x", PAGE), (2, None, PAGE), (3, "http://a.b/x", None), (4, "nonsense", "")]) == [(1, text), (2, text), (3, ""), (4, "")]
 
 
+def test_containers_named_after_what_they_hold_are_kept(spark):
+    html = "<div class='page with-sidebar'><article><div class='article-header'><h1>Title</h1></div><p>Text</p><div class='ad-box'>Buy</div></article></div>"
+    assert extracted(spark, [(1, "http://h/1", html)]) == [(1, "Title\n\nText")]
+
+
 def test_differencing_deletes_what_the_site_repeats(spark):
     page = lambda body: f"<body><div>Our site</div><div>{body}</div><p>more of {body}</p><div>All about us</div></body>"
     rows = [(k, f"https://h.example/{k}?q=1", page(f"text number {k}, which is longer than the frame")) for k in range(9)]
