@@ -33,7 +33,7 @@ def _rules() -> dict[str, tuple[int, Column]]:
         "few_words": (0, _n("n_words") < 50),
         "repeated_windows": (1, 100 * _n("n_repeat_words") > 50 * _n("n_words")),
         "symbols": (2, 10 * _n("n_symbols") > _n("n_words")),
-        "duplicate_lines": (3, 100 * _n("n_dup_lines") > 30 * _n("n_lines")),
+        "duplicate_lines": (3, 100 * _n("n_dup_lines") > 50 * _n("n_lines")),
         "short_words": (4, _n("word_chars") < 2 * _n("n_words")),
         "long_words": (5, _n("word_chars") > 15 * _n("n_words")),
         "shouting": (6, 2 * _n("n_upper") > _n("word_chars")),

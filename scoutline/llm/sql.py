@@ -67,7 +67,7 @@ m AS (
   FROM d LEFT JOIN lines ON d.doc_id = lines.doc_id LEFT JOIN repeats ON d.doc_id = repeats.doc_id),
 f AS (
   SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
-                 + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT
+                 + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT
                  + 64 * (2 * n_upper > word_chars)::INT + 128 * (10 * n_exclamations > n_words)::INT + 256 * (2 * n_digits > word_chars)::INT
                  AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f"""

@@ -21,7 +21,7 @@ def passes_rules(text):
     n, chars, symbols, dup, _, base = brute.quality(text)
     lines = sum(bool(brute.WORD.search(x)) for x in (text or "").split("\n"))
     upper, bangs, digits = (len(re.findall(p, text or "")) for p in ("[A-Z]", "!", "[0-9]"))
-    return not (base or 10 * symbols > n or 100 * dup > 30 * lines or chars < 2 * n or chars > 15 * n or 2 * upper > chars or 10 * bangs > n or 2 * digits > chars)
+    return not (base or 10 * symbols > n or 100 * dup > 50 * lines or chars < 2 * n or chars > 15 * n or 2 * upper > chars or 10 * bangs > n or 2 * digits > chars)
 
 
 def keep_lines(docs):
