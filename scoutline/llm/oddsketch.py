@@ -7,10 +7,11 @@ XOR of two bitmaps grows with the samples in which the sets differ and estimates
 Documents with equal sets become one representative by aggregation, so exact copies cost nothing further. Representatives
 that share a band key form a bucket. Inside a bucket nobody is compared with everybody: each bucket names a centre (a
 different one in every band) and its members propose themselves to the centre. Proposals whose sketches rule a similarity
-of 80 percent out are dropped, and the rest is confirmed on the texts, the most similar proposals of each document first,
-later ones only if they would join two components. What is then still open, members of a bucket outside its largest
-component, is compared by sketch with the bucket, in blocks, and confirmed the same way; no link is lost that shares a band.
-With 40 bands of 5 rows two documents at exactly 80 percent share none with probability 1.3e-7.
+of 80 percent out are dropped; what the others connect is a family. The most similar proposals of each document are
+confirmed on the texts, which joins most of a family. Whoever is then outside the largest component of its family meets the
+whole family on full sets, tile by tile, and pairs that share a bucket but no family are compared by sketch and confirmed.
+So no link is lost that shares a band. With 40 bands of 5 rows two documents at exactly 80 percent share none with
+probability 1.3e-7.
 
 Hot buckets: centres are found by partial aggregation, proposals are an equi-join that adaptive execution splits, texts
 are grouped by (hub, chunk) with at most about `CHUNK` documents. Components are labels propagated in tables, with pointer
@@ -189,35 +190,34 @@ def _labelled(df: DataFrame, labels: DataFrame | None, name: str, out: str) -> D
     return df.join(labels.toDF(name, "_label"), name, "left").withColumn(out, F.coalesce("_label", name)).drop("_label")
 
 
-def open_pairs(reps: DataFrame, members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(id, hub) pairs of one bucket in different components that the sketches allow, apart from pairs inside the bucket's
-    largest component: every member outside of it meets the whole bucket, which is cut into blocks."""
-    named = cut_lineage(_labelled(members, labels, "id", "label"))
-    counts = named.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    # a bucket of two has been settled by its centre
-    mixed = cut_lineage(counts.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("labels"))
-                        .filter("labels > 1 AND m > 2").select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("m") / BLOCK).alias("blocks"), "m"))
+def open_pairs(reps: DataFrame, members: DataFrame, labels: DataFrame | None, families: DataFrame | None) -> DataFrame:
+    """(id, hub) pairs that share a bucket but neither component nor family, and that the sketches allow. Of a bucket every
+    member outside of its largest component meets the whole bucket, which is cut into blocks."""
+    named = cut_lineage(_labelled(_labelled(members, labels, "id", "label"), families, "id", "family"))
+    counts = named.groupBy("bucket", "family").agg(F.count("*").alias("m"))
+    # a bucket of two has been settled by its centre, one of a single family by linked_in_families
+    mixed = cut_lineage(counts.groupBy("bucket").agg(F.max(F.struct("m", "family")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("families"))
+                        .filter("families > 1 AND m > 2").select("bucket", F.col("top.family").alias("top"), F.ceil(F.col("m") / BLOCK).alias("blocks"), "m"))
     groups = max(1, (mixed.agg(F.sum("m").alias("m")).first().m or 0) // GROUP_ROWS)
     within = named.join(mixed, "bucket").join(reps.select("id", "n", "sketch"), "id")
-    whole = within.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "n", "label", "sketch", F.lit(False).alias("asks"))
-    asking = (within.filter("label <> top").select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
-                                                   "id", "n", "label", "sketch", F.lit(True).alias("asks")))
+    whole = within.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "n", "label", "family", "sketch", F.lit(False).alias("asks"))
+    asking = (within.filter("family <> top").select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
+                                                    "id", "n", "label", "family", "sketch", F.lit(True).alias("asks")))
     limit = most_differing_bits()
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         """A group holds whole blocks of several buckets."""
         group = group.sort_values(["bucket", "block"], kind="stable")
         asks = group["asks"].to_numpy(bool)
-        bucket, block, ids, n, label = (group[c].to_numpy(np.int64) for c in ("bucket", "block", "id", "n", "label"))
+        bucket, block, ids, n, label, family = (group[c].to_numpy(np.int64) for c in ("bucket", "block", "id", "n", "label", "family"))
         sketch = np.stack([np.asarray(s, np.int64) for s in group["sketch"]]).view(np.uint64)
-        ends = np.append(np.nonzero((np.diff(bucket) != 0) | (np.diff(block) != 0))[0] + 1, len(ids))
-        out, start = set(), 0
-        for end in ends.tolist():
+        out: set[tuple[int, int]] = set()
+        for start, end in _runs(bucket, block):
             asking_, there = start + np.nonzero(asks[start:end])[0], start + np.nonzero(~asks[start:end])[0]
-            start = end
             for i in asking_ if len(there) else ():
                 differ = np.bitwise_count(sketch[there] ^ sketch[i]).sum(axis=1)
-                fits = (differ <= limit) & (label[there] != label[i]) & (100 * np.minimum(n[there], n[i]) >= PERCENT * np.maximum(n[there], n[i]))
+                fits = ((differ <= limit) & (label[there] != label[i]) & (family[there] != family[i])
+                        & (100 * np.minimum(n[there], n[i]) >= PERCENT * np.maximum(n[there], n[i])))
                 out.update((int(min(ids[i], j)), int(max(ids[i], j))) for j in ids[there[fits]])
         return pd.DataFrame(sorted(out), columns=["id", "hub"], dtype=np.int64)
 
@@ -225,6 +225,75 @@ def open_pairs(reps: DataFrame, members: DataFrame, labels: DataFrame | None) ->
     return cut_lineage(dealt.groupBy("group").applyInPandas(compare, "id bigint, hub bigint").distinct())
 
 
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal keys in sorted arrays."""
+    changes = np.zeros(max(len(keys[0]) - 1, 0), dtype=bool)
+    for k in keys:
+        changes |= np.diff(k) != 0
+    ends = np.append(np.nonzero(changes)[0] + 1, len(keys[0])).tolist()
+    return list(zip([0, *ends[:-1]], ends, strict=True))
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of every set in a with every set in b, as products of 0/1 matrices, some shingles at a time."""
+    every = a + b
+    out = np.zeros((len(a), len(b)), dtype=np.float64)
+    values, column = np.unique(np.concatenate(every), return_inverse=True)
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    shared = (np.bincount(column[row < len(a)], minlength=len(values)) > 0) & (np.bincount(column[row >= len(a)], minlength=len(values)) > 0)
+    keep = shared[column]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(shared.sum()), width):
+        s, e = np.searchsorted(column, [start, start + width])
+        m = np.zeros((len(every), min(width, int(shared.sum()) - start)), dtype=np.float32)
+        m[row[s:e], column[s:e] - start] = 1
+        out += m[:len(a)] @ m[len(a):].T
+    return out.astype(np.int64)
+
+
+def linked_in_families(families: DataFrame, labels: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """(id, hub) links between different components of one family, as many as join them.
+
+    A family is what the proposals connect, confirmed or not. Every document outside the largest component of its family
+    meets the whole family, in tiles of a block of one and a block of the other; full sets are intersected as matrices, and
+    a tile reports one link per document and component it reaches, so a large family costs no pairs.
+    """
+    named = cut_lineage(_labelled(families.withColumnRenamed("label", "family"), labels, "id", "label"))
+    counts = named.groupBy("family", "label").agg(F.count("*").alias("m"))
+    mixed = cut_lineage(counts.groupBy("family").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("labels"))
+                        .filter("labels > 1 AND m > 2").select("family", F.col("top.label").alias("top"), F.ceil(F.col("m") / BLOCK).alias("blocks"),
+                                                               F.ceil((F.col("m") - F.col("top.m")) / BLOCK).alias("cuts"),
+                                                               "m", (F.col("m") - F.col("top.m")).alias("outside")))
+    groups = max(1, (mixed.agg(F.sum(F.expr("m * cuts + outside * blocks")).alias("m")).first().m or 0) // BLOCK)
+    within = named.join(mixed, "family")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    whole = within.select("family", own("blocks").alias("block"), every("cuts").alias("cut"), "id", "label", F.lit(False).alias("asks"))
+    asking = within.filter("label <> top").select("family", every("blocks").alias("block"), own("cuts").alias("cut"), "id", "label", F.lit(True).alias("asks"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        """A group holds whole tiles of several families."""
+        group = group.sort_values(["family", "block", "cut"], kind="stable")
+        known, out = _Hash(), set()
+        asks, text = group["asks"].to_numpy(bool), group["text"].tolist()
+        family, block, cut, ids, label = (group[c].to_numpy(np.int64) for c in ("family", "block", "cut", "id", "label"))
+        for start, end in _runs(family, block, cut):
+            a, b = start + np.nonzero(asks[start:end])[0], start + np.nonzero(~asks[start:end])[0]
+            if not len(a) or not len(b):
+                continue
+            left, right = [shingle_hashes(text[i], known) for i in a], [shingle_hashes(text[j], known) for j in b]
+            both = intersections(left, right)
+            union = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - both
+            for i, j in zip(*np.nonzero((100 * both >= PERCENT * union) & (label[a][:, None] != label[b][None, :])), strict=True):
+                out.add((int(ids[a[i]]), int(label[b[j]])))
+        return pd.DataFrame(sorted(out), columns=["id", "hub"], dtype=np.int64)  # the label is an id of the component reached
+
+    dealt = whole.union(asking).withColumn("group", F.pmod(F.xxhash64("family", "block", "cut"), F.lit(groups)))
+    return cut_lineage(dealt.join(texts, "id").groupBy("group").applyInPandas(compare, "id bigint, hub bigint").distinct())
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): kept is the smallest id of each component."""
     rows = cut_lineage(features(docs))
@@ -237,27 +306,22 @@ def link(docs: DataFrame) -> DataFrame:
         needed = cut_lineage(pairs.select("id").union(pairs.select("hub")).distinct())
         return cut_lineage(by_id.join(needed, "id", "left_semi"))
 
-    links, labels = None, None
+    links, labels, families = None, None, None
 
-    def add(pairs: DataFrame, texts: DataFrame) -> None:
+    def add(found: DataFrame) -> None:
         nonlocal links, labels
-        if not pairs.isEmpty():
-            found = confirm(pairs, texts)
-            links = found if links is None else links.union(found)
-            labels = components(links)
+        links = found if links is None else links.union(found)
+        labels = components(links)
 
-    best = F.row_number().over(W.partitionBy("id").orderBy("differing", "hub"))  # at most one proposal per band
-    offered = cut_lineage(offered.withColumn("turn", best))
     if not offered.isEmpty():
         texts = texts_of(offered)
-        add(offered.filter(F.col("turn") <= FIRST_PROPOSALS).select("id", "hub"), texts)
-        later = _labelled(_labelled(offered.filter(F.col("turn") > FIRST_PROPOSALS), labels, "id", "a"), labels, "hub", "b")
-        add(cut_lineage(later.filter("a <> b").select("id", "hub")), texts)
-    left = open_pairs(reps, members, labels).join(offered.select("id", "hub"), ["id", "hub"], "left_anti").join(
-        offered.select(F.col("hub").alias("id"), F.col("id").alias("hub")), ["id", "hub"], "left_anti")
-    left = cut_lineage(left)
+        families = components(offered)
+        best = F.row_number().over(W.partitionBy("id").orderBy("differing", "hub"))  # at most one proposal per band
+        add(confirm(offered.withColumn("turn", best).filter(F.col("turn") <= FIRST_PROPOSALS).select("id", "hub"), texts))
+        add(linked_in_families(families, labels, texts))
+    left = open_pairs(reps, members, labels, families)
     if not left.isEmpty():
-        add(left, texts_of(left))
+        add(confirm(left, texts_of(left)))
     first = rows.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     named = cut_lineage(_labelled(first, labels, "rep", "component"))
     out = rows.join(named, ["k1", "k2"], "left")
