@@ -41,7 +41,7 @@ PERCENT = 80
 #: A sketch estimate below this rules a pair out: 5 standard deviations of 200 samples under 0.8.
 LEAST_ESTIMATE = 0.65
 FIRST_PROPOSALS, CHUNK, BLOCK, GROUP_ROWS = 2, 64, 256, 4096
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 
 _rng = np.random.default_rng(SEED)
 _A = (_rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -80,8 +80,8 @@ def shingle_hashes(text: str, known: dict) -> np.ndarray:
 def minhashes(hashes: np.ndarray) -> np.ndarray:
     low = np.full(BANDS * ROWS, 2**32 - 1, dtype=np.uint32)
     h = (hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(h), 1 << 14):
-        low = np.minimum(low, (_A * h[None, at:at + (1 << 14)] + _B).min(axis=1))
+    for at in range(0, len(h), 1 << 12):
+        low = np.minimum(low, (_A * h[None, at:at + (1 << 12)] + _B).min(axis=1))
     return low
 
 
@@ -234,7 +234,7 @@ def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *ends[:-1]], ends, strict=True))
 
 
-def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 12) -> np.ndarray:
     """Sizes of the intersections of every set in a with every set in b, as products of 0/1 matrices, some shingles at a time."""
     every = a + b
     out = np.zeros((len(a), len(b)), dtype=np.float64)
