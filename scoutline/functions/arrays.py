@@ -15,10 +15,6 @@ def array_sum(col: Column | str) -> Column:
     return F.aggregate(_c(col), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def squared_distance(a: Column | str, b: Column | str) -> Column:
-    return array_sum(F.zip_with(_c(a), _c(b), lambda x, y: (x - y) * (x - y)))
-
-
 def normalised(col: Column | str) -> Column:
     """The array divided by its own sum."""
     total = array_sum(col)

@@ -2,7 +2,7 @@
 
 `thresholds` finds the k-th smallest (key, tie) pairs by repeated histograms: every pass is a scan with
 a map-side combined aggregate of at most `BINS` rows per open range, and the rows themselves are never
-sorted or moved. A selection of exactly n rows is then a plain row filter. `exact_rank` is for the
+sorted or moved. Keys may be infinite or NaN; NaN comes last, as everywhere in Spark. A selection of exactly n rows is then a plain row filter. `exact_rank` is for the
 operators that need the position of *every* row.
 """
 
@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import HASH_RANGE, portable_hash
+from .session import cut_lineage
 
 BINS = 2048
-FINISH_ROWS = 4096  # a range this small is read back and sorted on the driver
+FINISH_ROWS = 4096  # a range this small is read back and sorted on the driver; the answer is the same
+EXTREMES = (float("-inf"), float("inf"), float("nan"))  # keys that no histogram can hold, with their places in the order
 
 
 @dataclass(frozen=True)
@@ -38,19 +40,24 @@ class _Range:
         return F.col("_k") if self.pinned is None else F.col("_t")
 
     def bin(self) -> Column:
-        span = float(self.hi) - float(self.lo)
-        at = (self.value() - F.lit(self.lo)).cast("double") / F.lit(span or 1.0) * BINS
-        return F.least(F.floor(at), F.lit(BINS - 1)).cast("int")
+        if isinstance(self.lo, int) and isinstance(self.hi, int):  # exact, also where a double is not
+            return F.floor(F.call_function("div", self.value() - F.lit(self.lo), F.lit((self.hi - self.lo) // BINS + 1)))
+        half = float(self.hi) / 2 - float(self.lo) / 2  # halves, so that the widest range is finite
+        at = (self.value().cast("double") / 2 - F.lit(float(self.lo) / 2)) / F.lit(half or 1.0) * BINS
+        return F.least(F.floor(at), F.lit(BINS - 1)).cast("bigint")
 
 
 def thresholds(df: DataFrame, key: Column | str, tie: Column | str,
                ranks: list[int] | Callable[[int], list[int]], span: tuple | None = None) -> list[tuple]:
     """The (key, tie) pair at each 1-based rank of the ascending order; `tie` must be unique per key.
 
-    `ranks` may be a function of the number of rows, which is counted here anyway. `span` is the range of the key
-    where it is known beforehand, and saves the pass that looks for it.
+    `ranks` may be a function of the number of rows, which is counted here anyway. `span` is the range of a finite key
+    where it is known beforehand, and saves the pass that looks for it. Key and tie are written out once, so no pass
+    computes the input again.
     """
-    work = df.select(_named(key, "_k"), _named(tie, "_t")).where(F.col("_k").isNotNull())
+    work = cut_lineage(df.select(_named(key, "_k"), _named(tie, "_t")).where(F.col("_k").isNotNull()))
+    if span is None and dict(work.dtypes)["_k"] in ("double", "float"):
+        return _around_extremes(work.withColumn("_k", F.col("_k").cast("double")), ranks)
     first_bins = None
     if span is None:
         total, lo, hi = work.agg(F.count("*"), F.min("_k"), F.max("_k")).first()
@@ -58,12 +65,41 @@ def thresholds(df: DataFrame, key: Column | str, tie: Column | str,
         lo, hi = span
         first_bins = _bins_of(work, [_Range(None, lo, hi)])
         total = sum(b[1] for b in first_bins[_Range(None, lo, hi)])
+    ranks = _checked(ranks, total)
+    return _search(work, {i: (_Range(None, lo, hi), rank, total) for i, rank in enumerate(ranks)}, first_bins)
+
+
+def _checked(ranks: list[int] | Callable[[int], list[int]], total: int) -> list[int]:
     ranks = ranks(total) if callable(ranks) else ranks
     for rank in ranks:
         if not 1 <= rank <= total:
             raise ValueError(f"rank {rank} outside 1..{total}")
-    open_ = {i: (_Range(None, lo, hi), rank, total) for i, rank in enumerate(ranks)}
+    return ranks
+
+
+def _around_extremes(work: DataFrame, ranks: list[int] | Callable[[int], list[int]]) -> list[tuple]:
+    """Ranks that fall on an infinite or NaN key are a search by tie alone; the others are a search among finite keys."""
+    k = F.col("_k")
+    finite = ~F.isnan(k) & (F.abs(k) < float("inf"))
+    at = {name: F.when(k == F.lit(v), F.col("_t")) for name, v in zip(("low", "high", "nan"), EXTREMES)}
+    stats = work.agg(F.count("*").alias("total"), F.count_if(finite).alias("n"), F.min(F.when(finite, k)).alias("lo"), F.max(F.when(finite, k)).alias("hi"),
+                     *[f(c).alias(f"{name}_{part}") for name, c in at.items() for part, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    blocks = [(_Range(EXTREMES[0], stats.low_lo, stats.low_hi), stats.low_n), (_Range(None, stats.lo, stats.hi), stats.n),
+              (_Range(EXTREMES[1], stats.high_lo, stats.high_hi), stats.high_n), (_Range(EXTREMES[2], stats.nan_lo, stats.nan_hi), stats.nan_n)]
+    open_ = {}
+    for i, rank in enumerate(_checked(ranks, stats.total)):
+        for rng, n in blocks:
+            if rank <= n:
+                open_[i] = (rng, rank, n)
+                break
+            rank -= n
+    return _search(work, open_)
+
+
+def _search(work: DataFrame, open_: dict[int, tuple], first_bins: dict | None = None) -> list[tuple]:
+    """open_: number of the answer -> (range that holds it, its rank there, rows there)."""
     found: dict[int, tuple] = {}
+    wanted = len(open_)
     while open_:
         small = {i: s for i, s in open_.items() if s[2] <= FINISH_ROWS}
         if small:
@@ -74,13 +110,14 @@ def thresholds(df: DataFrame, key: Column | str, tie: Column | str,
         if not open_:
             break
         bins = first_bins or _bins_of(work, [s[0] for s in open_.values()])
-        first_bins = None
-        for i, (rng, rank, _) in list(open_.items()):
+        for i, (rng, rank, before) in list(open_.items()):
             for _, n, lo, hi in bins[rng]:
                 if rank <= n:
                     break
                 rank -= n
             if lo != hi:
+                if (lo, hi, n) == (rng.lo, rng.hi, before) and not first_bins:
+                    raise RuntimeError(f"no progress between {lo!r} and {hi!r}")
                 open_[i] = (_Range(rng.pinned, lo, hi), rank, n)
             elif rng.pinned is not None:
                 found[i] = (rng.pinned, lo)
@@ -90,7 +127,8 @@ def thresholds(df: DataFrame, key: Column | str, tie: Column | str,
             else:
                 tie_ends = work.where(F.col("_k") == F.lit(lo)).agg(F.min("_t"), F.max("_t")).first()
                 open_[i] = (_Range(lo, tie_ends[0], tie_ends[1]), rank, n)
-    return [found[i] for i in range(len(ranks))]
+        first_bins = None
+    return [found[i] for i in range(wanted)]
 
 
 def _named(col: Column | str, name: str) -> Column:
@@ -124,7 +162,21 @@ def _rows_of(work: DataFrame, ranges: list[_Range]) -> dict[_Range, list[tuple]]
     out: dict[_Range, list[tuple]] = {r: [] for r in distinct}
     for row in tagged.select("_r", "_k", "_t").collect():
         out[distinct[row["_r"]]].append((row["_k"], row["_t"]))
-    return {r: sorted(v) for r, v in out.items()}
+    return {r: sorted(v) if r.pinned is None else sorted(v, key=lambda e: e[1]) for r, v in out.items()}
+
+
+def consecutive(df: DataFrame, by: str, out: str) -> DataFrame:
+    """`df` with the 0-based position of every row in the order of `by`, which should be unique.
+
+    The rows are range-partitioned, sorted and written once; what reaches the driver is one count per partition.
+    """
+    placed = cut_lineage(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    before, total = {}, 0
+    for p, n in sorted(placed.groupBy(part.cast("int").alias("p")).agg(F.count("*").alias("n")).collect()):
+        before[p], total = total, total + n
+    offsets = F.array(*[F.lit(before.get(p, 0)).cast("bigint") for p in range(max(before, default=0) + 1)])
+    return placed.withColumn(out, F.col("_place") - F.shiftleft(part, 33) + F.get(offsets, part.cast("int"))).drop("_place")
 
 
 def first_n_by(df: DataFrame, n: int | Callable[[int], int], key: Column, tie: str = "row_id",
@@ -163,7 +215,7 @@ def exact_rank(df: DataFrame, key: Column, tie: str = "row_id", out: str = "rank
     over many tasks. Counts per bucket (a bounded table per group) give the offsets.
     """
     if pieces is None:  # a few buckets per shuffle partition
-        pieces = max(2, min(512, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        pieces = max(2, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fractions = [i / pieces for i in range(1, pieces)]
     work = df.withColumn("_k", key.cast("double"))
     cuts = work.agg(F.percentile_approx("_k", fractions, 10 * pieces).alias("k"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
 
@@ -26,6 +28,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this session has written below its checkpoint folder, once no result that reads it is needed any more."""
+    root = spark.sparkContext.getCheckpointDir()
+    if root:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster whose Python path does not have it (an installed package needs no call)."""
+    sc = spark.sparkContext
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root, name = os.path.split(package)
+    if sc.master.startswith("local[") or sc.master == "local" or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = os.path.join(tempfile.gettempdir(), f"{name}-{sc.applicationId}.zip")
+    if not os.path.exists(archive):
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, files in os.walk(package):
+                for f in (f for f in files if f.endswith(".py")):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+        sc.addPyFile(archive)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path of its own below the checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -3,17 +3,21 @@
 "Within" means Euclidean distance strictly below delta; a row is within delta of itself.
 
 Range join. Points with equal features are collapsed first (one point, a weight), so a group of copies never
-meets itself. Each point goes to its nearest pivot and to a ring of the distance to that pivot. Counts and
-exact distance limits per (pivot, ring) form a small table whose size does not depend on the data; the
-triangle inequality sorts pairs of its entries into three kinds:
+meets itself. Each point goes to its nearest pivot and to a ring of the distance to that pivot; the number of pivots
+grows with the cube root of the points, the width of far rings with the distance. Counts and exact distance limits per
+(pivot, ring) form a table of the size of the index; the triangle inequality sorts pairs of its entries into three kinds:
 
 * no pair can be within delta: nothing to do;
 * every pair is within delta: the count of the whole entry is added, without looking at its points;
-* undecided: both sides are cut into blocks of bounded size by a hash, and each pair of blocks is one task-side
-  matrix product. A hot entry is many blocks on many tasks, never one group.
+* undecided: to be measured.
 
-Greedy selection keeps no edge table. Gains only fall, so a stale gain is an upper bound: each pick re-counts a
-small frontier against the uncovered points in one scan and stops as soon as no other row can do better.
+Entries in order are cut into strips of `TILE_ROWS` points (a hot entry into several, by a hash), and a point travels once
+to each strip of the other side that has an undecided entry for its own strip, so it is copied at most once per
+`TILE_ROWS` points, however many entries there are. A pair of strips is one task, which looks at undecided pairs of
+entries only, in blocks of `BLOCK_ROWS`.
+
+Greedy selection keeps no edge table and no candidates on the driver. Gains are a table; each pick takes its best row,
+finds the points it newly covers, counts them for the candidates within 2 delta of the pick, and subtracts.
 """
 
 from __future__ import annotations
@@ -34,10 +38,9 @@ from ..functions.arrays import _c, array_sum, to_matrix
 from ..functions.hashing import portable_hash
 from ..functions.session import cut_lineage
 
+TILE_ROWS = 32768      # points per strip: what a task holds of one side
 BLOCK_ROWS = 1024      # points per block: a pair of blocks is a 1024 x 1024 product
-MAX_PIVOTS = 256
-MAX_RINGS = 8
-FRONTIER = 256         # candidates re-counted per pick
+NEAR_RINGS = 8         # rings of a quarter of delta; further out a ring is twice as wide as the one before
 SLACK = 1e-9           # relative safety margin of the pruning limits; undecided pairs are always measured
 
 
@@ -85,33 +88,47 @@ class PointIndex:
     delta: float
 
 
+def digest(features: str = "features") -> tuple[Column, Column]:
+    """128 bits that stand for the features as a key."""
+    return F.xxhash64(features), F.xxhash64(F.lit(1), features)
+
+
 def index_points(df: DataFrame, delta: float, keep: list[str] = (), extra: list[Column] = ()) -> PointIndex:
-    """Collapse equal rows to (pid = lowest row id, features, weight = copies), combined map-side, and index them.
+    """Collapse equal rows to (d1, d2, features, pid = lowest row id, weight = copies), combined map-side, and index them.
 
     The indexed table is written to the checkpoint folder once; everything else reads it from there.
     """
-    points = df.groupBy("features", *keep).agg(F.min("row_id").alias("pid"), F.count("*").alias("weight"), *extra).persist()
-    try:
-        pivot_count = int(np.clip(points.count() // (4 * BLOCK_ROWS), 1, MAX_PIVOTS))
-        # Any points serve as pivots; the exactness does not depend on them.
-        chosen = points.orderBy(portable_hash("pid", "pivot"), "pid").limit(pivot_count).select("features").collect()
-        if not chosen:
-            empty = points.withColumns({"cell": F.lit(0), "dist": F.lit(0.0), "ring": F.lit(0)})
-            return PointIndex(cut_lineage(empty), np.zeros((1, 1)), delta)
-        pivots = np.array([r["features"] for r in chosen], dtype=float)
-        ring = F.least(F.floor(F.col("dist") / (delta / 4)), F.lit(MAX_RINGS - 1)).cast("int")
-        return PointIndex(cut_lineage(nearest_center(points, pivots).withColumn("ring", ring)), pivots, delta)
-    finally:
-        points.unpersist()
+    one, two = digest()
+    points = cut_lineage(df.groupBy(one.alias("d1"), two.alias("d2"), *keep)
+                         .agg(F.first("features").alias("features"), F.min("row_id").alias("pid"), F.count("*").alias("weight"), *extra))
+    pivot_count = max(1, round(points.count() ** (1 / 3)))
+    # Any points serve as pivots; the exactness does not depend on them.
+    chosen = points.orderBy(portable_hash("pid", "pivot"), "pid").limit(pivot_count).select("features").collect()
+    if not chosen:
+        return PointIndex(points.withColumns({"cell": F.lit(0), "dist": F.lit(0.0), "ring": F.lit(0)}), np.zeros((1, 1)), delta)
+    pivots = np.array([r["features"] for r in chosen], dtype=float)
+    near, far = F.floor(F.col("dist") / (delta / 4)), F.floor(F.log2(F.col("dist") / (delta / 4 * NEAR_RINGS)))
+    ring = F.when(near < NEAR_RINGS, near).otherwise(NEAR_RINGS + F.greatest(far, F.lit(0))).cast("int")
+    return PointIndex(cut_lineage(nearest_center(points, pivots).withColumn("ring", ring)), pivots, delta)
 
 
 @dataclass(frozen=True)
 class _Plan:
-    """What to do with each pair of (cell, ring) entries of the two sides."""
+    """What to do with the entries of the two sides."""
+
+    left: DataFrame   # per entry: distance limits, sure (summed weight of the right entries wholly within delta), strips, partner strips
+    right: DataFrame
+
+
+def _limits(l_lo, l_hi, r_lo, r_hi, between, delta: float):
+    """(every pair is within delta, some pair may be) of entries with these distance limits to their pivots."""
+    margin = SLACK * (1 + delta + between + l_hi + r_hi)
+    nearest = np.maximum.reduce([between - l_hi - r_hi, l_lo - between - r_hi, r_lo - between - l_hi])
+    return between + l_hi + r_hi < delta - margin, nearest < delta + margin
+
 
-    full: DataFrame   # lc, lr, rc, rr: every pair is within delta
-    check: DataFrame  # lc, lr, rc, rr, blocks and distance limits of both sides: pairs to measure
-    sure: DataFrame   # lc, lr, sure: summed weight of the entries wholly within delta
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
 
 
 def _entries(df: DataFrame) -> DataFrame:
@@ -119,30 +136,47 @@ def _entries(df: DataFrame) -> DataFrame:
                                           F.min("dist").alias("lo"), F.max("dist").alias("hi"))
 
 
-def _plan(left: DataFrame, right: DataFrame, index: PointIndex) -> _Plan:
-    """At most MAX_PIVOTS * MAX_RINGS entries per side come back to the driver, whatever the data."""
+def _strips(entries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first strip, strips) of each entry and the number of strips: small entries share one, large ones get several."""
+    first, parts, strip, room = [], [], -1, 0
+    for n in entries.n:
+        if n > TILE_ROWS:
+            need = -(-n // TILE_ROWS)
+            first.append(strip + 1), parts.append(need)
+            strip, room = strip + need, 0
+        else:
+            if n > room:
+                strip, room = strip + 1, TILE_ROWS
+            room -= n
+            first.append(strip), parts.append(1)
+    return np.array(first, dtype=int), np.array(parts, dtype=int), strip + 1
+
+
+def _plan(left: DataFrame, right: DataFrame, index: PointIndex, count_whole: bool) -> _Plan:
+    """The entries of both sides come to the driver: as many as the index has, some for each cube root of the points.
+
+    With `count_whole` entries wholly within delta are not measured, but summed as `sure`.
+    """
     spark, delta, pivots = right.sparkSession, index.delta, index.pivots
     table = _entries(left).withColumn("side", F.lit(0)).unionByName(_entries(right).withColumn("side", F.lit(1))).toPandas()
-    ls, rs = table[table.side == 0].reset_index(drop=True), table[table.side == 1].reset_index(drop=True)
-    between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2))[np.ix_(ls.cell, rs.cell)]
-    l_lo, l_hi, r_lo, r_hi = ls.lo.values[:, None], ls.hi.values[:, None], rs.lo.values[None], rs.hi.values[None]
-    margin = SLACK * (1 + delta + between + l_hi + r_hi)
-    nearest = np.maximum.reduce([between - l_hi - r_hi, l_lo - between - r_hi, r_lo - between - l_hi])
-    is_full = between + l_hi + r_hi < delta - margin
-    is_check = ~is_full & (nearest < delta + margin)
-    i, j = np.nonzero(is_full)
-    full = pd.DataFrame({"lc": ls.cell.values[i], "lr": ls.ring.values[i], "rc": rs.cell.values[j], "rr": rs.ring.values[j]})
-    sure = pd.DataFrame({"lc": ls.cell, "lr": ls.ring, "sure": (is_full @ rs.weight.values.astype("int64")).astype("int64")})
-    i, j = np.nonzero(is_check)
-    blocks = lambda n: np.maximum(1, -(-n // BLOCK_ROWS))
-    check = pd.DataFrame({"lc": ls.cell.values[i], "lr": ls.ring.values[i], "rc": rs.cell.values[j], "rr": rs.ring.values[j],
-                          "l_blocks": blocks(ls.n.values[i]), "r_blocks": blocks(rs.n.values[j]),
-                          "between": between[i, j], "reach": delta + margin[i, j], "l_lo": ls.lo.values[i], "l_hi": ls.hi.values[i],
-                          "r_lo": rs.lo.values[j], "r_hi": rs.hi.values[j]})
-    ids = "lc int, lr int, rc int, rr int"
-    limits = "l_blocks int, r_blocks int, between double, reach double, l_lo double, l_hi double, r_lo double, r_hi double"
-    return _Plan(spark.createDataFrame(full, ids), spark.createDataFrame(check, f"{ids}, {limits}"),
-                 spark.createDataFrame(sure, "lc int, lr int, sure bigint"))
+    sides = [table[table.side == k].sort_values(["cell", "ring"]).reset_index(drop=True) for k in (0, 1)]
+    ls, rs = sides
+    (l_first, l_parts, l_count), (r_first, r_parts, r_count) = _strips(ls), _strips(rs)
+    sure, need = np.zeros(len(ls), dtype="int64"), np.zeros((l_count, r_count), dtype=bool)
+    for i, e in ls.iterrows() if len(rs) else ():
+        whole, may = _limits(e.lo, e.hi, rs.lo.to_numpy(), rs.hi.to_numpy(), _distances(pivots[[int(e.cell)]], pivots[rs.cell.to_numpy(int)])[0], delta)
+        if count_whole:
+            sure[i] = rs.weight.to_numpy("int64")[whole].sum()
+            may &= ~whole
+        strips = np.unique(np.concatenate([np.arange(f, f + p) for f, p in zip(r_first[may], r_parts[may])])) if may.any() else np.zeros(0, int)
+        need[np.ix_(np.arange(l_first[i], l_first[i] + l_parts[i]), strips)] = True
+
+    def side(entries: pd.DataFrame, first: np.ndarray, parts: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        rows = [(int(c), int(r), float(lo), float(hi), int(s), int(f), int(p), [[int(x) for x in np.nonzero(matrix[k])[0]] for k in range(f, f + p)])
+                for c, r, lo, hi, s, f, p in zip(entries.cell, entries.ring, entries.lo, entries.hi, sure if entries is ls else [0] * len(entries), first, parts)]
+        return spark.createDataFrame(rows, "ec int, er int, lo double, hi double, sure bigint, first int, parts int, partners array<array<int>>")
+
+    return _Plan(side(ls, l_first, l_parts, need), side(rs, r_first, r_parts, need.T))
 
 
 def within(x: np.ndarray, y: np.ndarray, delta: float) -> np.ndarray:
@@ -155,34 +189,58 @@ def within(x: np.ndarray, y: np.ndarray, delta: float) -> np.ndarray:
     return hit
 
 
-def _measure(left: DataFrame, right: DataFrame, check: DataFrame, per_pair: Callable, schema: str) -> DataFrame:
-    """Run `per_pair(left block, right block)` for every pair of blocks to measure."""
-    keys = ["lc", "lr", "rc", "rr", "lb", "rb"]
-    block = lambda n: F.pmod(F.xxhash64("pid"), F.col(n)).cast("int")
-    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # A single point can often be ruled out where its whole entry could not.
-    near = lambda lo, hi: F.greatest(F.col("between") - F.col("dist") - F.col(hi), F.col("dist") - F.col("between") - F.col(hi),
-                                     F.col(lo) - F.col("between") - F.col("dist")) < F.col("reach")
-    left = (left.join(check, (F.col("cell") == F.col("lc")) & (F.col("ring") == F.col("lr")) & near("r_lo", "r_hi"))
-            .select(*keys[:4], "pid", "features", block("l_blocks").alias("lb"), others("r_blocks").alias("rb")))
-    right = (right.join(check, (F.col("cell") == F.col("rc")) & (F.col("ring") == F.col("rr")) & near("l_lo", "l_hi"))
-             .select(*keys[:4], "pid", "features", "weight", block("r_blocks").alias("rb"), others("l_blocks").alias("lb")))
-    right = right.toDF(*right.columns)  # its own column ids: both sides were joined to the same table
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(per_pair, schema)
+def _dealt(points: DataFrame, entries: DataFrame, own: str, other: str, *cols: str) -> DataFrame:
+    """The points with their strip and, a copy for each, the strips of the other side they have to meet."""
+    part = F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int")
+    return (points.join(entries, (F.col("cell") == F.col("ec")) & (F.col("ring") == F.col("er")))
+            .select((F.col("first") + part).alias(own), F.explode(F.get("partners", part)).alias(other), "cell", "ring", "dist", "lo", "hi", "pid", "features", *cols))
+
+
+def _near_blocks(a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray, delta: float, count_whole: bool):
+    """(rows of a, rows of b, boolean matrix within delta) of the blocks of two strips that have to be measured."""
+    def entries(side: pd.DataFrame):
+        order = np.lexsort((side.ring.to_numpy(), side.cell.to_numpy()))
+        cell, ring, dist, lo, hi = (side[c].to_numpy()[order] for c in ("cell", "ring", "dist", "lo", "hi"))
+        ends = np.append(np.nonzero((np.diff(cell) != 0) | (np.diff(ring) != 0))[0] + 1, len(cell))
+        starts = np.append(0, ends[:-1])
+        return [(order[s:e], cell[s], lo[s], hi[s], dist[s:e].min(), dist[s:e].max()) for s, e in zip(starts, ends)]
+
+    x, y = np.stack(a.features), np.stack(b.features)
+    right = entries(b)
+    r_cell, r_lo, r_hi, here_lo, here_hi = (np.array([e[k] for e in right]) for k in range(1, 6))
+    for rows, cell, lo, hi, own_lo, own_hi in entries(a):
+        between = _distances(pivots[[cell]], pivots[r_cell])[0]
+        may = _limits(own_lo, own_hi, here_lo, here_hi, between, delta)[1]  # by the points that are here
+        if count_whole:
+            may &= ~_limits(lo, hi, r_lo, r_hi, between, delta)[0]  # by all points of the entries, as the plan has it
+        for k in np.nonzero(may)[0]:
+            for s in range(0, len(rows), BLOCK_ROWS):
+                for t in range(0, len(right[k][0]), BLOCK_ROWS):
+                    i, j = rows[s:s + BLOCK_ROWS], right[k][0][t:t + BLOCK_ROWS]
+                    yield i, j, within(x[i], y[j], delta)
+
+
+def _measure(left: DataFrame, right: DataFrame, plan: _Plan, per_strips: Callable, schema: str) -> DataFrame:
+    a, b = _dealt(left, plan.left, "ls", "rs"), _dealt(right, plan.right, "rs", "ls", "weight")
+    b = b.toDF(*b.columns)  # its own column ids: both sides may come from the same table
+    return a.groupBy("ls", "rs").cogroup(b.groupBy("ls", "rs")).applyInPandas(per_strips, schema)
 
 
 def neighbor_weights(left: DataFrame, right: DataFrame, index: PointIndex) -> DataFrame:
     """`left` with `n_within`, the summed weight of the `right` points within delta. Both are parts of the index."""
-    plan, delta = _plan(left, right, index), index.delta
+    plan, pivots, delta = _plan(left, right, index, True), index.pivots, index.delta
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"pid": [], "m": []})
-        m = within(np.stack(a.features), np.stack(b.features), delta) @ b.weight.to_numpy()
-        return pd.DataFrame({"pid": a.pid[m > 0], "m": m[m > 0]})
-
-    measured = _measure(left, right, plan.check, count, "pid bigint, m bigint").groupBy("pid").agg(F.sum("m").alias("m"))
-    return (left.join(plan.sure, (F.col("cell") == F.col("lc")) & (F.col("ring") == F.col("lr"))).join(measured, "pid", "left")
+        total = np.zeros(len(a), dtype="int64")
+        if len(a) and len(b):
+            weight = b.weight.to_numpy("int64")
+            for i, j, near in _near_blocks(a, b, pivots, delta, True):
+                total[i] += near @ weight[j]
+        return pd.DataFrame({"pid": a.pid[total > 0], "m": total[total > 0]})
+
+    measured = _measure(left, right, plan, count, "pid bigint, m bigint").groupBy("pid").agg(F.sum("m").alias("m"))
+    sure = plan.left.select("ec", "er", "sure")
+    return (left.join(sure, (F.col("cell") == F.col("ec")) & (F.col("ring") == F.col("er"))).join(measured, "pid", "left")
             .select(*left.columns, (F.col("sure") + F.coalesce("m", F.lit(0))).cast("bigint").alias("n_within")))
 
 
@@ -192,28 +250,31 @@ def neighbors(df: DataFrame, delta: float) -> DataFrame:
     The pair list is as large as the answer. The acquisition rules below never build it.
     """
     index = index_points(df, delta)
-    points = index.points
-    plan = _plan(points, points, index)
+    points, pivots = index.points, index.pivots
 
     def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"i": [], "j": [], "copies": []})
-        i, j = np.nonzero(within(np.stack(a.features), np.stack(b.features), delta))
-        return pd.DataFrame({"i": a.pid.values[i], "j": b.pid.values[j], "copies": b.weight.values[j]})
+        found = []
+        if len(a) and len(b):
+            left, right, copies = a.pid.to_numpy(), b.pid.to_numpy(), b.weight.to_numpy()
+            for i, j, near in _near_blocks(a, b, pivots, delta, False):
+                r, c = np.nonzero(near)
+                found.append((left[i[r]], right[j[c]], copies[j[c]]))
+        cols = [np.concatenate(c) if found else np.zeros(0, "int64") for c in (zip(*found) if found else [(), (), ()])]
+        return pd.DataFrame(dict(zip(("i", "j", "copies"), cols)))
 
-    measured = _measure(points, points, plan.check, pairs, "i bigint, j bigint, copies bigint")
-    whole = (points.select("cell", "ring", F.col("pid").alias("i"))
-             .join(plan.full, (F.col("cell") == F.col("lc")) & (F.col("ring") == F.col("lr"))).select("i", "rc", "rr")
-             .join(points.select("cell", "ring", F.col("pid").alias("j"), F.col("weight").alias("copies")),
-                   (F.col("cell") == F.col("rc")) & (F.col("ring") == F.col("rr"))).select("i", "j", "copies"))
-    return measured.unionByName(whole)
+    return _measure(points, points, _plan(points, points, index, False), pairs, "i bigint, j bigint, copies bigint")
+
+
+def _with_digest(df: DataFrame, *names: str) -> DataFrame:
+    one, two = digest()
+    return df.select("row_id", *names, one.alias("d1"), two.alias("d2"))
 
 
 def neighbor_counts(df: DataFrame, delta: float) -> DataFrame:
     """Per row, how many rows (itself and copies included) lie within delta."""
     index = index_points(df, delta)
-    counts = neighbor_weights(index.points, index.points, index).select("features", F.col("n_within").alias("n_neighbors"))
-    return df.select("row_id", "features").join(counts, "features").drop("features")
+    counts = neighbor_weights(index.points, index.points, index).select("d1", "d2", F.col("n_within").alias("n_neighbors"))
+    return _with_digest(df).join(counts, ["d1", "d2"]).select("row_id", "n_neighbors")
 
 
 # --- covered, gain ---------------------------------------------------------------------------------
@@ -241,103 +302,90 @@ def _pool_gain(index: PointIndex, uncovered: DataFrame) -> DataFrame:
 
 def covered(df: DataFrame, delta: float) -> DataFrame:
     """Rows within delta of any labelled row."""
-    hit = _cover(_labelled_index(df, delta)).where("n_within > 0").select("features")
-    return df.select("row_id", "features").join(hit, "features", "left_semi").select("row_id")
+    hit = _cover(_labelled_index(df, delta)).where("n_within > 0").select("d1", "d2")
+    return _with_digest(df).join(hit, ["d1", "d2"], "left_semi").select("row_id")
 
 
 def gain(df: DataFrame, delta: float) -> DataFrame:
     """Per row, the number of uncovered rows within delta; 0 for labelled rows."""
     index = _labelled_index(df, delta)
-    pool = _pool_gain(index, _uncovered(index)).select("features", "gain")
-    return (df.select("row_id", "features", "labelled").join(pool, "features", "left")
+    pool = _pool_gain(index, _uncovered(index)).select("d1", "d2", "gain")
+    return (_with_digest(df, "labelled").join(pool, ["d1", "d2"], "left")
             .select("row_id", F.when(F.col("labelled"), 0).otherwise(F.coalesce("gain", F.lit(0))).cast("bigint").alias("gain")))
 
 
 # --- greedy selection ------------------------------------------------------------------------------
 
-def _count_frontier(uncovered: DataFrame, candidates: np.ndarray, picked: np.ndarray, delta: float) -> np.ndarray:
-    """Uncovered weight within delta of each candidate, leaving out what the picks cover: one scan, no shuffle of rows."""
-    k = len(candidates)
-    shared = uncovered.sparkSession.sparkContext.broadcast((candidates, picked))
-
+def _ball(points: DataFrame, center: np.ndarray, radius: float, outside: np.ndarray, delta: float) -> DataFrame:
+    """The points within `radius` of a centre that are not within delta of the `outside` points (at most a batch): one scan."""
     def run(batches):
-        cand, done = shared.value
-        total = np.zeros(len(cand), dtype="int64")
         for batch in batches:
-            x = to_matrix(batch.column("features"), cand.shape[1])
-            w = batch.column("weight").to_numpy()
-            if len(done):
-                open_ = ~within(x, done, delta).any(1)
-                x, w = x[open_], w[open_]
-            if len(x):
-                total += within(cand, x, delta) @ w
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cand))), pa.array(total)], names=["c", "m"])
-
-    rows = uncovered.select("features", "weight").mapInArrow(run, "c bigint, m bigint").groupBy("c").agg(F.sum("m").alias("m")).collect()
-    shared.unpersist()
-    out = np.zeros(k, dtype="int64")
-    for r in rows:
-        out[r["c"]] = r["m"]
-    return out
-
-
-@dataclass
-class _Candidate:
-    row_id: int
-    score: float     # what the score was, or is known to be at most, now
-    bonus: float
-    gain: int
-    copies: int
-    features: list
-
-
-def _fetch(gains: DataFrame, after: tuple | None, n: int) -> list[_Candidate]:
-    """The next n candidates by (score descending, row id)."""
-    if after is not None:
-        score, row_id = after
-        gains = gains.where((F.col("score") < F.lit(score)) | ((F.col("score") == F.lit(score)) & (F.col("pool_id") > F.lit(row_id))))
-    rows = gains.orderBy(F.desc("score"), "pool_id").limit(n).collect()
-    return [_Candidate(r["pool_id"], r["score"], r["bonus"], r["gain"], r["pool_copies"], r["features"]) for r in rows]
+            x = to_matrix(batch.column("features"), len(center))
+            keep = within(x, center[None], radius)[:, 0] if len(x) else np.zeros(0, bool)
+            if len(outside) and keep.any():
+                keep[keep] = ~within(x[keep], outside, delta).any(1)
+            yield batch.filter(pa.array(keep))
+
+    return points.mapInArrow(run, points.schema)
+
+
+def _losses(near: DataFrame, newly: DataFrame, delta: float, tiles: int) -> DataFrame:
+    """(pid, m): the summed weight of the newly covered points within delta of each candidate near the pick.
+
+    All of them lie in one ball, so no index could rule out much: strips by hash, every candidate strip meets every other.
+    """
+    deal = lambda name: F.pmod(F.xxhash64(name), F.lit(tiles)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    a = near.select(deal("pid").alias("ls"), every.alias("rs"), "pid", "features")
+    b = newly.select(deal("pid").alias("rs"), every.alias("ls"), "features", "weight")
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(a), dtype="int64")
+        if len(a) and len(b):
+            x, y, weight = np.stack(a.features), np.stack(b.features), b.weight.to_numpy("int64")
+            for s in range(0, len(x), BLOCK_ROWS):
+                for t in range(0, len(y), BLOCK_ROWS):
+                    total[s:s + BLOCK_ROWS] += within(x[s:s + BLOCK_ROWS], y[t:t + BLOCK_ROWS], delta) @ weight[t:t + BLOCK_ROWS]
+        return pd.DataFrame({"pid": a.pid[total > 0], "m": total[total > 0]})
+
+    return a.groupBy("ls", "rs").cogroup(b.groupBy("ls", "rs")).applyInPandas(count, "pid bigint, m bigint").groupBy("pid").agg(F.sum("m").alias("m"))
 
 
 def _greedy(df: DataFrame, delta: float, batch: int, bonus: Column | None) -> DataFrame:
+    """Gains are exact after every pick, so the best row is one aggregate. A group of copies with equal bonus is one
+    candidate that lasts for as many picks as it has unlabelled rows, lowest id first."""
     spark = df.sparkSession
     mixed = bonus is not None
-    index = _labelled_index(df.withColumn("bonus", bonus if mixed else F.lit(0.0)), delta, ["bonus"])
+    df = df.withColumn("bonus", bonus if mixed else F.lit(0.0))
+    index = _labelled_index(df, delta, ["bonus"])
     uncovered = _uncovered(index)
-    gains = cut_lineage(_pool_gain(index, uncovered).withColumn("score", F.col("bonus") + F.col("gain")))
-    uncovered.persist()  # scanned once per pick; lost blocks are read again from the checkpoint
-    frontier = _fetch(gains, None, FRONTIER)
-    after = (frontier[-1].score, frontier[-1].row_id) if len(frontier) == FRONTIER else None
-    picks: list[_Candidate] = []
-    rows = []
-    stale = False  # whether scores in the frontier may exceed their present value
-    while len(rows) < batch and frontier:
-        if stale:
-            counts = _count_frontier(uncovered, np.array([c.features for c in frontier], dtype=float),
-                                     np.array([c.features for c in picks], dtype=float), delta)
-            for c, m in zip(frontier, counts):
-                c.gain, c.score = int(m), c.bonus + int(m)
-            stale = False
-        best = min(frontier, key=lambda c: (-c.score, c.row_id))
-        if after is not None and (-after[0], after[1]) < (-best.score, best.row_id):
-            more = _fetch(gains, after, FRONTIER)  # a row outside the frontier could still be better
-            after = (more[-1].score, more[-1].row_id) if len(more) == FRONTIER else None
-            frontier, stale = frontier + more, bool(picks)
-            if more:
-                continue
-        if not mixed and best.gain == 0:
+    waiting = cut_lineage(_with_digest(df.where(~F.col("labelled")), "bonus")) if mixed else None
+    gains = cut_lineage(_pool_gain(index, uncovered).select("pid", "d1", "d2", "features", "bonus", "pool_id", "gain"))
+    rows: list[tuple] = []
+    picked: list[list] = []
+    while len(rows) < batch:
+        score = F.col("bonus") + F.col("gain")
+        best = gains.where(F.col("pool_id").isNotNull()).agg(F.min_by(F.struct(score.alias("score"), *gains.columns), F.struct(-score, "pool_id")).alias("b")).first().b
+        if best is None or (not mixed and best.gain == 0):
+            break
+        rows.append((len(rows) + 1, best.pool_id, best.gain, best.score))
+        if len(rows) == batch:
             break
-        rows.append((len(rows) + 1, best.row_id, best.gain, best.score))
-        picks.append(best)
-        frontier = [c for c in frontier if c is not best]
-        if mixed and best.copies > 1:  # a copy keeps its own bonus
-            again = df.where(~F.col("labelled") & (F.col("features") == F.array(*[F.lit(float(v)) for v in best.features]))
-                             & (F.col("row_id") > best.row_id)).agg(F.min("row_id")).first()[0]
-            if again is not None:
-                frontier.append(_Candidate(again, best.bonus, best.bonus, 0, best.copies - 1, best.features))
-        stale = True
-    uncovered.unpersist()
+        following = None
+        if mixed:
+            same = (F.col("d1") == best.d1) & (F.col("d2") == best.d2) & F.col("bonus").eqNullSafe(F.lit(best.bonus)) & (F.col("row_id") > best.pool_id)
+            following = waiting.where(same).agg(F.min("row_id")).first()[0]
+        after = F.when(F.col("pid") == best.pid, F.lit(following).cast("bigint")).otherwise(F.col("pool_id"))
+        left = F.col("gain")
+        if best.gain:
+            center = np.array(best.features, dtype=float)
+            newly = _ball(uncovered, center, delta, np.array(picked, dtype=float), delta)
+            near = cut_lineage(_ball(gains.select("pid", "features"), center, 2 * delta * (1 + SLACK), np.zeros((0, 1)), delta))
+            tiles = max(1, -(-near.count() // TILE_ROWS))
+            gains = gains.join(_losses(near, newly, delta, tiles), "pid", "left")
+            left = left - F.coalesce("m", F.lit(0))
+            picked.append(best.features)
+        gains = cut_lineage(gains.select("pid", "d1", "d2", "features", "bonus", after.alias("pool_id"), left.cast("bigint").alias("gain")))
     return spark.createDataFrame(rows, "pick bigint, row_id bigint, gain bigint, score double")
 
 

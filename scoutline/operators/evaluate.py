@@ -11,8 +11,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.selection import thresholds
-from ..functions.session import concurrently
+from ..functions.selection import exact_rank, thresholds
+from ..functions.session import concurrently, cut_lineage
 from .features import binarize
 
 RATIOS = [0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50]  # fixed values of the metric report
@@ -90,6 +90,7 @@ def with_f1(rows: DataFrame) -> DataFrame:
 
 def error_curve(df: DataFrame, ratios: list[float] = RATIOS, label: str = "y", pred: str = "pred") -> DataFrame:
     """(ratio, MAE of the top rows, 1 / F1), the data of the error plot."""
+    df = cut_lineage(df.select("row_id", label, pred))  # read by both searches and both reports
     mae = top_ratio_mae(df, ratios, label, pred).select("ratio", "mae")
     f1 = rank_threshold_confusion(df, ratios, label, pred).select("ratio", (1 / F.col("f1")).alias("inverse_f1"))
     return mae.join(f1, "ratio")
@@ -100,6 +101,30 @@ def evaluate_representations(preds: DataFrame) -> DataFrame:
     return regression_metrics(preds, ["view", "kind"])
 
 
+def representation_report(preds: DataFrame, by: list[str] = ("view", "kind"), ratios: list[float] = RATIOS, label: str = "y",
+                          pred: str = "pred") -> DataFrame:
+    """R2, MAE and RMSE of each group with, per ratio, the MAE of its top rows and the counts and F1 at its label threshold.
+
+    Every row is ranked once in each direction within its group (groups are cut into buckets, so one may hold all rows);
+    all ratios are then conditional aggregates.
+    """
+    by = list(by)
+    base = cut_lineage(preds.select(*by, "row_id", F.col(label).alias("y"), F.col(pred).alias("pred")))
+    ranked = exact_rank(base, F.col("y"), out="_up", by=by)
+    ranked = cut_lineage(exact_rank(ranked, -F.col("y"), out="_down", by=by))
+    sizes = ranked.groupBy(*by).agg(F.count("*").alias("n"))
+    place = lambda r: F.floor(F.col("n") * F.lit(r))
+    sized = ranked.join(sizes, by)
+    cuts = sized.groupBy(*by).agg(F.first("n").alias("n"), F.array(*[F.struct(
+        F.lit(r).alias("ratio"), F.first(place(r)).cast("bigint").alias("k"), F.max(F.when(F.col("_up") == place(r), F.col("y"))).alias("threshold"),
+        F.avg(F.when(F.col("_down") < place(r), F.abs(F.col("y") - F.col("pred")))).alias("top_mae")) for r in ratios]).alias("cuts")).drop("n")
+    y, p, c = F.col("y"), F.col("pred"), F.col("c.threshold")
+    counts = (ranked.select(*by, "y", "pred").join(cuts, by).withColumn("c", F.explode("cuts")).groupBy(*by, "c")
+              .agg(F.count_if((y > c) & (p > c)).alias("tp"), F.count_if((y < c) & (p < c)).alias("tn"),
+                   F.count_if((y > c) & (p < c)).alias("fn"), F.count_if((y < c) & (p > c)).alias("fp")))
+    return with_f1(counts.select(*by, "c.*", "tp", "tn", "fn", "fp")).join(regression_metrics(base, by, "y", "pred"), by)
+
+
 def prediction_matrix(preds: DataFrame, series: list[str]) -> DataFrame:
     """One row per row id, one column per series (view, kind and round joined by `_`)."""
     name = F.concat_ws("_", "view", "kind", "round")

@@ -26,9 +26,17 @@ GOLDEN = 2654435761  # multiplicative hash constant, 2^32 / golden ratio
 # --- encode each distinct component once -----------------------------------------------------------
 
 def distinct_components(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The distinct component values over all columns, as `component`."""
-    return (df.select(F.explode(F.array_distinct(F.array(*cols))).alias("component"))
-            .where(F.col("component").isNotNull()).distinct())
+    """The distinct component values over all columns, as `component`, with their 128-bit digests d1 and d2.
+
+    Grouping is by digest, so a long text crosses the network once per task that has it, and never as a key.
+    """
+    one, two = _digest("component")
+    return (df.select(F.explode(F.array_distinct(F.array(*cols))).alias("component")).where(F.col("component").isNotNull())
+            .groupBy(one.alias("d1"), two.alias("d2")).agg(F.first("component").alias("component")))
+
+
+def _digest(col: str) -> tuple[Column, Column]:
+    return F.xxhash64(col), F.xxhash64(F.lit(1), col)
 
 
 def encode_distinct(df: DataFrame, cols: list[str], encoder: Callable[[Column], Column]) -> DataFrame:
@@ -38,10 +46,11 @@ def encode_distinct(df: DataFrame, cols: list[str], encoder: Callable[[Column],
     second column makes Spark encode again, and the joins see their true size: a small block table is broadcast,
     a large one is shuffled and its hot components are split by adaptive execution.
     """
-    blocks = cut_lineage(distinct_components(df, cols).withColumn("block", encoder(F.col("component"))))
+    blocks = cut_lineage(distinct_components(df, cols).select("d1", "d2", encoder(F.col("component")).alias("block")))
     for col in cols:
-        lookup = blocks.select(F.col("component").alias(f"_{col}"), F.col("block").alias(f"{col}_enc"))
-        df = df.join(lookup, F.col(col) == F.col(f"_{col}"), "left").drop(f"_{col}")
+        lookup = blocks.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("block").alias(f"{col}_enc"))
+        one, two = _digest(col)
+        df = df.join(lookup, (one == F.col("_d1")) & (two == F.col("_d2")) & F.col(col).isNotNull(), "left").drop("_d1", "_d2")
     return df
 
 
@@ -80,28 +89,49 @@ def vocab_index(vocab: DataFrame, cols: list[str]) -> dict[str, tuple[dict[str,
 def one_hot(df: DataFrame, cols: list[str], vocab: DataFrame, out: str = "slots") -> DataFrame:
     """The set slots of the flattened position x character matrix, columns one after another.
 
-    The block is kept sparse, as the ascending array of slots that hold a 1.
+    The block is kept sparse, as the ascending array of slots that hold a 1. A character outside the vocabulary gives a
+    null slot. Characters are looked up by code point in one sorted array per column, a batch at a time.
     """
     index = vocab_index(vocab, cols)
     blocks, offset = [], 0
     for col in cols:
         chars, max_len = index[col]
-        width = len(chars)
-        lookup = F.create_map(*[F.lit(x) for kv in chars.items() for x in kv])
-        blocks.append(_slots_of(_chars(col), lookup, width, offset))
-        offset += max_len * width
+        blocks.append(_slot_encoder(chars, offset)(F.col(col)))
+        offset += max_len * len(chars)
     return df.withColumn(out, F.concat(*blocks))
 
 
-def _slots_of(chars: Column, lookup: Column, width: int, offset: int) -> Column:
-    return F.transform(chars, lambda ch, i: (i * width + lookup[ch] + offset).cast("bigint"))
+def _slot_encoder(chars: dict[str, int], offset: int) -> Callable[[Column], Column]:
+    pairs = sorted((ord(ch), i) for ch, i in chars.items())
+    codes, numbers = np.array([p[0] for p in pairs], dtype=np.int64), np.array([p[1] for p in pairs], dtype=np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def slots(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            at = np.minimum(np.searchsorted(codes, points), max(len(codes) - 1, 0))
+            known = codes[at] == points if len(codes) else np.zeros(len(points), bool)
+            slot = np.arange(len(points)) * len(codes) + (numbers[at] if len(codes) else 0) + offset
+            out.append(slot if known.all() else [int(v) if k else None for v, k in zip(slot, known)])
+        return pd.Series(out)
 
+    return slots
 
-def _text_of(slots: Column, letters: Column, first: int, end: int) -> Column:
-    width = F.size(letters)
-    local = F.transform(F.sort_array(F.filter(slots, lambda s: (s >= first) & (s < end))), lambda s: s - first)
-    filled = F.filter(local, lambda s, i: F.floor(s / width) == i)
-    return F.array_join(F.transform(filled, lambda s: F.element_at(letters, ((s % width) + 1).cast("int"))), "")
+
+def _slot_decoder(letters: list[str], first: int, end: int) -> Callable[[Column], Column]:
+    """Up to the first position without a character."""
+    @F.pandas_udf("string")
+    def text(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            local = np.sort(np.asarray([v for v in row if v is not None and first <= v < end], dtype=np.int64)) - first
+            at, which = np.divmod(local, max(len(letters), 1))
+            off = np.nonzero(at != np.arange(len(at)))[0]
+            out.append("".join(letters[k] for k in which[:off[0] if len(off) else len(which)]))
+        return pd.Series(out, dtype=object)
+
+    return text
 
 
 def one_hot_decode(df: DataFrame, cols: list[str], vocab: DataFrame, slots: str = "slots") -> DataFrame:
@@ -110,9 +140,9 @@ def one_hot_decode(df: DataFrame, cols: list[str], vocab: DataFrame, slots: str
     offset, decoded = 0, {}
     for col in cols:
         chars, max_len = index[col]
-        letters = F.array(*[F.lit(ch) for ch, _ in sorted(chars.items(), key=lambda kv: kv[1])])
-        decoded[col] = _text_of(F.col(slots), letters, offset, offset + max_len * len(chars))
-        offset += max_len * len(chars)
+        end = offset + max_len * len(chars)
+        decoded[col] = _slot_decoder([ch for ch, _ in sorted(chars.items(), key=lambda kv: kv[1])], offset, end)(F.col(slots))
+        offset = end
     return df.withColumns(decoded)
 
 
@@ -143,12 +173,6 @@ def encode(df: DataFrame, cols: list[str], encoder: Callable[[Column], Column],
     return encode_distinct(df, cols, encoder) if distinct else df.withColumns({f"{c}_enc": encoder(F.col(c)) for c in cols})
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For a plain scan, before work that is heavy per row: use every core when the files give fewer partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def hash_fingerprint(df: DataFrame, cols: list[str], n_bits: int = 2048, n: int = 3, out: str = "slots",
                      distinct: bool = True) -> DataFrame:
     """Fingerprints of several components side by side."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import to_matrix
+from ..functions.session import cut_lineage
 from .features import slots_to_vector
 
 
@@ -62,13 +63,15 @@ def fit_svd(df: DataFrame, k: int, col: str = "features") -> SvdModel:
     MLlib chooses between a local decomposition of the Gram matrix (narrow) and distributed
     Gram-times-vector products (wide).
     """
+    df = cut_lineage(df.select(col))  # the iterative fit reads it many times
     width, rows = df.select(F.size(col)).first()[0], df.count()
     return _fit(df.select(array_to_vector(F.col(col)).alias("v")), rows, width, k)
 
 
 def fit_svd_slots(df: DataFrame, width: int, k: int, slots: str = "slots") -> SvdModel:
     """As `fit_svd` for sparse 0/1 rows given by their set slots, without making them dense."""
-    return _fit(slots_to_vector(df.select(slots), slots, width, "v").select("v"), df.count(), width, k)
+    df = cut_lineage(df.select(slots))
+    return _fit(slots_to_vector(df, slots, width, "v").select("v"), df.count(), width, k)
 
 
 def _fit(vectors: DataFrame, rows: int, width: int, k: int) -> SvdModel:
@@ -95,6 +98,6 @@ def truncated_svd(df: DataFrame, k: int, fit_on: DataFrame | None = None, col: s
     """Projected rows and the explained-variance ratio; `fit_on` widens the fit beyond the rows projected."""
     fit_rows = df if fit_on is None else fit_on
     model = fit_svd(fit_rows, k, col)
-    both = model.transform(fit_rows.withColumn("_original", F.col(col)), col)
+    both = cut_lineage(model.transform(fit_rows.withColumn("_original", F.col(col)), col))
     ratio = explained_variance_ratio(both, col, "_original").first()[0]
-    return model.transform(df, col), ratio
+    return both.select(*df.columns) if fit_on is None else model.transform(df, col), ratio

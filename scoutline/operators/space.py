@@ -4,26 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import portable_hash
-from ..functions.selection import random_n
+from ..functions.selection import consecutive, random_n
 
 UNKNOWN = -1.0
-MAX_COMPONENT_VALUES = 1_000_000
 
 
 def component(df: DataFrame, col: str) -> DataFrame:
-    """The distinct values of a column with their ordinals in alphabetical order.
-
-    A component list is one side of a product, so it is small next to the space; the check keeps the
-    one-task numbering bounded. Longer lists have to bring their own `ord`.
-    """
+    """The distinct values of a column with their ordinals in alphabetical order, numbered in parallel and written once."""
     values = df.select(F.col(col)).where(F.col(col).isNotNull()).distinct()
-    if values.count() > MAX_COMPONENT_VALUES:
-        raise ValueError(f"more than {MAX_COMPONENT_VALUES} values in {col}: supply (ord, {col}) yourself")
-    return values.select((F.row_number().over(Window.orderBy(col)) - 1).cast("bigint").alias("ord"), col)
+    return consecutive(values, col, "ord").select(F.col("ord").cast("bigint"), col)
 
 
 def build_space(spark: SparkSession, *components: DataFrame) -> DataFrame:

@@ -61,8 +61,9 @@ def split_ordered(df: DataFrame, test_size: float = 0.95) -> DataFrame:
 
 
 def union_splits(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Both splits stacked; test ids follow the train ids."""
-    offset = train.count()
+    """Both splits stacked; the test ids, in their order and distances, follow the largest train id, so no id comes twice."""
+    last, first = train.agg(F.max("row_id")).first()[0], test.agg(F.min("row_id")).first()[0]
+    offset = 0 if last is None or first is None else last + 1 - first
     return (train.withColumn("split", F.lit("train"))
             .unionByName(test.withColumn("row_id", F.col("row_id") + F.lit(offset)).withColumn("split", F.lit("test"))))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import _c, array_sum, literal_array, normalised, squared_distance
+from ..functions.arrays import _c, array_sum, literal_array, normalised
 from ..functions.selection import exact_rank
 from ..functions.session import concurrently
 
@@ -24,6 +26,10 @@ class LabelClusters:
     max_span: float
     min_span: float
 
+    @property
+    def fits(self) -> bool:
+        return MIN_SPAN <= self.max_span <= MAX_SPAN and self.min_span <= MAX_TIGHTEST
+
 
 def cluster_spans(assigned: DataFrame, cluster: str = "cluster", label: str = "y") -> DataFrame:
     """The widest and the narrowest label span over the clusters."""
@@ -31,32 +37,31 @@ def cluster_spans(assigned: DataFrame, cluster: str = "cluster", label: str = "y
     return spans.agg(F.max("span").alias("max_span"), F.min("span").alias("min_span"))
 
 
-def adaptive_label_kmeans(labelled: DataFrame, k0: int, seed: int = 0, label: str = "y",
-                          max_rounds: int = 50) -> LabelClusters:
+def adaptive_label_kmeans(labelled: DataFrame, k0: int, seed: int = 0, label: str = "y") -> LabelClusters:
     """K-means on the labels, growing or shrinking k by 2 until the spans fit.
 
     Equal labels are counted together first, so the fit sees distinct values with weights. k stays between 2
-    and the number of distinct labels, and a k seen before ends the search (the rule can oscillate).
+    and the number of distinct labels, and a k seen before ends the search (the rule can oscillate), so it ends;
+    `fits` of the result tells whether the spans do.
     """
     spark = labelled.sparkSession
     values = (labelled.groupBy(F.col(label).alias("y")).agg(F.count("*").cast("double").alias("w"))
               .withColumn("v", array_to_vector(F.array("y"))).persist())
 
     def fit(k: int) -> LabelClusters:
-        model = KMeans(k=k, seed=seed, featuresCol="v", weightCol="w", predictionCol="cluster").fit(packed)
-        spans = cluster_spans(model.transform(packed)).first()
+        model = KMeans(k=k, seed=seed, featuresCol="v", weightCol="w", predictionCol="cluster").fit(values)
+        spans = cluster_spans(model.transform(values)).first()
         return LabelClusters(sorted(float(c[0]) for c in model.clusterCenters()), spans["max_span"], spans["min_span"])
 
     try:
         most = values.count()
         if most < 2:
             return LabelClusters([r["y"] for r in values.collect()], 0.0, 0.0)
-        packed = values.coalesce(1 + most // 50_000)  # each fit is many passes over a short table
         clamp = lambda k: max(2, min(k, most))
         k, step, fits, visited = clamp(k0), 2, {}, []
-        while len(visited) < max_rounds:
-            if k not in fits:  # the search mostly keeps its direction, so the next few counts are fitted along
-                ahead = sorted({clamp(k + i * step) for i in range(LOOK_AHEAD)} - set(fits))
+        while True:
+            if k not in fits:  # once the first count does not fit, the next few in its direction are fitted along
+                ahead = sorted({clamp(k + i * step) for i in range(LOOK_AHEAD if fits else 1)} - set(fits))
                 fits.update(zip(ahead, concurrently(spark, fit, ahead, LOOK_AHEAD)))
             visited.append(k)
             now = fits[k]
@@ -96,9 +101,18 @@ def soft_targets(labelled: DataFrame, rep_labels: list[float], label: str = "y",
 
 
 def assign_t(features: Column | str, centers: list) -> Column:
-    """Student-t assignment: q_c proportional to 1 / (1 + |z - c|^2)."""
-    near = F.array(*[1.0 / (1.0 + squared_distance(features, literal_array(c))) for c in centers])
-    return normalised(near)
+    """Student-t assignment: q_c proportional to 1 / (1 + |z - c|^2). The centres (few) travel with the function, not in the plan."""
+    c = np.asarray(centers, dtype=float)
+
+    @F.pandas_udf("array<double>")
+    def q(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        x = np.stack(rows.to_numpy())
+        near = 1.0 / (1.0 + np.stack([((x - row) ** 2).sum(1) for row in c], axis=1))
+        return pd.Series(list(near / near.sum(1, keepdims=True)))
+
+    return q(_c(features))
 
 
 def sharpen(q: Column | str) -> Column:

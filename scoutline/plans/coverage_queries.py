@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from ..functions.arrays import array_sum
 from ..operators import coverage
 from .bindings import DELTA, POINTS, STARTED, started_points, points
 from .metric_queries import _POINT_REPS, assigned_views
-from .recommend import recommend
+from .recommend import recommend, trim
 
 Q, SQL = {}, {}
 BATCH = 5
@@ -31,15 +34,15 @@ covered0 AS (SELECT DISTINCT j FROM edges WHERE i IN (SELECT row_id FROM started
 _COVER = _cover_ctes(STARTED)
 
 
-def _greedy_sql(n, score="CAST(0 AS DOUBLE)", stop_empty=True):
+def _greedy_sql(n, score="CAST(0 AS DOUBLE)", stop_empty=True, name=""):
     """The greedy rule unrolled: one pick per step, highest score first, lowest id on ties."""
     ctes = []
     for r in range(1, n + 1):
-        picked = " UNION ALL ".join(f"SELECT row_id FROM pick{p}" for p in range(1, r)) or "SELECT -1 AS row_id WHERE FALSE"
-        ctes.append(f"""done{r} AS (SELECT j FROM covered0 UNION SELECT j FROM edges WHERE i IN ({picked})),
-pick{r} AS (
+        picked = " UNION ALL ".join(f"SELECT row_id FROM {name}pick{p}" for p in range(1, r)) or "SELECT -1 AS row_id WHERE FALSE"
+        ctes.append(f"""{name}done{r} AS (SELECT j FROM covered0 UNION SELECT j FROM edges WHERE i IN ({picked})),
+{name}pick{r} AS (
   SELECT p.row_id, count(e.j) AS gain, {score} + count(e.j) AS score
-  FROM points p LEFT JOIN (SELECT * FROM edges WHERE j NOT IN (SELECT j FROM done{r})) e ON e.i = p.row_id
+  FROM points p LEFT JOIN (SELECT * FROM edges WHERE j NOT IN (SELECT j FROM {name}done{r})) e ON e.i = p.row_id
   {'JOIN bonus b ON b.row_id = p.row_id' if 'b.' in score else ''}
   WHERE p.row_id NOT IN (SELECT row_id FROM started) AND p.row_id NOT IN ({picked})
   GROUP BY p.row_id{', b.bonus' if 'b.' in score else ''}{' HAVING count(e.j) > 0' if stop_empty else ''}
@@ -54,14 +57,16 @@ def f1(spark, sf):
 
 
 @query("f1_mean_of_cluster_means", f"""
-WITH {POINTS}, centers AS (SELECT y, [avg(features[1]), avg(features[2])] AS c FROM points GROUP BY y),
-dist AS (SELECT p.y, list_distance(p.features[1:2], c) AS d FROM points p JOIN centers k ON p.y = k.y)
+WITH {POINTS}, dims AS (SELECT y, unnest(features) AS v, generate_subscripts(features, 1) AS i FROM points),
+centers AS (SELECT y, list(m ORDER BY i) AS c FROM (SELECT y, i, avg(v) AS m FROM dims GROUP BY y, i) d GROUP BY y),
+dist AS (SELECT p.y, list_distance(p.features, c) AS d FROM points p JOIN centers k ON p.y = k.y)
 SELECT round(avg(m), 9) AS radius FROM (SELECT avg(d) AS m FROM dist GROUP BY y) a""")
 def f1_given(spark, sf):
-    """The radius over given clusters: the label values, on the first two dimensions."""
-    plane = points(spark, sf).select("y", F.col("features")[0].alias("a"), F.col("features")[1].alias("b"))
-    centers = plane.groupBy("y").agg(F.avg("a").alias("ca"), F.avg("b").alias("cb"))
-    dist = plane.join(centers, "y").withColumn("dist", F.sqrt((F.col("a") - F.col("ca")) ** 2 + (F.col("b") - F.col("cb")) ** 2))
+    """The radius over given clusters: the label values."""
+    p = points(spark, sf)
+    centers = p.groupBy("y").agg(vector_to_array(Summarizer.mean(array_to_vector("features"))).alias("c"))
+    square = F.zip_with("features", "c", lambda a, b: (a - b) * (a - b))
+    dist = p.join(centers, "y").withColumn("dist", F.sqrt(array_sum(square)))
     return coverage.mean_of_cluster_means(dist, "y").select(F.round("radius", 9).alias("radius"))
 
 
@@ -132,12 +137,13 @@ def f7(spark, sf):
 _THREE = 3
 
 
-@query("f8_recommend", f"WITH {_MIX},\n{_greedy_sql(_THREE)},\nentropy AS (SELECT row_id, row_number() OVER (ORDER BY bonus DESC, row_id) AS pick "
+@query("f8_recommend", f"WITH {_MIX},\n{_greedy_sql(_THREE)},\n{_greedy_sql(_THREE, 'b.bonus', False, 'mix_')},\nentropy AS (SELECT row_id, row_number() OVER (ORDER BY bonus DESC, row_id) AS pick "
        "FROM bonus WHERE row_id NOT IN (SELECT row_id FROM started))\n" + " UNION ALL ".join(
            f"SELECT 'prob' AS method, CAST({r} AS BIGINT) AS pick, row_id FROM pick{r}" for r in range(1, _THREE + 1))
+       + "".join(f" UNION ALL SELECT 'mix', CAST({r} AS BIGINT), row_id FROM mix_pick{r}" for r in range(1, _THREE + 1))
        + f" UNION ALL SELECT 'entropy', pick, row_id FROM entropy WHERE pick <= {_THREE}")
 def f8(spark, sf):
     df = with_entropy(spark, sf)
-    parts = [recommend(df, method, _THREE, DELTA, F.col("bonus")).select(F.lit(method).alias("method"), "pick", "row_id")
-             for method in ("prob", "entropy")]
-    return parts[0].unionByName(parts[1])
+    parts = [trim(recommend(df, method, _THREE, DELTA, F.col("bonus")), _THREE).select(F.lit(method).alias("method"), "pick", "row_id")
+             for method in ("prob", "mix", "entropy")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

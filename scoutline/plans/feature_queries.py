@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import array_sum
 from ..operators import features, reduce
 from .bindings import POINTS, REACTIONS, VIEWS, points, reactions, table, views
 
@@ -23,7 +24,7 @@ COMPONENTS = ["c_0", "c_1", "c_2"]
 
 
 def documents(spark, sf):
-    return features.spread(table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
 
 
 def _kept(text, cls):
@@ -178,6 +179,14 @@ def c11_sparse(spark, sf):
     return reduce.fit_svd_slots(encoded, 384, 8).transform_slots(encoded.select("row_id", "slots"))
 
 
+@query("c11_full_rank_norms", f"""
+WITH {POINTS} SELECT row_id, round(list_dot_product(features, features), 6) AS squared_norm FROM points""")
+def c11_norms(spark, sf):
+    """A projection on all components turns the rows and keeps their lengths."""
+    p = points(spark, sf)
+    return reduce.fit_svd(p, 64).transform(p).select("row_id", F.round(array_sum(F.transform("features", lambda v: v * v)), 6).alias("squared_norm"))
+
+
 @query("c11_explained_variance", f"""
 WITH {POINTS}, long AS (SELECT unnest(features) AS v, unnest(range(64)) AS slot FROM points),
 vars AS (SELECT slot, var_pop(v) AS s FROM long GROUP BY slot)

@@ -8,7 +8,7 @@ from ..functions.session import scratch_path
 from ..operators import commit, cotrain, splits, targets
 from ..operators.features import align_views
 from ..sources import tables
-from ..streaming.commit import stream_commit, winners, winners_schema
+from ..streaming.commit import last_batch, stream_commit, winners
 from .bindings import (ACCEPTED, GIVEN_PRED, POINTS, REACTIONS, feed, feed_of, given_pred, hash_sql, reactions,
                        started_points, table, views)
 from .loop import LoopSettings, _feature_rows, active_loop
@@ -181,5 +181,5 @@ def j1(spark, sf):
     root, keys, seq = scratch_path(spark, "winners"), {"row_id": "bigint"}, {"ts": events.schema["ts"].dataType.simpleString(), "event_id": "bigint"}
     run = stream_commit(feed_of(stream), root, keys, seq, scratch_path(spark, "stream"))
     run.awaitTermination()
-    last = winners(spark, root, winners_schema(keys, seq), run.lastProgress["batchId"])
+    last = winners(spark, root, keys, seq, last_batch(run))
     return commit.apply_history(reactions(spark, sf), last, list(keys), list(seq)).select("row_id", "yield")

@@ -33,6 +33,9 @@ class LoopSettings:
     delta: float | None = None  # None: from k-means on the encodings, each round
     trees: int = 100
     seed: int = 0
+    kinds: tuple[str, ...] = ("original", "encoded", "cluster")  # features that each round is evaluated on
+    settle: tuple[float, int] = (0.0, 20)  # losses may settle after share * labelled rows + base epochs
+    final_only: bool = False  # no acquisition: the start set is labelled and the final round is the only one
 
 
 @dataclass
@@ -62,7 +65,8 @@ def one_round(aligned: DataFrame, labelled_ids: DataFrame, encoders: list[cotrai
     rep_x = [_feature_rows(aligned, rep_ids, col) for col in ("x0", "x1")]
     soft = targets.soft_targets(known, [r["y"] for r in reps])
     rows = cotrain.training_rows(aligned, soft, len(reps))
-    encoders, losses = cotrain.cotrain(rows, rep_x, encoders, epochs, s.lr, s.lam)
+    min_len = int(s.settle[0] * known.count() + s.settle[1])
+    encoders, losses = cotrain.cotrain(rows, rep_x, encoders, epochs, s.lr, s.lam, min_len)
     encoded = cotrain.encode(cotrain.encode(df, encoders[0], "x0", "z0"), encoders[1], "x1", "z1")
     encoded = cut_lineage(cotrain.cluster_view(cotrain.cluster_view(encoded, encoders[0], rep_x[0], "x0", "q0"),
                                                encoders[1], rep_x[1], "x1", "q1"))
@@ -80,7 +84,8 @@ def one_round(aligned: DataFrame, labelled_ids: DataFrame, encoders: list[cotrai
 
 def _evaluate(encoded: DataFrame, s: LoopSettings) -> list[dict]:
     """Metrics on the unlabelled rows, for the original, encoded and cluster features of both views."""
-    kinds = [(f"view_{v}", kind, f"{col}{v}") for v in (0, 1) for kind, col in (("original", "x"), ("encoded", "z"), ("cluster", "q"))]
+    kinds = [(f"view_{v}", kind, f"{col}{v}") for v in (0, 1)
+             for kind, col in (("original", "x"), ("encoded", "z"), ("cluster", "q")) if kind in s.kinds]
 
     def predict(item: tuple) -> DataFrame:
         view, kind, col = item
@@ -102,10 +107,10 @@ def active_loop(v0: DataFrame, v1: DataFrame, settings: LoopSettings) -> DataFra
     labelled = cut_lineage(initial_set(aligned.select("row_id"), n=s.start, seed=s.seed))
     widths = aligned.select(F.size("x0").alias("a"), F.size("x1").alias("b")).first()
     encoders = [cotrain.Encoder.create(w, s.hidden, s.out, s.seed + i) for i, w in enumerate((widths["a"], widths["b"]))]
-    log, round_no = [], 0
+    log, round_no, exhausted = [], 0, False
     while True:
         have = labelled.count()
-        final = have >= s.total
+        final = s.final_only or exhausted or have >= s.total
         result = one_round(aligned, labelled, encoders, s, s.final_clusters if final else s.clusters,
                            s.final_epochs if final else s.epochs, acquire=not final)
         encoders = result.encoders
@@ -113,8 +118,7 @@ def active_loop(v0: DataFrame, v1: DataFrame, settings: LoopSettings) -> DataFra
         if final:
             break
         wider = cut_lineage(labelled.unionByName(result.picks.select("row_id")))
-        if wider.count() == have:  # everything is covered: no further batch
-            break
+        exhausted = wider.count() == have  # everything is covered: the last round comes early
         labelled, round_no = wider, round_no + 1
     schema = ("round int, n_labelled bigint, method string, view string, kind string, r2 double, mae double, rmse double, "
               "n_clusters int, epochs int")

@@ -43,6 +43,19 @@ def e1(spark, sf):
                        F.lit(len(found.centroids)).alias("n_clusters"))
 
 
+@query("e1_spans_recomputed", f"""
+WITH {REACTIONS} SELECT count(*) AS n_rows, true AS spans_agree, true AS no_empty_cluster FROM reactions WHERE yield > 0""")
+def e1_spans(spark, sf):
+    """The spans of the fitted clusters, from each label's nearest centroid."""
+    known = labelled_reactions(spark, sf)
+    found = targets.adaptive_label_kmeans(known, 5, seed=1)
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col("y") - c).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(found.centroids)]))
+    assigned = known.select("y", near["cluster"].alias("cluster"))
+    spans = assigned.groupBy("cluster").agg(F.count("*").alias("n"), (F.max("y") - F.min("y")).alias("span"))
+    agree = (F.abs(F.max("span") - found.max_span) < 1e-9) & (F.abs(F.min("span") - found.min_span) < 1e-9)
+    return spans.agg(F.sum("n").alias("n_rows"), agree.alias("spans_agree"), (F.count("*") == len(found.centroids)).alias("no_empty_cluster"))
+
+
 _KNOWN = f"WITH {REACTIONS}, known AS (SELECT row_id, yield AS y FROM reactions WHERE yield > 0)"
 _REPS = _KNOWN + """, reps AS (
   SELECT centroid_no, arg_min(row_id, (abs(y - centroid), row_id)) AS row_id
@@ -158,6 +171,15 @@ def g1(spark, sf):
     return evaluate.fit_predict_rf(p, F.col("labelled") & (F.col("y") > 0), seed=1).select("row_id", "y", "pred")
 
 
+@query("g1_prediction_bounds", f"WITH {POINTS} SELECT row_id, true AS within_labels FROM points")
+def g1_bounds(spark, sf):
+    """A forest predicts every row, inside the range of the labels it was fitted on."""
+    p = started_points(spark, sf).withColumn("fitted", F.col("labelled") & (F.col("y") > 0))
+    ends = p.where("fitted").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).first()
+    return (evaluate.fit_predict_rf(p, F.col("fitted"), seed=1, trees=20)
+            .select("row_id", F.col("pred").between(ends["lo"] - 1e-9, ends["hi"] + 1e-9).alias("within_labels")))
+
+
 _METRICS = """round(CASE WHEN min(y) < max(y) THEN 1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)) END, 6) AS r2,
   round(avg(abs(y - pred)), 6) AS mae, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse"""
 
@@ -220,6 +242,31 @@ def g5(spark, sf):
     return _rounded(evaluate.evaluate_representations(given_views(spark, sf)), "r2", "mae", "rmse")
 
 
+_RATIO_LIST = ", ".join(f"{r}::DOUBLE" for r in evaluate.RATIOS)
+
+
+@query("g5_representation_report", f"""
+WITH {_GIVEN_VIEWS}, ranked AS (
+  SELECT view, kind, y, pred, count(*) OVER (PARTITION BY view, kind) AS n,
+         row_number() OVER (PARTITION BY view, kind ORDER BY y, row_id) - 1 AS up,
+         row_number() OVER (PARTITION BY view, kind ORDER BY y DESC, row_id) - 1 AS down FROM preds),
+cuts AS (
+  SELECT view, kind, ratio, CAST(floor(min(n) * ratio) AS BIGINT) AS k, max(y) FILTER (WHERE up = floor(n * ratio)) AS threshold,
+         avg(abs(y - pred)) FILTER (WHERE down < floor(n * ratio)) AS top_mae
+  FROM ranked CROSS JOIN (SELECT unnest([{_RATIO_LIST}]) AS ratio) r GROUP BY view, kind, ratio),
+counts AS (
+  SELECT c.view, c.kind, c.ratio, any_value(k) AS k, any_value(threshold) AS threshold, any_value(top_mae) AS top_mae,
+         count(*) FILTER (WHERE y > threshold AND pred > threshold) AS tp, count(*) FILTER (WHERE y < threshold AND pred < threshold) AS tn,
+         count(*) FILTER (WHERE y > threshold AND pred < threshold) AS fn, count(*) FILTER (WHERE y < threshold AND pred > threshold) AS fp
+  FROM preds p JOIN cuts c ON p.view = c.view AND p.kind = c.kind GROUP BY c.view, c.kind, c.ratio),
+metrics AS (SELECT view, kind, {_METRICS} FROM preds GROUP BY view, kind)
+SELECT c.view, c.kind, ratio, k, threshold, round(top_mae, 6) AS top_mae, tp, tn, fn, fp,
+       CASE WHEN tp > 0 THEN round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) END AS f1, r2, mae, rmse
+FROM counts c JOIN metrics m ON c.view = m.view AND c.kind = m.kind""")
+def g5_report(spark, sf):
+    return _rounded(evaluate.representation_report(given_views(spark, sf)), "top_mae", "f1", "r2", "mae", "rmse")
+
+
 _SERIES = [f"view_{v}_{kind}_1" for v in (0, 1) for kind in ("original", "encoded", "cluster")]
 
 
@@ -243,6 +290,15 @@ def g8(spark, sf):
     return evaluate.apply_threshold_models(p, models)
 
 
+@query("g8_decisions", f"""
+WITH {POINTS} SELECT row_id, boundary, true AS decided FROM points CROSS JOIN (SELECT unnest([30.0::DOUBLE, 60]) AS boundary) b""")
+def g8_decisions(spark, sf):
+    """Every row gets a decision at every boundary."""
+    p = points(spark, sf)
+    out = evaluate.apply_threshold_models(p, evaluate.threshold_models(p, [30.0, 60.0]))
+    return out.select("row_id", "boundary", F.col("above").isin(0, 1).alias("decided"))
+
+
 # --- I: plot data ----------------------------------------------------------------------------------
 
 _PLANE = POINTS + ", plane AS (SELECT row_id, features[1] AS x, features[2] AS y, y AS value FROM points)"

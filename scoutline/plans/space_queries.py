@@ -237,11 +237,13 @@ def d8(spark, sf):
 @query("d9_union_splits", f"""
 WITH {REACTIONS}, low AS (SELECT row_id, c_2, full_y FROM reactions WHERE full_y < 50),
 high AS (SELECT row_id, c_2, full_y FROM reactions WHERE full_y >= 50)
-SELECT row_id, c_2, full_y, 'train' AS split FROM low
-UNION ALL SELECT row_id + (SELECT count(*) FROM low), c_2, full_y, 'test' FROM high""")
+SELECT row_id, c_2, full_y, 'train' AS split, true AS id_is_unique FROM low
+UNION ALL SELECT row_id + (SELECT max(row_id) FROM low) + 1 - (SELECT min(row_id) FROM high), c_2, full_y, 'test', true FROM high""")
 def d9(spark, sf):
     r = reactions(spark, sf).select("row_id", "c_2", "full_y")
-    return splits.union_splits(r.where(F.col("full_y") < 50), r.where(F.col("full_y") >= 50))
+    both = splits.union_splits(r.where(F.col("full_y") < 50), r.where(F.col("full_y") >= 50))
+    times = both.groupBy("row_id").agg(F.count("*").alias("n"))
+    return both.join(times, "row_id").select("row_id", "c_2", "full_y", "split", (F.col("n") == 1).alias("id_is_unique"))
 
 
 # --- H: measurement commit -------------------------------------------------------------------------

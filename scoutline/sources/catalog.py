@@ -17,7 +17,7 @@ COMPONENTS = {
     },
     "Catalyst_SMILES": {
         "Pd(dppf)Cl2": "[Fe].Cl[Pd]Cl.[CH]1[CH][CH][C]([CH]1)P(c2ccccc2)c3ccccc3.[CH]4[CH][CH][C]([CH]4)P(c5ccccc5)c6ccccc6",
-        "Pd[P(Ph)3]2Cl2": "P(C1C=CC=CC=1)(C1C=CC=CC=1)C1C=CC=CC=1.P(C1C=CC=CC=1)(C1C=CC=CC=1)C1C=CC=CC=1.[Pd](Cl)Cl",
+        "Pd[P(Ph)3]2Cl2": "P(C1C=CC=CC=1)(C1=CC=CC=C1)C1C=CC=CC=1.P(C1C=CC=CC=1)(C1C=CC=CC=1)C1C=CC=CC=1.[Pd](Cl)Cl",
         "Pd(OAc)2": "CC(=O)O[Pd]OC(C)=O",
     },
     "Solvent_SMILES": {

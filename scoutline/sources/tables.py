@@ -47,9 +47,16 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.select("row_id", "pred").write.mode("overwrite").option("header", True).format(fmt).save(path)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """One or more metric records at the end of the log."""
-    df.write.mode("append").parquet(path)
+def append_metrics(df: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """One or more metric records at the end of the log. With the id of a round or batch a repeated call replaces its records."""
+    _append(df, path, batch)
+
+
+def _append(df: DataFrame, path: str, batch: str | int | None) -> None:
+    if batch is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def write_suggestions(space: DataFrame, ids: DataFrame | list[int], path: str, fmt: str = "parquet") -> None:
@@ -69,11 +76,19 @@ def history_schema(components: list[str]) -> str:
     return f"date STRING, reaction STRUCT<{fields}>"
 
 
-def append_history(df: DataFrame, path: str, components: list[str], ts: str | None = None, label: str = "yield") -> None:
-    """Accepted results as {date, reaction}, one JSON line each. `ts` stamps all rows, else the column `date` does."""
+def append_history(df: DataFrame, path: str, components: list[str], ts: str | None = None, label: str = "yield",
+                   batch: str | int | None = None) -> None:
+    """Accepted results as {date, reaction}, one JSON line each. `ts` stamps all rows, else the column `date` does.
+
+    With a `batch` id a repeated call replaces its own lines instead of doubling them.
+    """
     date = F.col("date") if ts is None else F.lit(ts)
     reaction = F.struct(*components, F.col(label).alias("Yield"))
-    df.select(date.alias("date"), reaction.alias("reaction")).write.mode("append").json(path)
+    lines = df.select(date.alias("date"), reaction.alias("reaction")).write
+    if batch is None:
+        lines.mode("append").json(path)
+    else:
+        lines.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def read_history(spark: SparkSession, path: str, components: list[str], nested: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ def session():
     spark = (SparkSession.builder.master("local[8]").appName("scoutline-tests")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-"))
              .config("spark.driver.bindAddress", "127.0.0.1").config("spark.driver.host", "127.0.0.1")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -20,4 +22,8 @@ def session():
 
 @pytest.fixture(scope="session")
 def spark():
-    yield session()
+    from scoutline.functions.session import clear_scratch
+
+    spark = session()
+    yield spark
+    clear_scratch(spark)

@@ -3,7 +3,7 @@ import json
 import pytest
 from scoutline.operators import commit
 from scoutline.sources import tables
-from scoutline.streaming.commit import stream_commit, winners, winners_schema
+from scoutline.streaming.commit import last_batch, stream_commit, winners
 
 
 def test_validation_of_typed_entries(spark):
@@ -54,7 +54,9 @@ def test_snapshots_and_views(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
 
 
-def test_late_measurements_do_not_overwrite_newer_ones(spark, tmp_path):
+@pytest.mark.parametrize("compact_every", [50, 2])
+def test_late_measurements_do_not_overwrite_newer_ones(spark, tmp_path, monkeypatch, compact_every):
+    monkeypatch.setattr("scoutline.streaming.commit.COMPACT_EVERY", compact_every)
     batches = [[(1, 10, 5, "40"), (2, 10, 6, "abc"), (3, 12, 7, "9")], [(1, 9, 8, "99"), (2, 11, 9, "0"), (3, 12, 10, "8")], [(1, 10, 4, "1")]]
     schema = "row_id bigint, ts bigint, event_id bigint, entry string"
     source = str(tmp_path / "feed")
@@ -64,7 +66,7 @@ def test_late_measurements_do_not_overwrite_newer_ones(spark, tmp_path):
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     run = stream_commit(feed, str(tmp_path / "state"), keys, seq, str(tmp_path / "cp"))
     run.awaitTermination()
-    last = winners(spark, str(tmp_path / "state"), winners_schema(keys, seq), run.lastProgress["batchId"])
+    last = winners(spark, str(tmp_path / "state"), keys, seq, last_batch(run))
     assert run.lastProgress["batchId"] == 2
     assert sorted((r["row_id"], r["yield"]) for r in last.collect()) == [(1, 40.0), (2, 0.0), (3, 8.0)]
     whole = commit.latest(commit.accepted(spark.read.schema(schema).parquet(source)), ["row_id"], ["ts", "event_id"])
@@ -72,7 +74,7 @@ def test_late_measurements_do_not_overwrite_newer_ones(spark, tmp_path):
     spark.createDataFrame([(3, 99, 11, "77")], schema).coalesce(1).write.mode("append").parquet(source)
     again = stream_commit(feed, str(tmp_path / "state"), keys, seq, str(tmp_path / "cp"))
     again.awaitTermination()
-    last = winners(spark, str(tmp_path / "state"), winners_schema(keys, seq), again.lastProgress["batchId"])
+    last = winners(spark, str(tmp_path / "state"), keys, seq, last_batch(again))
     assert {r["row_id"]: r["yield"] for r in last.collect()} == {1: 40.0, 2: 0.0, 3: 77.0}
 
 

@@ -54,10 +54,10 @@ def clouds(seed, n, copies=True):
     return rows
 
 
-@pytest.fixture(params=[(1024, 256), (8, 4)], ids=["defaults", "tiny blocks and frontier"])
+@pytest.fixture(params=[(1024, 32768), (8, 20)], ids=["defaults", "tiny blocks and strips"])
 def sizes(request, monkeypatch):
     monkeypatch.setattr(coverage, "BLOCK_ROWS", request.param[0])
-    monkeypatch.setattr(coverage, "FRONTIER", request.param[1])
+    monkeypatch.setattr(coverage, "TILE_ROWS", request.param[1])
 
 
 @pytest.mark.parametrize("delta", [0.9, 3.0])
@@ -78,6 +78,33 @@ def test_mixed_equals_brute_force_with_copies(spark, sizes):
     assert [(r["row_id"], r["gain"]) for r in got] == brute(rows, 1.5, 10, bonus)
 
 
+def test_mixed_keeps_copies_with_unequal_bonus_apart(spark, sizes):
+    rows = [(1, [0.0, 0.0], False), (2, [0.0, 0.0], False), (3, [0.0, 0.0], False), (4, [9.0, 9.0], False)]
+    bonus = {1: 5.0, 2: 1.0, 3: 5.0, 4: 0.0}
+    df = frame(spark, rows).join(spark.createDataFrame(list(bonus.items()), "row_id bigint, b double"), "row_id")
+    got = coverage.mixed_cover(df, 1.5, 4, F.col("b")).orderBy("pick").collect()
+    assert [(r["row_id"], r["gain"], r["score"]) for r in got] == [(1, 3, 8.0), (3, 0, 5.0), (2, 0, 1.0), (4, 1, 1.0)]
+    assert [(r["row_id"], r["gain"]) for r in got] == brute(rows, 1.5, 4, [bonus[r[0]] for r in rows])
+
+
+def test_copies_per_row_do_not_grow(spark, monkeypatch):
+    """A point travels once per strip of the other side, however many entries the index has."""
+    monkeypatch.setattr(coverage, "TILE_ROWS", 4000)
+    rng = np.random.default_rng(4)
+    for n in (500, 2000, 4000):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 8)))], "row_id bigint, features array<double>")
+        index = coverage.index_points(df, 3.0)
+        plan = coverage._plan(index.points, index.points, index, True)
+        assert coverage._dealt(index.points, plan.left, "ls", "rs").count() <= n
+
+
+def test_a_dense_ball_is_picked_exactly(spark, sizes):
+    rng = np.random.default_rng(6)
+    rows = [(i, (0.1 * rng.normal(size=3)).tolist(), False) for i in range(60)] + [(60 + i, (50 * rng.normal(size=3)).tolist(), False) for i in range(10)]
+    got = coverage.greedy_cover(frame(spark, rows), 1.0, 4).orderBy("pick").collect()
+    assert [(r["row_id"], r["gain"]) for r in got] == brute(rows, 1.0, 4)
+
+
 def test_counts_pairs_and_cover_equal_brute_force(spark, sizes):
     rows, delta = clouds(9, 120), 1.2
     df = frame(spark, rows)

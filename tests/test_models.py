@@ -171,3 +171,35 @@ def test_forest_and_threshold_models(spark):
     models = evaluate.threshold_models(df, [20.0, 60.0])
     above = evaluate.apply_threshold_models(df, models).groupBy("boundary").agg(F.sum("above").alias("n")).orderBy("boundary").collect()
     assert [abs(r["n"] - w) <= 4 for r, w in zip(above, (59, 19))] == [True, True]
+
+
+def test_loop_ends_with_the_final_round_when_nothing_is_left(spark, monkeypatch):
+    from scoutline.plans import loop
+
+    rounds = []
+
+    def one_round(aligned, labelled, encoders, settings, clusters, epochs, acquire=True, evaluate_model=True):
+        rounds.append((clusters, acquire))
+        none = aligned.select("row_id").limit(0)
+        return loop.RoundResult([{"view": "view_0", "kind": "original", "r2": 0.0, "mae": 0.0, "rmse": 0.0, "n_clusters": clusters, "epochs": epochs}],
+                                none if acquire else None, encoders)
+
+    monkeypatch.setattr(loop, "one_round", one_round)
+    view = spark.createDataFrame([(i, [float(i)], 1.0) for i in range(20)], "row_id bigint, features array<double>, y double")
+    log = loop.active_loop(view, view, loop.LoopSettings(start=5, step=5, total=15, clusters=3, final_clusters=7, hidden=2, out=2)).collect()
+    assert rounds == [(3, True), (7, False)] and [(r["round"], r["n_labelled"]) for r in log] == [(0, 5), (1, 5)]
+
+
+def test_representation_report_of_one_group_equals_the_single_reports(spark):
+    from scoutline.operators import evaluate
+
+    rng = np.random.default_rng(8)
+    rows = [(g, i, float(rng.integers(0, 12)), float(rng.integers(0, 12))) for g in "ab" for i in range(60 if g == "a" else 25)]
+    df = spark.createDataFrame(rows, "g string, row_id bigint, y double, pred double")
+    got = {(r["g"], r["ratio"]): r for r in evaluate.representation_report(df, ["g"]).collect()}
+    for g in "ab":
+        own = df.where(F.col("g") == g)
+        for r in evaluate.top_ratio_mae(own).collect():
+            assert got[g, r["ratio"]]["k"] == r["k"] and got[g, r["ratio"]]["top_mae"] == (None if r["mae"] is None else pytest.approx(r["mae"]))
+        for r in evaluate.rank_threshold_confusion(own).collect():
+            assert [got[g, r["ratio"]][c] for c in ("threshold", "tp", "tn", "fn", "fp")] == [r[c] for c in ("threshold", "tp", "tn", "fn", "fp")]

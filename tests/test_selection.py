@@ -25,6 +25,39 @@ def test_thresholds_equal_sorting(skewed, monkeypatch, bins, finish):
     assert selection.thresholds(df, "v", "row_id", ranks) == [order[r - 1] for r in ranks]
 
 
+@pytest.mark.parametrize("finish", [4096, 0])
+def test_thresholds_with_infinite_and_nan_keys(spark, monkeypatch, finish):
+    monkeypatch.setattr(selection, "FINISH_ROWS", finish)
+    inf, nan = float("inf"), float("nan")
+    keys = [inf, -inf, nan, 1.0, -1e308, 1e308, 0.0] * 8 + [2.5, nan]
+    order = sorted(enumerate(keys), key=lambda e: (e[1] != e[1], e[1] if e[1] == e[1] else 0, e[0]))
+    df = spark.createDataFrame(list(enumerate(keys)), "row_id bigint, v double").repartition(3)
+    got = selection.thresholds(df, "v", "row_id", list(range(1, len(keys) + 1)))
+    assert [t for _, t in got] == [i for i, _ in order]
+    assert all(k == keys[t] or (k != k and keys[t] != keys[t]) for k, t in got)
+    assert df.where(selection.first_n_by(df, 57, F.col("v"))).count() == 57
+
+
+def test_thresholds_of_wide_integers(spark, monkeypatch):
+    monkeypatch.setattr(selection, "FINISH_ROWS", 0)
+    keys = [2**60 + i for i in range(40)] + list(range(40))
+    df = spark.createDataFrame(list(enumerate(keys)), "row_id bigint, v bigint")
+    assert [k for k, _ in selection.thresholds(df, "v", "row_id", [1, 40, 41, 80])] == [0, 39, 2**60, 2**60 + 39]
+
+
+def test_consecutive_numbers(spark):
+    df = spark.createDataFrame([(f"v{i:04d}",) for i in range(500)], "v string").repartition(6)
+    assert [r["n"] for r in selection.consecutive(df, "v", "n").orderBy("v").collect()] == list(range(500))
+    assert selection.consecutive(df.limit(0), "v", "n").count() == 0
+
+
+def test_union_of_splits_has_unique_ids(spark):
+    a = spark.createDataFrame([(3,), (90,)], "row_id bigint")
+    b = spark.createDataFrame([(5,), (7,), (91,)], "row_id bigint")
+    assert sorted(r["row_id"] for r in splits.union_splits(a, b).collect()) == [3, 90, 91, 93, 177]
+    assert splits.union_splits(a, b.limit(0)).count() == 2 and splits.union_splits(a.limit(0), b).count() == 3
+
+
 def test_thresholds_reject_bad_rank(skewed):
     with pytest.raises(ValueError):
         selection.thresholds(skewed[1], "v", "row_id", [901])
@@ -117,6 +150,7 @@ def test_catalog_space(spark):
     built = space.build_space(spark, *catalog_components(spark))
     assert built.count() == 360 and built.columns[1:] == list(COMPONENTS)
     assert built.distinct().count() == 360
+    assert COMPONENTS["Catalyst_SMILES"]["Pd[P(Ph)3]2Cl2"].count("C1=CC=CC=C1") == 1
     last = built.orderBy(F.desc("row_id")).first()
     assert [last[c] for c in COMPONENTS] == [list(v.values())[-1] for v in COMPONENTS.values()]
     halides = spark.createDataFrame([(i, h) for i, h in enumerate(h for g in HALIDE_GROUPS.values() for h in g)], "row_id bigint, h string")
