@@ -33,7 +33,7 @@ from ..functions.session import cut_lineage
 from .common import only
 
 # The roles of HTML elements, and words in class, id or role that mark page furniture.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas", "head"}
+RAW = {"script", "style", "title", "textarea", "template", "iframe", "svg", "select", "canvas", "head"}
 BLOCK = set("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
@@ -42,8 +42,15 @@ FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fiel
 MARKS = set("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies
 disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted
 promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split())
+_CELLS, _ROWS = {"td", "th"}, {"tr", "tbody", "tfoot", "thead"}
+#: Blocks that are no containers -> the tags that end them besides their own end.
+ENDED_BY = ({"p": BLOCK, "li": {"li"}, "tr": _ROWS, "option": {"option"}} | dict.fromkeys(("dt", "dd"), {"dt", "dd"}) | dict.fromkeys(_CELLS, _CELLS | _ROWS)
+            | dict.fromkeys(("tbody", "tfoot", "thead"), _ROWS - {"tr"}) | dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), {"h1", "h2", "h3", "h4", "h5", "h6"})
+            | dict.fromkeys(("address", "caption", "center", "dir", "figcaption", "legend", "pre", "summary"), set()))
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "form", "menu", "menubar"}
 COMMENTS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
+#: What a name of furniture may have besides: a "share-bar" is one, a "sidebar-mini" page only has one.
+PARTS = set("area bar block body box container content form inner item items link links list outer panel region section text top bottom wrap wrapper".split())
 NEGATIONS = {"has", "with", "no", "without", "not"}
 COPY_SHARE = 0.8  # of the characters outside the furniture
 
@@ -54,32 +61,46 @@ NOT_WORD = re.compile(r"[^a-z0-9]+")
 Line = tuple[str, int, bool, bool]  # text, furniture depth, in an article, prose
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
+# How an element is marked. WEAK: a word in a longer name ("sidebar-mini"); STRONG: a name of its own, a role, or a form.
+WEAK, STRONG, TALK, ELEMENT = 1, 2, 3, 4
+
+
+def _furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """0, or how the element is marked as furniture."""
     if tag in FURNITURE or (tag == "header" and not in_article):
-        return True
+        return STRONG if tag == "form" else ELEMENT
     if not attributes:
-        return False
-    found, role = set(), ""
+        return 0
+    names, role = [], ""
     for name, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "").lower()
         if name.lower() == "role":
             role = value
         else:
-            found.update(NOT_WORD.split(value))
+            names += [set(NOT_WORD.split(v)) - {""} for v in value.split()]
+    found = set().union(*names)
     if tag in ("article", "main", "body", "header"):
-        return bool(found & COMMENTS)
-    if found & NEGATIONS:  # a container "with-sidebar" is not the sidebar
-        return role in ROLES
-    return role in ROLES or bool(found & (MARKS - {"header"} if in_article else MARKS))
+        return TALK if found & COMMENTS else 0
+    if role in ROLES:
+        return STRONG
+    marks = MARKS - {"header"} if in_article or tag not in CONTAINERS else MARKS
+    if found & NEGATIONS or not found & marks:  # a container "with-sidebar" is not the sidebar
+        return 0
+    if any(n & COMMENTS and n <= marks | PARTS for n in names):
+        return TALK
+    return STRONG if any(n & marks and n <= marks | PARTS for n in names) else WEAK
 
 
 def lines_of(page: str) -> list[Line]:
     """The blocks of text of a page in order, character references decoded, white space turned into single spaces."""
-    out: list[Line] = []
-    stack: list[tuple[str, bool]] = []  # open containers: name, whether furniture
+    out: list[tuple[str, tuple[int, ...], bool, bool, bool]] = []  # text, marked elements around, in an article, prose, list item
+    stack: list[tuple[str, int]] = []  # open containers and marked blocks: name, and the number of a marked element or -1
+    marked: list[tuple[int, bool]] = []  # how an element is marked, whether it stands in an article
+    around: list[int] = []  # the open marked elements
+    holds: dict[int, str] = {}  # marked element -> article or main inside
     buffer: list[str] = []
-    furniture = articles = 0
-    prose = False
+    articles = 0
+    prose = item = False
 
     def flush() -> None:
         if buffer:
@@ -87,7 +108,15 @@ def lines_of(page: str) -> list[Line]:
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             buffer.clear()
             if text:
-                out.append((text, furniture, articles > 0, prose))
+                out.append((text, tuple(around), articles > 0, prose, item))
+
+    def close(depth: int) -> None:
+        nonlocal articles
+        for gone, number in stack[depth:]:
+            if number >= 0:
+                around.remove(number)
+            articles -= gone in ("article", "main")
+        del stack[depth:]
 
     at, end = 0, len(page)
     while at < end:
@@ -104,8 +133,8 @@ def lines_of(page: str) -> list[Line]:
         tag, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                close = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
-                at = close.end() if close else end
+                stop = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
+                at = stop.end() if stop else end
                 if tag == "head" or tag == "title":
                     flush()
             continue
@@ -114,26 +143,62 @@ def lines_of(page: str) -> list[Line]:
             continue
         if tag in BLOCK:
             flush()
-            prose = tag in PROSE and not closing
-        if tag in CONTAINERS:
+            prose, item = tag in PROSE and not closing, tag == "li" and not closing
+            while stack and tag in ENDED_BY.get(stack[-1][0], ()) and not (closing and stack[-1][0] != "p"):
+                close(len(stack) - 1)
+        if tag in CONTAINERS or tag in ENDED_BY:
             if closing:
                 depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+                if depth is not None and tag in ENDED_BY and any(s[0] in CONTAINERS and s[0] != "span" for s in stack[depth:]):
+                    depth = None  # the end of an unmarked block further inside
                 if depth is not None:
-                    if tag == "span" and any(s[1] for s in stack[depth:]):
+                    if tag == "span" and any(s[1] >= 0 for s in stack[depth:]):
                         flush()
-                    for gone, was in stack[depth:]:
-                        furniture -= was
-                        articles -= gone in ("article", "main")
-                    del stack[depth:]
+                    close(depth)
             elif not attributes.endswith("/"):
-                marked = _furniture(tag, attributes, articles > 0)
-                if marked and tag == "span":
+                how = _furniture(tag, attributes, articles > 0)
+                if how and tag == "span":
                     flush()
-                furniture += marked
-                articles += tag in ("article", "main")
-                stack.append((tag, marked))
+                if tag in ("article", "main"):
+                    articles += 1
+                    if not how:
+                        holds |= {k: tag for k in around if holds.get(k) != "main"}
+                if how:
+                    around.append(len(marked))
+                    marked.append((how, articles > 0))
+                if how or tag in CONTAINERS:
+                    stack.append((tag, len(marked) - 1 if how else -1))
     flush()
-    return out
+    spared = _spared(out, marked, holds) if marked else set()
+    return [(text, sum(k not in spared for k in inside), article, is_prose) for text, inside, article, is_prose, _ in out]
+
+
+def _spared(lines: list[tuple], marked: list[tuple[int, bool]], holds: dict[int, str]) -> set[int]:
+    """The marked elements that are not furniture, since the page would lose its text with them.
+
+    One that encloses a main, or an article without being named as furniture outright; if no article is left, all that
+    enclose one; those with most of the text; and if nothing is left, all but menus and the like.
+    """
+    how = lambda k: marked[k][0]
+    spared = {k for k, tag in holds.items() if how(k) != TALK and (tag == "main" or how(k) == WEAK)}
+    left = lambda line: all(k in spared for k in line[1])
+    if not any(line[2] and left(line) for line in lines):
+        spared |= {k for k in holds if how(k) != TALK}
+    has_article = any(line[2] and left(line) for line in lines)
+    total, size = 0, dict.fromkeys(range(len(marked)), 0)
+    for text, around, _, _, item in lines:
+        if not item and not any(how(k) == ELEMENT and k not in spared for k in around):
+            total += len(text)
+            for k in around:
+                size[k] += len(text)
+    for k, n in size.items():
+        if how(k) == WEAK and 2 * n > total and (marked[k][1] or not has_article):
+            spared.add(k)
+        elif how(k) == STRONG and 5 * n > 4 * total and not marked[k][1] and not has_article:
+            spared.add(k)
+    if not any(left(line) for line in lines):
+        spared |= {k for k in size if how(k) != ELEMENT}
+    return spared
 
 
 def _deletable(line: Line) -> bool:
