@@ -3,10 +3,11 @@
 A page is read into lines (blocks of text) that know what they stand in: page furniture (by element, class, id or role),
 an article, or plain body, and whether they are prose (paragraph, heading, list item, cell). Pages of a host are put in
 order of their URL paths and each is paired with the neighbour whose path has the longer beginning in common. The lines of
-the pair are aligned by longest common subsequence. Shared lines are what the site repeats, and they are deleted, except
-prose inside an article, which other pages may quote or copy. If almost everything outside the furniture is shared, the
-two pages are copies, and differencing says nothing about either. Furniture goes in any case. The main text is what is
-left in articles, or, if the page has none, what is left at all.
+the pair are aligned by longest common subsequence. Shared lines are what the site repeats, and they are deleted. Prose
+inside an article, which other pages may quote or copy, goes only if it is also a notice: a line that at least five and
+half of the pages of the host have. If almost everything outside the furniture is shared, the two pages are copies, and
+only notices go. Furniture goes in any case. The main text is what is left in articles, or, if the page has none, what is
+left at all.
 
 The order is a global range sort of small rows (host, path, line hashes), so a host with a third of all pages is cut into
 many tasks; neighbours across the cuts are found by joining on consecutive positions. Only pages that lose lines by
@@ -53,6 +54,8 @@ COMMENTS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
 PARTS = set("area bar block body box container content form inner item items link links list outer panel region section text top bottom wrap wrapper".split())
 NEGATIONS = {"has", "with", "no", "without", "not"}
 COPY_SHARE = 0.8  # of the characters outside the furniture
+LEAST_PAGES = 5  # of a host that have a line, for it to be a notice and not a quotation
+CHUNK = 256  # pages
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -202,7 +205,7 @@ def _spared(lines: list[tuple], marked: list[tuple[int, bool]], holds: dict[int,
 
 
 def _deletable(line: Line) -> bool:
-    """Whether a shared line may go: furniture goes anyway, and prose of an article stays."""
+    """Whether a shared line goes: furniture goes anyway, and prose of an article only if the host repeats it."""
     return not line[1] and not (line[2] and line[3])
 
 
@@ -249,18 +252,22 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-def main_text(lines: list[Line], shared: set[int]) -> str:
-    """What is left of the lines once furniture and the deletable lines at positions `shared` are gone."""
-    left = [line for k, line in enumerate(lines) if not line[1] and not (k in shared and _deletable(line))]
+def main_text(lines: list[Line], gone: set[int]) -> str:
+    """What is left of the lines once furniture and the lines at positions `gone` are out."""
+    left = [line for k, line in enumerate(lines) if not line[1] and k not in gone]
     inside = [line for line in left if line[2]]
     return "\n\n".join(line[0] for line in inside or left)
 
 
-def to_delete(flags: list[int], shared: list[int], sizes: list[int]) -> list[int]:
-    """The shared positions that go. flags: 0 furniture, 1 protected, 2 deletable. None if the pages are copies."""
+def to_delete(flags: list[int], shared: list[int], sizes: list[int], notices: set[int] = frozenset()) -> list[int]:
+    """The shared positions that go. flags: 0 furniture, 1 prose of an article, 2 other; notices: positions of lines that the
+    host repeats. Only these if the pages are copies; none if they are almost all there is, or all prose of the article."""
     body = sum(s for s, f in zip(sizes, flags, strict=True) if f)
-    same = sum(sizes[k] for k in shared if flags[k])
-    return [] if body and same >= COPY_SHARE * body else [k for k in shared if flags[k] == 2]
+    copies = sum(sizes[k] for k in shared if flags[k]) >= COPY_SHARE * body
+    again = {k for k in shared if flags[k] and k in notices}
+    if sum(sizes[k] for k in again) >= COPY_SHARE * body or not {k for k, f in enumerate(flags) if f == 1} - again:
+        again = set()
+    return [k for k in shared if k in again or (flags[k] == 2 and not copies)]
 
 
 def keyed(pages: DataFrame) -> DataFrame:
@@ -305,11 +312,29 @@ def _begins_alike(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def repeated(placed: DataFrame) -> DataFrame:
+    """(host, chunk, notices): hashes of the lines that stand in articles of the host as prose, on `LEAST_PAGES` pages or more
+    and on half of its pages. A host has one row per `CHUNK` positions of its pages, so that a large one is not one key.
+    """
+    chunk = F.explode(F.sequence(F.floor(F.col("first") / CHUNK), F.floor(F.col("last") / CHUNK))).alias("chunk")
+    hosts = (placed.groupBy("host").agg(F.count("*").alias("pages"), F.min("at").alias("first"), F.max("at").alias("last"))
+             .filter(F.col("pages") >= LEAST_PAGES))
+    prose = F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "flags"), lambda x: x["flags"] == 1), lambda x: x["hashes"]))
+    counts = (placed.select("host", F.floor(F.col("at") / CHUNK).alias("chunk"), prose.alias("prose"))
+              .join(hosts.select("host", "pages", "first", "last", chunk), ["host", "chunk"])
+              .select("host", "pages", "first", "last", F.explode("prose").alias("hash"))
+              .groupBy("host", "hash").agg(F.count("*").alias("n"), F.first("pages").alias("pages"), F.first("first").alias("first"), F.first("last").alias("last"))
+              .filter((F.col("n") >= LEAST_PAGES) & (2 * F.col("n") >= F.col("pages"))))
+    # at most twice as many lines as an article of the host has on average
+    return cut_lineage(counts.groupBy("host", "first", "last").agg(F.collect_list("hash").alias("notices")).select("host", chunk, "notices"))
+
+
 def differences(pages: DataFrame) -> DataFrame:
     """(key, gone: positions of the lines that differencing deletes) of the pages that lose any."""
     placed = in_order(page_lines(pages))
     side = lambda step, name: placed.select((F.col("at") + step).alias("at"), "host", F.col("path").alias(f"{name}_path"), F.col("hashes").alias(f"{name}_hashes"))
-    both = placed.join(side(1, "last"), ["at", "host"], "left").join(side(-1, "next"), ["at", "host"], "left")
+    both = (placed.join(side(1, "last"), ["at", "host"], "left").join(side(-1, "next"), ["at", "host"], "left")
+            .withColumn("chunk", F.floor(F.col("at") / CHUNK)).join(repeated(placed), ["host", "chunk"], "left"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -321,13 +346,16 @@ def differences(pages: DataFrame) -> DataFrame:
                 # the nearest url: the longer common beginning, the following page on a tie
                 take_last = last and (not following or _begins_alike(r.path, r.last_path) > _begins_alike(r.path, r.next_path))
                 other = r.last_hashes if take_last else r.next_hashes
-                cut = to_delete(r.flags.tolist(), common_lines(r.hashes.tolist(), other.tolist()), r.sizes.tolist())
+                hashes = r.hashes.tolist()
+                notices = set() if r.notices is None else set(r.notices.tolist())
+                cut = to_delete(r.flags.tolist(), common_lines(hashes, other.tolist()), r.sizes.tolist(), {k for k, h in enumerate(hashes) if h in notices})
                 if cut:
                     keys.append(r.key), gone.append(np.array(cut, np.int32))
             if keys:
                 yield pd.DataFrame({"key": keys, "gone": gone})
 
-    return both.select("key", "path", "hashes", "flags", "sizes", "last_path", "last_hashes", "next_path", "next_hashes").mapInPandas(run, "key binary, gone array<int>")
+    return (both.select("key", "path", "hashes", "flags", "sizes", "last_path", "last_hashes", "next_path", "next_hashes", "notices")
+            .mapInPandas(run, "key binary, gone array<int>"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

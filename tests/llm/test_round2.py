@@ -1,7 +1,7 @@
 """Findings of the second review."""
 
 import pytest
-
+from test_free import extracted
 
 from scoutline.llm import htmldiff
 
@@ -33,3 +33,20 @@ def test_marked_containers_do_not_take_the_text_with_them(html, text):
 ])
 def test_every_block_can_be_furniture(html, text):
     assert htmldiff.main_text(htmldiff.lines_of(html), set()) == text
+
+
+def test_notices_inside_articles_go_and_quotations_stay(spark):
+    quoted = lambda k: "<p>a quoted passage</p>" if k in (3, 4, 5) else ""
+    article = lambda k: f"<article><p>own text of page {k}, long enough</p>{quoted(k)}<p>Read our newsletter</p></article>"
+    want = [(k, f"own text of page {k}, long enough" + ("\n\na quoted passage" if quoted(k) else "")) for k in range(12)]
+    assert extracted(spark, [(k, f"http://h/{k:02}", article(k)) for k in range(12)]) == want
+    few = extracted(spark, [(k, f"http://h/{k}", article(k)) for k in range(3)])
+    assert all(text.endswith("Read our newsletter") for _, text in few)  # too few pages to tell
+    same = [(k, f"http://h/{k}", "<article><p>copy of a page</p><p>on a whole host</p></article>") for k in range(8)]
+    assert extracted(spark, same) == [(k, "copy of a page\n\non a whole host") for k in range(8)]
+
+
+def test_a_large_host_is_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(htmldiff, "CHUNK", 4)
+    rows = [(k, f"http://h/{k:02}", f"<article><p>own text of page {k}</p><p>Notice</p></article>") for k in range(30)]
+    assert extracted(spark, rows) == [(k, f"own text of page {k}") for k in range(30)]
