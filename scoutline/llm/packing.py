@@ -70,22 +70,30 @@ class Encoder(dict):
     are encoded once and remembered; a text in which a space touches other white space is encoded as a whole.
 
     The vocabulary file is that of `tokenizers`; where its ids are merge ranks, a faster encoder of the same ids reads it.
+    A text that holds an added token of the file is encoded as a whole by `tokenizers`, which gives it the token's id.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        self.path = path
+        self.added = [t["content"] for t in json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens") or []]
         ranks = _ranks(path)
         if ranks is not None:
             import tiktoken
 
-            special = {token: i for token, i in ranks.items() if token == b"<|endoftext|>"}
+            special = {token: i for token, i in ranks.items() if token in {t.encode() for t in self.added}}
             self.ids = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks={t: i for t, i in ranks.items() if t not in special}, special_tokens={}).encode_ordinary
         else:
-            from tokenizers import Tokenizer
+            self.ids = self.whole_ids
 
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def whole_ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
         ids = self.ids(text)
@@ -100,6 +108,9 @@ class Encoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            ids = self.whole_ids(text)
+            return struct.pack(f"<{len(ids)}I", *ids)
         first, *words = text.split(" ")
         if words and (not first or first[-1].isspace()):
             return self.encode(text)

@@ -1,9 +1,11 @@
 """Findings of the second review."""
 
+import numpy as np
 import pytest
 from test_free import extracted
+from tokenizers import Tokenizer
 
-from scoutline.llm import htmldiff
+from scoutline.llm import htmldiff, packing
 
 
 # --- page differencing ---------------------------------------------------------------------------------------
@@ -50,3 +52,16 @@ def test_a_large_host_is_many_keys(spark, monkeypatch):
     monkeypatch.setattr(htmldiff, "CHUNK", 4)
     rows = [(k, f"http://h/{k:02}", f"<article><p>own text of page {k}</p><p>Notice</p></article>") for k in range(30)]
     assert extracted(spark, rows) == [(k, f"own text of page {k}") for k in range(30)]
+
+
+# --- packing ------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("ranked", [True, False])
+@pytest.mark.parametrize("text", ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b\n <|endoftext|><|endoftext|> ", "<|endoftext", "plain text"])
+def test_added_tokens_have_their_ids(text, ranked, monkeypatch):
+    path = packing.default_tokenizer()
+    if not ranked:
+        monkeypatch.setattr(packing, "_ranks", lambda _: None)
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Encoder(path)(text), "<u4").tolist() == want
+    assert (50256 in want) == ("<|endoftext|>" in text)
