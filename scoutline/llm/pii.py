@@ -35,7 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 #: Proposed kinds -> expression. Forms of identifiers in common use.
 PROPOSALS = {
-    "secret": r"(?<![A-Za-z0-9_-])(?:[A-Fa-f0-9]{32,128}|(?:sk|pk|ghp|xox[abp])[-_][A-Za-z0-9_-]{16,128}|AKIA[A-Z0-9]{16})(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?:[A-Fa-f0-9]{32,}+|(?:sk|pk|ghp|xox[abp])[-_][A-Za-z0-9_-]{16,}+|AKIA[A-Z0-9]{16})(?![A-Za-z0-9_-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+().-])\([0-9]{2,5}\)\x20?[0-9]{3}[\x20-][0-9]{3,4}(?![0-9])",

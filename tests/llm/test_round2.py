@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_free import extracted
 from tokenizers import Tokenizer
 
-from scoutline.llm import htmldiff, packing
+from scoutline.llm import htmldiff, packing, pii
 
 
 # --- page differencing ---------------------------------------------------------------------------------------
@@ -65,3 +66,12 @@ def test_added_tokens_have_their_ids(text, ranked, monkeypatch):
     want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(packing.Encoder(path)(text), "<u4").tolist() == want
     assert (50256 in want) == ("<|endoftext|>" in text)
+
+
+# --- personal data ----------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("token", ["sk-" + "aZ9_" * 40, "0123456789abcdef" * 16, "a1" * 64, "f" * 32])
+def test_long_secrets_are_proposed(spark, token):
+    df = spark.createDataFrame([(f"key {token} end",)], "text string")
+    [r] = df.select(pii.matches(F.col("text"), pii.PROPOSALS["secret"]).alias("m")).collect()
+    assert [(m.start, m.end, m.hit) for m in r.m] == [(4, 4 + len(token), token)]
