@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, let, only, shift_left, shift_right, text_of, words_of
+from .common import SPACE_CLASS, SPACES, let, only, text_of, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 3  # words
@@ -58,8 +58,8 @@ def policy_mask(names: tuple[str, ...] | str) -> int:
 def _repeat_words(words: Column) -> Column:
     """Words inside a window of 3 words that occurs twice or more in the text, each word once.
 
-    Windows become 64-bit hashes; the low bits of each give way to its position, so that one sort brings equal windows
-    together. With n words 64 - log2(n) bits of hash are left (54 for 500 words).
+    Windows become (64-bit hash, position), so that one sort brings equal windows together; neighbours with equal hashes
+    count if their words are equal.
     """
 
     def covered(starts: Column) -> Column:
@@ -68,18 +68,15 @@ def _repeat_words(words: Column) -> Column:
             F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)).cast("int"))),
             F.lit(0).cast("bigint"), lambda a, x: a + x))
 
-    def repeated(packed: Column, bits: Column) -> Column:
-        top = lambda x: shift_right(x, bits)
-        low = shift_left(F.lit(1).cast("bigint"), bits) - 1
-        kept = F.filter(packed, lambda x, i: (top(x) == top(F.get(packed, i + 1))) | (top(x) == top(F.get(packed, i - 1))))
-        return covered(F.array_sort(F.transform(kept, lambda x: x.bitwiseAND(low))))
+    def repeated(windows: Column, w: Column) -> Column:
+        same = lambda x, y: reduce(lambda a, k: a & (F.get(w, x["at"] + k) == F.get(w, y["at"] + k)), range(WINDOW), x["hash"] == y["hash"])
+        kept = F.filter(windows, lambda x, i: same(x, F.get(windows, i + 1)) | same(x, F.get(windows, i - 1)))
+        return covered(F.sort_array(F.transform(kept, lambda x: x["at"])))
 
     def of(w: Column) -> Column:
-        bits = F.length(F.bin(F.size(w).cast("bigint")))
-        low = shift_left(F.lit(1).cast("bigint"), bits) - 1
-        packed = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(
-            F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("bigint")))
-        return let(F.sort_array(packed), lambda p: repeated(p, bits))
+        windows = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.struct(
+            F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("hash"), i.alias("at")))
+        return let(F.sort_array(windows), lambda p: repeated(p, w))
 
     return let(words, lambda w: F.when(F.size(w) > WINDOW, of(w)).otherwise(F.lit(0).cast("bigint")))
 

@@ -1,12 +1,13 @@
 """Findings of the second review."""
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_free import extracted
 from tokenizers import Tokenizer
 
-from scoutline.llm import htmldiff, packing, pii
+from scoutline.llm import htmldiff, packing, pii, rules
 
 
 # --- page differencing ---------------------------------------------------------------------------------------
@@ -75,3 +76,14 @@ def test_long_secrets_are_proposed(spark, token):
     df = spark.createDataFrame([(f"key {token} end",)], "text string")
     [r] = df.select(pii.matches(F.col("text"), pii.PROPOSALS["secret"]).alias("m")).collect()
     assert [(m.start, m.end, m.hit) for m in r.m] == [(4, 4 + len(token), token)]
+
+
+# --- quality rules ----------------------------------------------------------------------------------------------
+
+def test_repeated_windows_do_not_depend_on_the_high_bits_of_the_hash(spark, monkeypatch):
+    """A hash of 20 bits, in the place where positions would be, with some equal hashes of different windows."""
+    hashed = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: hashed(*c).bitwiseAND(F.lit((1 << 20) - 1).cast("bigint")))
+    text = " ".join(f"w{k}" for k in range(4000)) + " x y z" * 3
+    [r] = rules.measure(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert r.n_repeat_words == brute.quality(text)[4] == 9
