@@ -2,8 +2,7 @@
 
 Lines long enough to count become 128-bit hashes of their keys. The (hash, document, position) rows are range-partitioned
 on hash and document and written sorted; a frequent line is spread over several partitions because the document is part
-of the range. One row per (hash, document) streams out of each partition, and counts and the keeping document are merged
-from partial sums. Only shared hashes meet the rows again; their positions become bitmaps, 64 lines to a word, with only
+of the range. Counts and the keeping document come from aggregating those rows, which does not use their order. Only shared hashes meet the rows again; their positions become bitmaps, 64 lines to a word, with only
 the words that lose a line stored. The text itself is not in any of these shuffles.
 
 Null or empty texts are one empty line. Rows with the same id are one document (a null id, too, is one document); rows that
