@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmldiff, licenses, linededup, mixing, nbsvm, oddsketch, packing, pii, rules, sql, topk
+from . import alignment, htmldiff, licenses, linededup, mixing, nbsvm, oddsketch, packing, piecemodel, pii, rules, sql, topk, turnrepair
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,18 @@ def op10(spark, sf):
     book = rules.apply_policy(rules.ledger(_table(spark, sf, "documents")), "v2")
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~rules.passes(F.col("failed"), "base")).alias("base_failed"), "kept", "failed")
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark, sf):
+    return alignment.report(_table(spark, sf, "documents"))
+
+
+@query("op12_piece_round_trip")
+def op12(spark, sf):
+    return piecemodel.report(piecemodel.decode(piecemodel.encode(_table(spark, sf, "documents"))))
+
+
+@query("op13_conversation_repair")
+def op13(spark, sf):
+    return turnrepair.report(turnrepair.damage(_table(spark, sf, "conversations")))
