@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from ..functions.session import cut_lineage
 from .common import only
 from .packing import Encoder, _Spaced, default_tokenizer
-from .piecemodel import default_model, model_of
+from .piecemodel import default_model, model_of, slices
 
-KNOWN_WINDOWS, WINDOW_IDS = 300_000, 32  # what a worker remembers: a bound on memory, not on the result
+KNOWN_WINDOWS, WINDOW_IDS = 80_000, 32  # what a worker remembers: a bound on memory, not on the result
 PAIR = 1 << 32  # a pair of ids as one number: left * PAIR + right
 
 
@@ -140,11 +140,12 @@ class Aligner:
             self.known[key] = found
         return found
 
-    def align(self, text: str | None) -> tuple[bytes, bytes, list[Window]]:
-        """The ids of both sides and the aligned windows, in order; nothing for a text that has no tokens."""
+    def align(self, text: str | None, two: bytes | None = None) -> tuple[bytes, bytes, list[Window]]:
+        """The ids of both sides and the aligned windows, in order; nothing for a text that has no tokens. `two` are the ids of
+        the right side, if they are known."""
         if not text:
             return b"", b"", []
-        one, two = self.a.spaced(text), self.b.encode(text)
+        one, two = self.a.spaced(text), self.b.encode(text) if two is None else two
         a, b = np.frombuffer(one, "<i4"), np.frombuffer(two, "<i4")
         whole = b" " + text.encode()
         if self.left.joined(a) != whole or self.right.joined(b) != whole:
@@ -156,7 +157,8 @@ class Aligner:
         cut_a = [0, *(4 * np.searchsorted(start_a, anchors)).tolist(), len(one)]
         cut_b = [0, *(4 * np.searchsorted(start_b, anchors)).tolist(), len(two)]
         keys = [(one[i:s], two[j:t]) for i, s, j, t in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        return one, two, [self.known.get(key) or self.window(key) for key in keys]
+        windows = list(map(self.known.get, keys))
+        return one, two, [self.window(k) if w is None else w for k, w in zip(keys, windows)] if None in windows else windows
 
 
 @functools.lru_cache(maxsize=1)
@@ -175,10 +177,11 @@ def align(docs: DataFrame, tokenizer: str | None = None, model: str | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(tokenizer, model)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows, pairs, links = [], [], []
-            for text in batch.column("text").to_pylist():
-                one, two, windows = aligner.align(text)
+            texts = batch.column("text").to_pylist()
+            for text, ids in zip(texts, aligner.b.encode_all(texts)):
+                one, two, windows = aligner.align(text, ids)
                 codes = np.frombuffer(b"".join([w[3] for w in windows]), "<i8")
                 counts = np.frombuffer(b"".join([w[4] for w in windows]), "<i8")
                 distinct, at = np.unique(codes, return_inverse=True)

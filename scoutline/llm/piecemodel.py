@@ -14,7 +14,7 @@ scores). The encoder gets the same pieces without replaying those merges over th
 
 No piece has a space mark behind another character, or a Latin letter beside a character that is neither such a letter nor a mark, so
 merges never cross such places. The chunks between them are encoded once and remembered (short ones, a bounded number of
-them). A model without these properties is encoded a whole text at a time. Characters outside the vocabulary become the bytes of their UTF-8
+them), those of many texts side by side. A model without these properties is encoded a whole text at a time. Characters outside the vocabulary become the bytes of their UTF-8
 form. Models with user-defined or unused pieces, or with a normalizer that changes text, are refused.
 
 Null and empty texts have no ids; ids null or empty decode to the empty text. Texts are taken whole, at any length, in
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,9 @@ MARK = "▁"  # stands for a space in pieces
 CHUNKS = re.compile(f"(?:^|{MARK})({MARK}*[^{MARK}]*)").findall
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]"  # Latin
 PARTS = re.compile(f"{MARK}*{LETTERS}+|{MARK}*(?:(?!{LETTERS})[^{MARK}])+|{MARK}+").findall
-KNOWN_CHUNKS, KNOWN_PIECES, CHUNK_CHARS = 500_000, 50_000, 64  # what a worker remembers: a bound on memory, not on the result
+# What a worker remembers, and how many texts it takes at once: bounds on memory, not on the result.
+KNOWN_CHUNKS, KNOWN_PARTS, KNOWN_PAIRS, CHUNK_CHARS, TOGETHER, SLICE_CHARS = 250_000, 100_000, 300_000, 48, 20_000, 1_000_000
+SEPARATOR = "\0"
 PROBE = " Ａ́  ﬁ "  # a text that every normalizer but the identity changes
 
 codecs.register_error("each byte", lambda e: ("�", e.start + 1))
@@ -54,25 +57,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Neighbours(dict):
-    """piece -> do it and the piece `before` it come out again if they are joined and merged anew?"""
-
-    def __init__(self, model: PieceModel, before: str):
-        self.model, self.before = model, before
-
-    def __missing__(self, piece: str) -> bool:
-        if len(self) >= KNOWN_PIECES:
-            self.clear()
-        known = self[piece] = self.model.merged(self.before + piece) == ([self.before, piece] if self.before else [piece])
-        return known
-
-
-class PieceModel(dict):
-    """Vocabulary of a model file. As a dict: what follows the mark of a chunk -> the chunk's ids as little-endian 32-bit
-    bytes, filled as chunks are met."""
+class PieceModel:
+    """Vocabulary of a model file, and the ids of the chunks met so far as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
-        super().__init__()
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
@@ -95,15 +83,19 @@ class PieceModel(dict):
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         mixed = re.compile(f"[^{MARK}]{MARK}|{LETTERS}(?!{LETTERS}).|(?!{LETTERS})[^{MARK}]{LETTERS}", re.S)
         self.has_chunks = not any(map(mixed.search, self.id_of))
-        self.automaton = ahocorasick.Automaton()
-        for p in self.id_of:
-            self.automaton.add_word(p, (len(p) - 1, 1 << len(p)))
-        self.automaton.make_automaton()
-        if max(map(len, self.id_of)) > 31:
-            raise ValueError(f"{path} has pieces too long for a bit mask of lengths")
-        self.stable: dict[str, Neighbours] = {}
-        self.older: dict[str, bytes] = {}  # chunks known before the memory was full
-        self.inner: dict[str, bytes] = {}  # parts of chunks that do not start with a mark
+        self.pieces, self.sizes = pieces, [len(p) for p in pieces]
+        self.size = np.array(self.sizes)
+        self.alphabet = {p for p in self.id_of if len(p) == 1 and p != SEPARATOR}
+        self.finder = ahocorasick.Automaton()
+        for p, i in self.id_of.items():
+            self.finder.add_word(p, i)
+        self.finder.make_automaton()
+        if max(self.sizes[i] for i in self.id_of.values()) > 31 or any(SEPARATOR in p for p in self.id_of):
+            raise ValueError(f"{path} has pieces too long for a bit mask of lengths, or pieces with a zero byte")
+        self.stable: dict[int, bool] = {}  # id of a piece * 2^32 + id of the next one: do they fit?
+        self.known: dict[str, bytes] = {}  # what follows the mark of a chunk -> ids
+        self.older: dict[str, bytes] = {}  # the same from before the memory was full
+        self.parts: dict[str, bytes] = {}  # parts of chunks, between letters and other characters
 
     def merged(self, text: str) -> list[str]:
         """The model's merges replayed over a text of a few characters."""
@@ -115,39 +107,39 @@ class PieceModel(dict):
             i = -max(found)[1]
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
-    def beside(self, before: str) -> Neighbours:
-        """What is known of the pieces that may follow `before`, which is empty for the first piece."""
-        known = self.stable.get(before)
-        if known is None:
-            if len(self.stable) >= KNOWN_PIECES:
-                self.stable.clear()
-            known = self.stable[before] = Neighbours(self, before)
-        return known
+    def fits(self, before: str, piece: str) -> bool:
+        """Do both come out again if they are joined and merged anew? `before` is empty for the first piece."""
+        pair = [before, piece] if before else [piece]
+        one, two = self.id_of.get(before, -2) if before else -1, self.id_of.get(piece)
+        if one == -2 or two is None:
+            return self.merged(before + piece) == pair
+        key = one << 32 | two
+        return self.stable[key] if key in self.stable else self._fits(key)
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text whose spaces are marks already."""
         n = len(text)
-        lengths = [2] * n  # bit k: a piece of k characters starts here; one character is always possible
-        for end, (back, bit) in self.automaton.iter(text):
-            lengths[end - back] |= bit
+        lengths = array("I", [2]) * n  # bit k: a piece of k characters starts here; one character is always possible
+        for end, i in self.finder.iter(text):
+            lengths[end + 1 - self.sizes[i]] |= 1 << self.sizes[i]
         lengths.append(0)
         failed = bytearray(n // 8 + 1)
         pieces: list[str] = []
-        at, left, fits = 0, lengths[0], self.beside("")
+        at, before, left = 0, "", lengths[0]
         while at < n:
             size = left.bit_length() - 1
             if size < 1:
                 failed[at >> 3] |= 1 << (at & 7)
                 size = len(pieces.pop())
                 at -= size
-                left, fits = lengths[at] & ((1 << size) - 1), self.beside(pieces[-1] if pieces else "")
+                before, left = pieces[-1] if pieces else "", lengths[at] & ((1 << size) - 1)
                 continue
             left ^= 1 << size
             end = at + size
             piece = text[at:end]
-            if fits[piece] and not failed[end >> 3] >> (end & 7) & 1:
+            if not failed[end >> 3] >> (end & 7) & 1 and self.fits(before, piece):
                 pieces.append(piece)
-                at, left, fits = end, lengths[end], self.stable.get(piece) or self.beside(piece)
+                at, before, left = end, piece, lengths[end]
         return pieces
 
     def ids_of(self, text: str) -> bytes:
@@ -157,35 +149,117 @@ class PieceModel(dict):
             ids = [i for p, known in zip(pieces, ids) for i in ([known] if known is not None else [self.byte_id[b] for b in p.encode()])]
         return array("i", ids).tobytes()
 
-    def _remember(self, known: dict[str, bytes], key: str, ids: bytes) -> bytes:
-        if len(key) < CHUNK_CHARS:
-            if len(known) >= KNOWN_CHUNKS:
-                if known is self:
-                    self.older = dict(self)
-                known.clear()
-            known[key] = ids
+    def _remember(self, rest: str, ids: bytes) -> bytes:
+        if len(rest) < CHUNK_CHARS:
+            if len(self.known) >= KNOWN_CHUNKS:
+                self.known, self.older = {}, self.known
+            self.known[rest] = ids
         return ids
 
-    def _inner(self, part: str) -> bytes:
-        ids = self.inner.get(part)
-        return self._remember(self.inner, part, self.ids_of(part)) if ids is None else ids
-
-    def __missing__(self, rest: str) -> bytes:
+    def _new(self, rest: str) -> bytes:
         ids = self.older.get(rest)
         if ids is None:
-            first, *others = PARTS(MARK + rest)
-            ids = b"".join([self[first[1:]], *map(self._inner, others)]) if others else self.ids_of(first)
-        return self._remember(self, rest, ids)
+            ids = b"".join(map(self.ids_of, PARTS(MARK + rest))) if self.has_chunks else self.ids_of(MARK + rest)
+        return self._remember(rest, ids)
+
+    def learn(self, texts: list[str | None]) -> list[list[str]]:
+        """The chunks of texts. Those not remembered are encoded together first: their parts, each once, side by side."""
+        chunks = [self.chunks_of(t) for t in texts]
+        unknown = set().union(*chunks) - self.known.keys() - self.older.keys() if self.has_chunks else ()
+        new = {c: PARTS(MARK + c) for c in unknown if len(c) < CHUNK_CHARS}
+        parts = list({p for ps in new.values() for p in ps if p not in self.parts})
+        if len(self.parts) + len(parts) > KNOWN_PARTS:
+            self.parts.clear()
+            parts = list({p for ps in new.values() for p in ps})
+        for k in range(0, len(parts), TOGETHER):
+            self.parts.update(self._side_by_side(parts[k:k + TOGETHER]))
+        for chunk, ps in new.items():
+            self._remember(chunk, b"".join([self.parts[p] for p in ps]))
+        return chunks
+
+    def _side_by_side(self, texts: list[str]) -> dict[str, bytes]:
+        """Text -> ids. `split` for many texts at once: each step of the search is one step for all of them."""
+        plain = [t for t in texts if not self.alphabet.issuperset(t)]
+        out = {t: self.ids_of(t) for t in plain}  # with characters that are bytes, or the separator
+        texts = [t for t in texts if t not in out]
+        if not texts:
+            return out
+        found = np.fromiter(self.finder.iter(SEPARATOR.join(texts)), dtype=[("end", "i8"), ("id", "i4")])
+        start = found["end"] + 1 - self.size[found["id"]]
+        order = np.lexsort((-found["end"], start))  # the longest piece of each place first
+        ids, ends = found["id"][order], found["end"][order] + 1
+        sizes = np.array([len(t) for t in texts])
+        at = np.cumsum(sizes + 1) - sizes - 1
+        stop = at + sizes
+        first = np.searchsorted(start[order], np.arange(stop[-1] + 2))  # place -> its longest piece
+        failed = np.zeros(stop[-1] + 2, dtype=bool)
+        stack = np.zeros((len(texts), sizes.max() + 1), dtype="i4")  # per text the pieces taken; column 0 is none
+        taken = np.zeros(len(texts), dtype="i4")
+        here, piece = at.copy(), first[at]
+        open_ = np.arange(len(texts))
+        none = len(ids)
+        with_none = np.append(ids, -1)
+        while len(open_):
+            place, candidate = here[open_], piece[open_]
+            dead = candidate >= first[place + 1]
+            back = open_[dead]
+            failed[place[dead]] = True
+            last = stack[back, taken[back]]
+            taken[back] -= 1
+            before = stack[back, taken[back]]
+            here[back] = np.where(taken[back] > 0, ends[np.where(taken[back] > 0, before, 0)], at[back])
+            piece[back] = last + 1
+            live, candidate = open_[~dead], candidate[~dead]
+            before = with_none[np.where(taken[live] > 0, stack[live, taken[live]], none)]
+            good = ~failed[ends[candidate]]
+            good[good] = self._fit(before[good], ids[candidate[good]])
+            piece[live] += 1
+            forth, candidate = live[good], candidate[good]
+            taken[forth] += 1
+            stack[forth, taken[forth]] = candidate
+            here[forth] = ends[candidate]
+            piece[forth] = first[here[forth]]
+            open_ = open_[here[open_] < stop[open_]]
+        rows = np.repeat(np.arange(len(texts)), taken)
+        ends_of = np.cumsum(taken)
+        flat = ids[stack[rows, np.arange(len(rows)) - np.repeat(ends_of - taken, taken) + 1]].astype("<i4").tobytes()
+        cuts = [0, *(4 * ends_of).tolist()]
+        return out | {t: flat[i:j] for t, i, j in zip(texts, cuts, cuts[1:])}
+
+    def _fit(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """`fits` for arrays of ids; -1 before the first piece."""
+        keys, at = np.unique((before.astype("i8") << 32) | after, return_inverse=True)
+        known = self.stable
+        if len(known) > KNOWN_PAIRS:
+            known.clear()
+        return np.array([known[k] if k in known else self._fits(k) for k in keys.tolist()], dtype=bool)[at]
+
+    def _fits(self, key: int) -> bool:
+        before, piece = key >> 32, self.pieces[key & 0xFFFFFFFF]
+        pair = [piece] if before < 0 else [self.pieces[before], piece]
+        known = self.stable[key] = self.merged("".join(pair)) == pair
+        return known
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian 32-bit bytes."""
+    def chunks_of(self, text: str | None) -> list[str]:
+        """What follows the mark of each chunk; the model puts a mark before the text."""
         if not text:
-            return b""
-        rest = text.replace(" ", MARK)  # the model puts another mark before it
-        if not self.has_chunks:
-            return self.ids_of(MARK + rest)
+            return []
+        rest = text.replace(" ", MARK)
         runs = rest.startswith(MARK) or rest.endswith(MARK) or 2 * MARK in rest
-        return b"".join([self[c] for c in (CHUNKS(rest) if runs else rest.split(MARK))])
+        return [rest] if not self.has_chunks else CHUNKS(rest) if runs else rest.split(MARK)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian 32-bit bytes."""
+        return self._joined(self.chunks_of(text))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        return list(map(self._joined, self.learn(texts)))
+
+    def _joined(self, chunks: list[str]) -> bytes:
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            ids = [self._new(c) if i is None else i for c, i in zip(chunks, ids)]
+        return b"".join(ids)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes in a row are read as UTF-8 (each byte that is none becomes U+FFFD), and of a space that
@@ -214,6 +288,16 @@ def model_of(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut where their texts reach about `SLICE_CHARS` bytes, one text at least."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()) // SLICE_CHARS
+        cuts = [0, *(np.nonzero(np.diff(size))[0] + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            if i < j:
+                yield batch.slice(i, j - i)
+
+
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text, without begin or end ids."""
     path = model or default_model()
@@ -222,8 +306,8 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model_of(path)
-        for batch in batches:
-            rows = [pieces.encode(t) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text"):
+            rows = pieces.encode_all(batch.column("text").to_pylist())
             ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype("int32")
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
@@ -240,7 +324,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
         pieces = model_of(path)
         for batch in batches:
             column = batch.column("ids")
-            texts = [pieces.decode(column[k].values.to_pylist() if column[k].is_valid else ()) for k in range(len(column))]
+            texts = [pieces.decode(column[k].values.to_numpy().tolist() if column[k].is_valid else []) for k in range(len(column))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

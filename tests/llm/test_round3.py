@@ -63,12 +63,26 @@ def test_decoding_of_any_ids_equals_the_library():
 
 def test_memory_bounds_change_no_ids(monkeypatch):
     monkeypatch.setattr(piecemodel, "KNOWN_CHUNKS", 3)
-    monkeypatch.setattr(piecemodel, "KNOWN_PIECES", 2)
+    monkeypatch.setattr(piecemodel, "KNOWN_PARTS", 2)
+    monkeypatch.setattr(piecemodel, "KNOWN_PAIRS", 2)
+    monkeypatch.setattr(piecemodel, "TOGETHER", 4)
     small = piecemodel.PieceModel(piecemodel.default_model())
     text = " ".join(f"word{k % 7} other, thing{k}" for k in range(60))
     for _ in range(3):
         assert np.frombuffer(small.encode(text), "<i4").tolist() == library().encode(text)
-    assert len(small) <= 3
+        assert np.frombuffer(b"".join(small.encode_all([text, None, "漢 x", text])), "<i4").tolist() == library().encode(text) + library().encode("漢 x") + library().encode(text)
+    assert len(small.known) <= 3
+
+
+def test_side_by_side_equals_the_library():
+    rng, texts = random.Random(3), list(TEXTS)
+    pieces = list(model().id_of)
+    for alphabet in ("ab ", "aeinrst ", "0123456789 a", "the▁ \n", "éèçà uol", "=-*# \n", "漢字かな。a\0"):
+        texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))).replace("▁", " ") for _ in range(2000)]
+    fresh = piecemodel.PieceModel(piecemodel.default_model())
+    for text, ids in zip(texts, fresh.encode_all(texts)):
+        assert np.frombuffer(ids, "<i4").tolist() == library().encode(text or ""), text
 
 
 def test_piece_query(spark):
