@@ -44,3 +44,11 @@ def shift_left(value: Column, by: Column) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that further columns of any name cannot clash with those an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -55,14 +55,13 @@ def _kept(lines: Column, keep: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The documents with their shared lines left out of `text`, and n_lines, n_dropped. All other columns are kept."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("keep").alias("_keep"))
-    joined = (docs.select(*[F.col(f"`{c}`") for c in names], text_of().alias("_text"))
-              .join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash")), "left")
-              .withColumn("_lines", F.split("_text", "\n"))
-              .withColumn("_left", F.when(F.col("_keep").isNotNull(), _kept(F.col("_lines"), F.col("_keep")))))
-    return joined.select(*[F.coalesce(F.array_join("_left", "\n"), F.col("_text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
-                         F.size("_lines").cast("bigint").alias("n_lines"),
-                         F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).cast("bigint").alias("n_dropped"))
+    marks = bitmaps.select("doc_id", "text_hash", "keep")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_of().alias("t"))
+    joined = (rows.join(marks, F.col("id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("t") == F.col("text_hash")), "left")
+              .withColumn("all", F.split("t", "\n")).withColumn("kept", F.when(F.col("keep").isNotNull(), _kept(F.col("all"), F.col("keep")))))
+    return joined.select(*[(F.coalesce(F.array_join("kept", "\n"), F.col("t")) if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names],
+                         F.size("all").cast("bigint").alias("n_lines"),
+                         F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("bigint").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -110,9 +110,8 @@ def _truncate(turns: DataFrame, budget: int) -> tuple[float, int]:
 def take(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The mix itself: every document as often as `mix` takes it, with its own columns. Rows with equal id, source and size
     share the more generous decision."""
-    chosen = (decisions.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("passes").alias("_passes"))
-              .filter("_passes > 0"))
-    here = [F.col(f"`{c}`") for c in docs.columns]
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & _same("source", "_source") & (F.col("_words") == F.col("_size"))
-    return (docs.select(*here, word_count(text_of()).alias("_words")).join(chosen, same)
-            .select(*here, F.explode(F.sequence(F.lit(1), F.col("_passes"))).alias("_turn")).select(*here))
+    chosen = (decisions.groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes")).filter("passes > 0"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"),
+                       word_count(text_of()).alias("words"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & _same("from", "source") & (F.col("words") == F.col("size"))
+    return rows.join(chosen, same).select("row", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("row.*")

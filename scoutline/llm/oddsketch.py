@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.session import cut_lineage
-from .common import only, text_of
+from .common import free_name, only, text_of
 
 BANDS, ROWS, SKETCH_BITS, SEED = 40, 5, 512, 20240
 PERCENT = 80
@@ -139,8 +139,9 @@ def _similar_sizes(a: str, b: str):
 
 
 def proposals(reps: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, hub, differing) of bucket members and the centres of their buckets, where sizes and sketches allow a link."""
-    centres = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("bucket", "id").alias("order"), "id")).alias("c"))
+    """(id, hub, differing) of bucket members and the centres of their buckets, where sizes and sketches allow a link. All
+    buckets choose their centre by one order of the ids, so that a group of copies has the same few centres in all its buckets."""
+    centres = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id").alias("order"), "id")).alias("c"))
                           .filter("m > 1").select("bucket", F.col("c.id").alias("hub")))
     pairs = cut_lineage(members.join(centres, "bucket").filter("id <> hub").select("id", "hub").distinct())
     side = reps.select("id", "n", "sketch")
@@ -169,18 +170,30 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(rows.join(texts, "id").groupBy("hub", "chunk").applyInPandas(check, "id bigint, hub bigint"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label) of every linked id: the smallest id of its component, by label propagation with pointer jumping."""
-    both = cut_lineage(links.select("id", "hub").union(links.select("hub", "id")).toDF("id", "other").distinct())
-    labels = cut_lineage(both.groupBy("id").agg(F.min("other").alias("near")).select("id", F.least("id", "near").alias("label")))
+def _to_roots(forest: DataFrame) -> DataFrame:
+    """(id, label) with every label replaced by the root above it: pointers are doubled until none moves."""
     while True:
-        seen = both.join(labels.select(F.col("id").alias("other"), F.col("label").alias("theirs")), "other").groupBy("id").agg(F.min("theirs").alias("near"))
-        hooked = labels.join(seen, "id").select("id", F.least("label", "near").alias("next"), "label")
-        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        new = cut_lineage(hooked.join(jump, "next", "left").select("id", F.least("next", "far").alias("label"), (F.col("label") > F.least("next", "far")).alias("moved")))
-        if new.filter("moved").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+        above = forest.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        forest = cut_lineage(forest.join(above, "label").select("id", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")))
+        if forest.filter("moved").isEmpty():
+            return forest.select("id", "label")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, label) of every linked id: the smallest id of its component. In each round every id hooks to its smallest neighbour;
+    then edges are contracted: both ends become their roots, and loops and repeated edges go, so edges shrink from round to round."""
+    def simple(edges: DataFrame) -> DataFrame:
+        return cut_lineage(edges.select(F.least("id", "hub").alias("id"), F.greatest("id", "hub").alias("hub")).filter("id < hub").distinct())
+
+    edges, labels = simple(links), None
+    while labels is None or not edges.isEmpty():
+        near = edges.union(edges.select("hub", "id")).groupBy("id").agg(F.min("hub").alias("near"))
+        forest = _to_roots(cut_lineage(near.select("id", F.least("id", "near").alias("label"))))
+        root = forest.select(F.col("id").alias("label"), F.col("label").alias("root"))
+        labels = forest if labels is None else cut_lineage(labels.join(root, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
+        ends = edges.join(root.toDF("id", "low"), "id").join(root.toDF("hub", "high"), "hub")
+        edges = simple(ends.select(F.col("low").alias("id"), F.col("high").alias("hub")))
+    return labels
 
 
 def _labelled(df: DataFrame, labels: DataFrame | None, name: str, out: str) -> DataFrame:
@@ -335,5 +348,6 @@ def _whole_ids(out: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that are not the first of their component; all columns stay."""
-    gone = cut_lineage(link(docs).filter("not kept").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = cut_lineage(link(docs).filter("not kept").select("doc_id"))
+    name = free_name(docs, "gone")
+    return docs.join(gone.toDF(name), F.col("doc_id") == F.col(name), "left_anti")

@@ -24,5 +24,9 @@ def odd_documents():
     return [(i if i != 4 else None, text, "en", None if i % 11 == 0 else f"src{i % 4}", None, 1, "x", 2, 3, "b", "k", 4, 5) for i, text in enumerate(texts)]
 
 
+CLASHING = ("_id", "_text", "_hash", "_keep", "_gone", "_words", "_source", "_size", "_passes", "_lines", "_left", "row", "gone", "words", "text_hash", "passes")
+
+
 def frame(spark, rows=None):
-    return spark.createDataFrame(odd_documents() if rows is None else rows, SCHEMA)
+    docs = spark.createDataFrame(odd_documents() if rows is None else rows, SCHEMA)
+    return docs.selectExpr("*", *[f"1 AS {name}" for name in CLASHING])
