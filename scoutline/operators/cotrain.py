@@ -1,9 +1,9 @@
 """Co-training of one encoder per view.
 
 Each view has a small network (linear, ReLU, linear) whose soft cluster assignment is pulled towards the label
-targets and towards the other view's assignment. The loss is a sum over rows, so one epoch is one Spark job:
-tasks add up gradients over Arrow batches with NumPy, the sums are reduced chunk by chunk on the executors, and
-the driver only sees one gradient of the size of the model.
+targets and towards the other view's assignment. The loss is a sum over rows, so one epoch is one Spark job over a
+table in the checkpoint folder: each core adds up gradients over Arrow batches with NumPy, the sums of the cores are
+reduced chunk by chunk on the executors, and the driver only sees one gradient of the size of the model.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import literal_array, to_matrix
+from ..functions.session import cut_lineage
+from ..functions.sums import summed
 from .reduce import map_matrix
 from .targets import has_converged
 
-CHUNK = 16384  # gradient values per reduced row
-
 
 @dataclass
 class Encoder:
@@ -118,7 +118,7 @@ def _epoch_sums(rows: DataFrame, encoders: list[Encoder], reps: list[np.ndarray]
     k = len(reps[0])
     shared = rows.sparkSession.sparkContext.broadcast((encoders, reps))
 
-    def task(batches):
+    def gradients(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         nets, centres = shared.value
         total = None
         for batch in batches:
@@ -126,23 +126,10 @@ def _epoch_sums(rows: DataFrame, encoders: list[Encoder], reps: list[np.ndarray]
                 continue
             xs = [to_matrix(batch.column("x0")), to_matrix(batch.column("x1"))]
             part = _pack(row_gradients(nets, centres, xs, to_matrix(batch.column("target")), lam))
-            total = part if total is None else total + part
-        if total is not None:
-            pieces = [total[i:i + CHUNK] for i in range(0, len(total), CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()),
-                                              pa.array([p.tobytes() for p in pieces], pa.binary())], names=["chunk", "part"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, total = None, 0.0
-        for batch in batches:
-            chunk = batch.column("chunk")[0].as_py()
-            total = total + sum(np.frombuffer(p.as_py()) for p in batch.column("part"))
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())],
-                                         names=["chunk", "part"])
-
-    schema = "chunk int, part binary"
-    summed = rows.select("x0", "x1", "target").mapInArrow(task, schema).groupBy("chunk").applyInArrow(add, schema)
-    flat = np.concatenate([np.frombuffer(bytes(r["part"])) for r in sorted(summed.collect(), key=lambda r: r["chunk"])])
+            total = part if total is None else np.add(total, part, out=total)
+        return total
+
+    flat = summed(rows.select("x0", "x1", "target"), gradients)
     shared.unpersist()
     return _unpack(flat, encoders, k)
 
@@ -180,17 +167,14 @@ def cotrain(rows: DataFrame, reps: list[np.ndarray], encoders: list[Encoder], ep
     encoders = [Encoder(*[p.copy() for p in enc.parts()]) for enc in encoders]
     optimizers = [Adam(lr), Adam(lr)]
     losses: list[tuple[float, float]] = []
-    rows = rows.persist()
-    try:
-        for _ in range(epochs):
-            grads = full_gradients(encoders, reps, _epoch_sums(rows, encoders, reps, lam))
-            for enc, opt, (_, g) in zip(encoders, optimizers, grads):
-                opt.step(enc.parts(), g)
-            losses.append((grads[0][0], grads[1][0]))
-            if all(has_converged([pair[v] for pair in losses], min_len, tol) for v in (0, 1)):
-                break
-    finally:
-        rows.unpersist()
+    rows = cut_lineage(rows.select("x0", "x1", "target"))
+    for _ in range(epochs):
+        grads = full_gradients(encoders, reps, _epoch_sums(rows, encoders, reps, lam))
+        for enc, opt, (_, g) in zip(encoders, optimizers, grads):
+            opt.step(enc.parts(), g)
+        losses.append((grads[0][0], grads[1][0]))
+        if all(has_converged([pair[v] for pair in losses], min_len, tol) for v in (0, 1)):
+            break
     return encoders, losses
 
 

@@ -1,4 +1,8 @@
-"""Truncated SVD: an uncentered rank-k projection of a feature view."""
+"""Truncated SVD: an uncentered rank-k projection of a feature view.
+
+`fit_svd` leaves the choice of the decomposition to MLlib. `fit_svd_wide` is for wide input: a randomized range finder with
+a fixed number of passes over the rows and nothing on the driver that grows with the square of the width.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import to_matrix
 from ..functions.session import cut_lineage
+from ..functions.sums import summed, triangle
 from .features import slots_to_vector
 
 
@@ -82,6 +87,60 @@ def _fit(vectors: DataFrame, rows: int, width: int, k: int) -> SvdModel:
     return SvdModel(v, np.array(svd.s))
 
 
+ROWS_AT_ONCE = 512  # rows that a task holds as a dense block
+
+
+def _blocks(batches, col: str, width: int, sparse: bool):
+    """Dense blocks of rows: of arrays as they are, of 0/1 rows from their set slots."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            rows = batch.column(col).slice(start, ROWS_AT_ONCE)
+            if sparse:
+                x = np.zeros((len(rows), width))
+                x[np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False)), rows.flatten().to_numpy(zero_copy_only=False)] = 1.0
+                yield x
+            else:
+                yield to_matrix(rows, width)
+
+
+def fit_svd_wide(df: DataFrame, width: int, k: int, passes: int = 4, oversample: int = 32, seed: int = 0, col: str = "features", sparse: bool = False) -> SvdModel:
+    """Rank-k SVD by a randomized range finder: `passes` jobs, each one pass over the rows, whatever the width.
+
+    The first pass multiplies the rows with a sign sketch of k + oversample columns, which every task generates from the seed,
+    and back with the rows' transpose; each further pass does so with an orthonormal basis of what came back (a power
+    iteration). The last pass projects the rows on the basis; the tall-skinny QR of that, reduced in a tree, gives singular
+    values and components. Exact if k + oversample reaches the rank; otherwise the error falls with every pass.
+    With `sparse`, `col` holds the set slots of 0/1 rows.
+    """
+    if passes < 2:
+        raise ValueError("a fit needs a pass that finds the range and one that projects on it")
+    rows, size = cut_lineage(df.select(col)), min(width, k + oversample)
+    basis = None
+    for _ in range(passes - 1):
+        shared = df.sparkSession.sparkContext.broadcast(basis) if basis is not None else None
+
+        def back(batches) -> np.ndarray | None:
+            w = shared.value if shared is not None else np.random.default_rng(seed).integers(0, 2, (width, size)) * 2.0 - 1.0
+            total = None
+            for x in _blocks(batches, col, width, sparse):
+                part = x.T @ (x @ w)
+                total = part if total is None else np.add(total, part, out=total)
+            return None if total is None else total.ravel()
+
+        image = summed(rows, back)
+        if image is None:
+            raise ValueError("no rows to fit on")
+        basis = np.linalg.qr(image.reshape(width, size))[0]
+        if shared is not None:
+            shared.unpersist()
+    final = df.sparkSession.sparkContext.broadcast(basis)
+    r = triangle(rows, lambda batches: (x @ final.value for x in _blocks(batches, col, width, sparse)), size)
+    _, s, v = np.linalg.svd(r, full_matrices=False)
+    v = basis @ v[:k].T
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])  # a fixed sign per component
+    return SvdModel(v, s[:k])
+
+
 def total_variance(col: Column) -> Column:
     """Sum of the population variances of the slots, as an aggregate over ARRAY<DOUBLE>."""
     return Summarizer.metrics("variance", "count").summary(array_to_vector(col))

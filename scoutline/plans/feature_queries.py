@@ -187,6 +187,25 @@ def c11_norms(spark, sf):
     return reduce.fit_svd(p, 64).transform(p).select("row_id", F.round(array_sum(F.transform("features", lambda v: v * v)), 6).alias("squared_norm"))
 
 
+@query("c11_wide_full_rank_norms", f"""
+WITH {POINTS} SELECT row_id, round(list_dot_product(features, features), 6) AS squared_norm FROM points""")
+def c11_wide_norms(spark, sf):
+    """The fit in bounded passes, at full rank."""
+    p = points(spark, sf)
+    return reduce.fit_svd_wide(p, 64, 64).transform(p).select("row_id", F.round(array_sum(F.transform("features", lambda v: v * v)), 6).alias("squared_norm"))
+
+
+@query("c11_wide_sparse", f"""
+WITH {REACTIONS}, bits AS ({_bits_sql('reactions', 'c_0', 4096)})
+SELECT r.row_id, CAST(count(DISTINCT b.bit) AS DOUBLE) AS squared_norm FROM reactions r LEFT JOIN bits b ON b.row_id = r.row_id GROUP BY r.row_id""")
+def c11_wide_sparse(spark, sf):
+    """4,096 slots and no matrix of their square: few names give a low rank, so the projection keeps the lengths, the numbers of bits."""
+    encoded = features.hash_fingerprint(reactions(spark, sf).select("row_id", *COMPONENTS), COMPONENTS[:1], 4096)
+    model = reduce.fit_svd_wide(encoded, 4096, 32, col="slots", sparse=True)
+    projected = model.transform_slots(encoded.select("row_id", "slots"))
+    return projected.select("row_id", F.round(array_sum(F.transform("features", lambda v: v * v)), 6).alias("squared_norm"))
+
+
 @query("c11_explained_variance", f"""
 WITH {POINTS}, long AS (SELECT unnest(features) AS v, unnest(range(64)) AS slot FROM points),
 vars AS (SELECT slot, var_pop(v) AS s FROM long GROUP BY slot)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scoutline.functions import sums
 from scoutline.operators import cotrain, evaluate, features, reduce, targets
 
 
@@ -125,6 +126,53 @@ def test_sparse_svd_equals_dense(spark):
     np.testing.assert_allclose(got, bits.astype(float) @ model.components, atol=1e-9)
 
 
+def test_wide_svd_in_bounded_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 64)) @ np.linalg.qr(rng.normal(size=(64, 64)))[0] @ np.diag(0.6 ** np.arange(64))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id bigint, features array<double>").repartition(12)
+    jobs = []
+    for name in ("summed", "triangle"):
+        monkeypatch.setattr(reduce, name, lambda *a, fn=getattr(reduce, name): (jobs.append(fn.__name__), fn(*a))[1])
+    for passes in (2, 5):
+        jobs.clear()
+        model = reduce.fit_svd_wide(df, 64, 16, passes, oversample=16)
+        assert jobs == ["summed"] * (passes - 1) + ["triangle"]
+    gram = reduce.fit_svd(df, 16)
+    np.testing.assert_allclose(model.singular_values, gram.singular_values, rtol=1e-6)
+    np.testing.assert_allclose(np.abs((model.components * gram.components).sum(0)), 1, atol=1e-6)
+    np.testing.assert_allclose(reduce.fit_svd_wide(df, 64, 64).singular_values, np.linalg.svd(x)[1], rtol=1e-6, atol=1e-12)
+    assert len(reduce.fit_svd_wide(df.limit(3), 64, 10).singular_values) == 3
+    with pytest.raises(ValueError):
+        reduce.fit_svd_wide(df.limit(0), 64, 4)
+
+
+def test_wide_sparse_svd_equals_numpy(spark):
+    rng = np.random.default_rng(6)
+    bits = rng.random((40, 500)) < 0.02
+    df = spark.createDataFrame([(i, [int(j) for j in np.nonzero(b)[0]]) for i, b in enumerate(bits)], "row_id bigint, slots array<int>")
+    model = reduce.fit_svd_wide(df, 500, 10, col="slots", sparse=True, oversample=40)
+    np.testing.assert_allclose(model.singular_values, np.linalg.svd(bits.astype(float))[1][:10], rtol=1e-9)
+
+
+def test_contributions_are_one_per_core(spark):
+    rows = spark.range(0, 1000, 1, 300).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+
+    def partial(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                part = np.append(np.stack(b.column("x").to_pylist()).sum(0), 0)
+                total = part if total is None else total + part
+        return None if total is None else np.append(total[:2], 1.0)
+
+    ids, n, tasks = sums.summed(rows, partial)
+    assert (ids, n) == (499500, 1000) and tasks <= sums.cores(spark)
+    assert sums.summed(rows.limit(0), partial) is None
+    r = sums.triangle(rows, lambda batches: (np.stack(b.column("x").to_pylist()) for b in batches if b.num_rows), 2)
+    x = np.stack([np.arange(1000.0), np.ones(1000)], 1)
+    np.testing.assert_allclose(r.T @ r, x.T @ x)
+
+
 def test_one_hot_round_trip_with_empty_and_non_ascii(spark):
     df = spark.createDataFrame([(0, "abc", "é"), (1, "", "日本"), (2, "c", "é日")], "row_id bigint, a string, b string")
     vocab = features.char_vocab(df, ["a", "b"])
