@@ -3,44 +3,51 @@
 "Within" means Euclidean distance strictly below delta; a row is within delta of itself.
 
 Range join. Points with equal features are collapsed first (one point, a weight), so a group of copies never
-meets itself. Each point goes to its nearest pivot and to a ring of the distance to that pivot; the number of pivots
-grows with the cube root of the points, the width of far rings with the distance. Counts and exact distance limits per
-(pivot, ring) form a table of the size of the index; the triangle inequality sorts pairs of its entries into three kinds:
+meets itself. The index has two levels: each point goes to the cell of its nearest pivot (the number of pivots grows with
+the cube root of the points) and to a ring of the distance to that pivot; the width of far rings grows with the distance.
+Pairs of cells that the triangle inequality cannot rule out are a table, made by the tasks that hold the cells; joined with
+the rings of both cells they give the pairs of entries (cell, ring), which are of three kinds:
 
-* no pair can be within delta: nothing to do;
+* no pair of points can be within delta: not in the table;
 * every pair is within delta: the count of the whole entry is added, without looking at its points;
 * undecided: to be measured.
 
-Entries in order are cut into strips of `TILE_ROWS` points (a hot entry into several, by a hash), and a point travels once
-to each strip of the other side that has an undecided entry for its own strip, so it is copied at most once per
-`TILE_ROWS` points, however many entries there are. A pair of strips is one task, which looks at undecided pairs of
-entries only, in blocks of `BLOCK_ROWS`.
+Entries in order are cut into strips of about `TILE_ROWS` points (a hot entry into several, by a hash), and a point travels
+once to each strip of the other side that has an undecided entry for its own strip, so it is copied at most once per
+`TILE_ROWS` points, however many entries there are. A pair of strips is one group, in which undecided pairs of entries only
+are measured, in blocks of `BLOCK_ROWS`. The driver holds one row per cell; entries, their pairs and the pairs of strips are
+tables.
 
-Greedy selection keeps no edge table and no candidates on the driver. Gains are a table; each pick takes its best row,
-finds the points it newly covers, counts them for the candidates within 2 delta of the pick, and subtracts.
+Greedy selection keeps no edge table and no candidates on the driver. Candidates with their first gains are written once, in
+blocks by score. What a pick newly covers is taken from the candidates within 2 delta of it, as rows (candidate, loss) of a
+log; nothing else is written. Gains never grow, so a block's last known best is a bound, and a pick reads only those blocks
+whose bound can still win.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrays import _c, array_sum, to_matrix
+from ..functions.arrays import _c, array_sum, literal_array, to_matrix
 from ..functions.hashing import portable_hash
-from ..functions.session import cut_lineage
+from ..functions.session import cut_lineage, scratch_path
 
 TILE_ROWS = 32768      # points per strip: what a task holds of one side
 BLOCK_ROWS = 1024      # points per block: a pair of blocks is a 1024 x 1024 product
 NEAR_RINGS = 8         # rings of a quarter of delta; further out a ring is twice as wide as the one before
+GAIN_ROWS = 65536      # candidates per block of the gain log
+BLOCKS_AT_ONCE = 8     # blocks of it that are read together
 SLACK = 1e-9           # relative safety margin of the pruning limits; undecided pairs are always measured
 
 
@@ -86,6 +93,7 @@ class PointIndex:
     points: DataFrame
     pivots: np.ndarray
     delta: float
+    size: int = 0
 
 
 def digest(features: str = "features") -> tuple[Column, Column]:
@@ -101,7 +109,8 @@ def index_points(df: DataFrame, delta: float, keep: list[str] = (), extra: list[
     one, two = digest()
     points = cut_lineage(df.groupBy(one.alias("d1"), two.alias("d2"), *keep)
                          .agg(F.first("features").alias("features"), F.min("row_id").alias("pid"), F.count("*").alias("weight"), *extra))
-    pivot_count = max(1, round(points.count() ** (1 / 3)))
+    size = points.count()
+    pivot_count = max(1, round(size ** (1 / 3)))
     # Any points serve as pivots; the exactness does not depend on them.
     chosen = points.orderBy(portable_hash("pid", "pivot"), "pid").limit(pivot_count).select("features").collect()
     if not chosen:
@@ -109,21 +118,24 @@ def index_points(df: DataFrame, delta: float, keep: list[str] = (), extra: list[
     pivots = np.array([r["features"] for r in chosen], dtype=float)
     near, far = F.floor(F.col("dist") / (delta / 4)), F.floor(F.log2(F.col("dist") / (delta / 4 * NEAR_RINGS)))
     ring = F.when(near < NEAR_RINGS, near).otherwise(NEAR_RINGS + F.greatest(far, F.lit(0))).cast("int")
-    return PointIndex(cut_lineage(nearest_center(points, pivots).withColumn("ring", ring)), pivots, delta)
+    return PointIndex(cut_lineage(nearest_center(points, pivots).withColumn("ring", ring)), pivots, delta, size)
 
 
 @dataclass(frozen=True)
 class _Plan:
     """What to do with the entries of the two sides."""
 
-    left: DataFrame   # per entry: distance limits, sure (summed weight of the right entries wholly within delta), strips, partner strips
+    left: DataFrame   # per entry (ec, er): distance limits, its first strip and the number of strips
     right: DataFrame
+    strips: DataFrame  # (ls, rs) that have to meet
+    sure: DataFrame   # per left entry, the summed weight of the right entries wholly within delta
 
 
-def _limits(l_lo, l_hi, r_lo, r_hi, between, delta: float):
-    """(every pair is within delta, some pair may be) of entries with these distance limits to their pivots."""
+def _limits(l_lo, l_hi, r_lo, r_hi, between, delta: float, most=lambda *v: np.maximum.reduce(v)):
+    """(every pair is within delta, some pair may be) of entries with these distance limits to their pivots: arrays, or columns
+    with `most` for their maximum."""
     margin = SLACK * (1 + delta + between + l_hi + r_hi)
-    nearest = np.maximum.reduce([between - l_hi - r_hi, l_lo - between - r_hi, r_lo - between - l_hi])
+    nearest = most(between - l_hi - r_hi, l_lo - between - r_hi, r_lo - between - l_hi)
     return between + l_hi + r_hi < delta - margin, nearest < delta + margin
 
 
@@ -131,52 +143,72 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
 
 
-def _entries(df: DataFrame) -> DataFrame:
-    return df.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"),
-                                          F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+def _entries(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(side, cell, ring, n, weight, lo, hi) of both sides, written once."""
+    def of(df: DataFrame, side: int) -> DataFrame:
+        return df.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).withColumn("side", F.lit(side))
+    return cut_lineage(of(left, 0).unionByName(of(right, 1)))
 
 
-def _strips(entries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(first strip, strips) of each entry and the number of strips: small entries share one, large ones get several."""
-    first, parts, strip, room = [], [], -1, 0
-    for n in entries.n:
+def _first_strips(cells: pd.DataFrame) -> np.ndarray:
+    """The first strip of each cell: cells that fit share one, others have as many as they need and one more."""
+    first, strip, room = [], 0, TILE_ROWS
+    for n in cells.n:
         if n > TILE_ROWS:
-            need = -(-n // TILE_ROWS)
-            first.append(strip + 1), parts.append(need)
-            strip, room = strip + need, 0
+            first.append(strip + 1)
+            strip, room = strip + 2 + n // TILE_ROWS, TILE_ROWS
         else:
             if n > room:
                 strip, room = strip + 1, TILE_ROWS
             room -= n
-            first.append(strip), parts.append(1)
-    return np.array(first, dtype=int), np.array(parts, dtype=int), strip + 1
+            first.append(strip)
+    return np.array(first, dtype=int)
 
 
-def _plan(left: DataFrame, right: DataFrame, index: PointIndex, count_whole: bool) -> _Plan:
-    """The entries of both sides come to the driver: as many as the index has, some for each cube root of the points.
+def _cell_pairs(cells: DataFrame, others: pd.DataFrame, index: PointIndex) -> DataFrame:
+    """(l_cell, r_cell, between): the pairs of cells that may hold points within delta, and the distance of their pivots."""
+    shared = cells.sparkSession.sparkContext.broadcast((index.pivots, *[others[c].to_numpy() for c in ("cell", "lo", "hi")]))
+    delta = index.delta
 
-    With `count_whole` entries wholly within delta are not measured, but summed as `sure`.
-    """
-    spark, delta, pivots = right.sparkSession, index.delta, index.pivots
-    table = _entries(left).withColumn("side", F.lit(0)).unionByName(_entries(right).withColumn("side", F.lit(1))).toPandas()
-    sides = [table[table.side == k].sort_values(["cell", "ring"]).reset_index(drop=True) for k in (0, 1)]
-    ls, rs = sides
-    (l_first, l_parts, l_count), (r_first, r_parts, r_count) = _strips(ls), _strips(rs)
-    sure, need = np.zeros(len(ls), dtype="int64"), np.zeros((l_count, r_count), dtype=bool)
-    for i, e in ls.iterrows() if len(rs) else ():
-        whole, may = _limits(e.lo, e.hi, rs.lo.to_numpy(), rs.hi.to_numpy(), _distances(pivots[[int(e.cell)]], pivots[rs.cell.to_numpy(int)])[0], delta)
-        if count_whole:
-            sure[i] = rs.weight.to_numpy("int64")[whole].sum()
-            may &= ~whole
-        strips = np.unique(np.concatenate([np.arange(f, f + p) for f, p in zip(r_first[may], r_parts[may])])) if may.any() else np.zeros(0, int)
-        need[np.ix_(np.arange(l_first[i], l_first[i] + l_parts[i]), strips)] = True
+    def pairs(batches):
+        pivots, cell, lo, hi = shared.value
+        for batch in batches:
+            for c, l_lo, l_hi in zip(*[batch.column(n).to_pylist() for n in ("cell", "lo", "hi")]):
+                between = _distances(pivots[[c]], pivots[cell])[0]
+                may = _limits(l_lo, l_hi, lo, hi, between, delta)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(may.sum(), c, "int32")), pa.array(cell[may].astype("int32")), pa.array(between[may])],
+                                                 names=["l_cell", "r_cell", "between"])
 
-    def side(entries: pd.DataFrame, first: np.ndarray, parts: np.ndarray, matrix: np.ndarray) -> DataFrame:
-        rows = [(int(c), int(r), float(lo), float(hi), int(s), int(f), int(p), [[int(x) for x in np.nonzero(matrix[k])[0]] for k in range(f, f + p)])
-                for c, r, lo, hi, s, f, p in zip(entries.cell, entries.ring, entries.lo, entries.hi, sure if entries is ls else [0] * len(entries), first, parts)]
-        return spark.createDataFrame(rows, "ec int, er int, lo double, hi double, sure bigint, first int, parts int, partners array<array<int>>")
+    return cells.mapInArrow(pairs, "l_cell int, r_cell int, between double")
 
-    return _Plan(side(ls, l_first, l_parts, need), side(rs, r_first, r_parts, need.T))
+
+def _plan(left: DataFrame, right: DataFrame, index: PointIndex, count_whole: bool) -> _Plan:
+    """One row per cell comes to the driver, the cube root of the points. With `count_whole` entries wholly within delta are
+    not measured, but summed as `sure`."""
+    spark, delta = right.sparkSession, index.delta
+    entries = _entries(left, right)
+    cells = entries.groupBy("side", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    at_hand = cells.toPandas().sort_values("cell")
+    before = F.sum("n").over(Window.partitionBy("side", "cell").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1))
+
+    def side(k: int) -> DataFrame:
+        own = at_hand[at_hand.side == k]
+        starts = spark.createDataFrame(list(zip(own.cell.tolist(), _first_strips(own).tolist())), "cell int, start int")
+        inside = F.floor(F.coalesce(before, F.lit(0)) / TILE_ROWS)
+        return (entries.where(F.col("side") == k).withColumn("inside", inside).join(starts, "cell")
+                .select(F.col("cell").alias("ec"), F.col("ring").alias("er"), "lo", "hi", "weight", (F.col("start") + F.col("inside")).cast("int").alias("first"),
+                        F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("parts")))
+
+    a, b = side(0), side(1)
+    named = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    pairs = _cell_pairs(cells.where("side = 0"), at_hand[at_hand.side == 1], index)
+    pairs = pairs.join(named(a, "l"), F.col("l_cell") == F.col("l_ec")).join(named(b, "r"), F.col("r_cell") == F.col("r_ec"))
+    whole, may = _limits(*[F.col(c) for c in ("l_lo", "l_hi", "r_lo", "r_hi", "between")], delta, F.greatest)
+    decided = cut_lineage(pairs.where(may).select("l_ec", "l_er", "l_first", "l_parts", "r_first", "r_parts", "r_weight", (whole if count_whole else F.lit(False)).alias("whole")))
+    every = lambda p: F.explode(F.sequence(F.col(f"{p}_first"), F.col(f"{p}_first") + F.col(f"{p}_parts") - 1))
+    strips = decided.where("not whole").select(every("l").alias("ls"), "r_first", "r_parts").distinct().select("ls", every("r").alias("rs")).distinct()
+    sure = decided.where("whole").groupBy(F.col("l_ec").alias("ec"), F.col("l_er").alias("er")).agg(F.sum("r_weight").alias("sure"))
+    return _Plan(a, b, cut_lineage(strips), sure)
 
 
 def within(x: np.ndarray, y: np.ndarray, delta: float) -> np.ndarray:
@@ -189,11 +221,11 @@ def within(x: np.ndarray, y: np.ndarray, delta: float) -> np.ndarray:
     return hit
 
 
-def _dealt(points: DataFrame, entries: DataFrame, own: str, other: str, *cols: str) -> DataFrame:
+def _dealt(points: DataFrame, entries: DataFrame, strips: DataFrame, own: str, *cols: str) -> DataFrame:
     """The points with their strip and, a copy for each, the strips of the other side they have to meet."""
     part = F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int")
-    return (points.join(entries, (F.col("cell") == F.col("ec")) & (F.col("ring") == F.col("er")))
-            .select((F.col("first") + part).alias(own), F.explode(F.get("partners", part)).alias(other), "cell", "ring", "dist", "lo", "hi", "pid", "features", *cols))
+    placed = points.join(entries, (F.col("cell") == F.col("ec")) & (F.col("ring") == F.col("er")))
+    return placed.select((F.col("first") + part).alias(own), "cell", "ring", "dist", "lo", "hi", "pid", "features", *cols).join(strips, own)
 
 
 def _near_blocks(a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray, delta: float, count_whole: bool):
@@ -221,7 +253,8 @@ def _near_blocks(a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray, delta: fl
 
 
 def _measure(left: DataFrame, right: DataFrame, plan: _Plan, per_strips: Callable, schema: str) -> DataFrame:
-    a, b = _dealt(left, plan.left, "ls", "rs"), _dealt(right, plan.right, "rs", "ls", "weight")
+    right_side = plan.right.drop("weight")
+    a, b = _dealt(left, plan.left.drop("weight"), plan.strips, "ls"), _dealt(right, right_side, plan.strips, "rs", "weight")
     b = b.toDF(*b.columns)  # its own column ids: both sides may come from the same table
     return a.groupBy("ls", "rs").cogroup(b.groupBy("ls", "rs")).applyInPandas(per_strips, schema)
 
@@ -239,9 +272,8 @@ def neighbor_weights(left: DataFrame, right: DataFrame, index: PointIndex) -> Da
         return pd.DataFrame({"pid": a.pid[total > 0], "m": total[total > 0]})
 
     measured = _measure(left, right, plan, count, "pid bigint, m bigint").groupBy("pid").agg(F.sum("m").alias("m"))
-    sure = plan.left.select("ec", "er", "sure")
-    return (left.join(sure, (F.col("cell") == F.col("ec")) & (F.col("ring") == F.col("er"))).join(measured, "pid", "left")
-            .select(*left.columns, (F.col("sure") + F.coalesce("m", F.lit(0))).cast("bigint").alias("n_within")))
+    return (left.join(plan.sure, (F.col("cell") == F.col("ec")) & (F.col("ring") == F.col("er")), "left").join(measured, "pid", "left")
+            .select(*left.columns, (F.coalesce("sure", F.lit(0)) + F.coalesce("m", F.lit(0))).cast("bigint").alias("n_within")))
 
 
 def neighbors(df: DataFrame, delta: float) -> DataFrame:
@@ -329,14 +361,20 @@ def _ball(points: DataFrame, center: np.ndarray, radius: float, outside: np.ndar
     return points.mapInArrow(run, points.schema)
 
 
+def _near(points: DataFrame, index: PointIndex, center: np.ndarray, radius: float) -> DataFrame:
+    """The points that may be within `radius` of a centre, by their distances to the pivots."""
+    to_pivots = literal_array(_distances(center[None], index.pivots)[0])
+    return points.where(F.abs(F.get(to_pivots, "cell") - F.col("dist")) <= radius + SLACK * (1 + radius + F.col("dist")))
+
+
 def _losses(near: DataFrame, newly: DataFrame, delta: float, tiles: int) -> DataFrame:
-    """(pid, m): the summed weight of the newly covered points within delta of each candidate near the pick.
+    """(block, pid, m): the summed weight of the newly covered points within delta of each candidate near the pick.
 
     All of them lie in one ball, so no index could rule out much: strips by hash, every candidate strip meets every other.
     """
     deal = lambda name: F.pmod(F.xxhash64(name), F.lit(tiles)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    a = near.select(deal("pid").alias("ls"), every.alias("rs"), "pid", "features")
+    a = near.select(deal("pid").alias("ls"), every.alias("rs"), "block", "pid", "features")
     b = newly.select(deal("pid").alias("rs"), every.alias("ls"), "features", "weight")
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -346,13 +384,66 @@ def _losses(near: DataFrame, newly: DataFrame, delta: float, tiles: int) -> Data
             for s in range(0, len(x), BLOCK_ROWS):
                 for t in range(0, len(y), BLOCK_ROWS):
                     total[s:s + BLOCK_ROWS] += within(x[s:s + BLOCK_ROWS], y[t:t + BLOCK_ROWS], delta) @ weight[t:t + BLOCK_ROWS]
-        return pd.DataFrame({"pid": a.pid[total > 0], "m": total[total > 0]})
+        return pd.DataFrame({"block": a.block[total > 0], "pid": a.pid[total > 0], "m": total[total > 0]})
+
+    counted = a.groupBy("ls", "rs").cogroup(b.groupBy("ls", "rs")).applyInPandas(count, "block int, pid bigint, m bigint")
+    return counted.groupBy("block", "pid").agg(F.sum("m").alias("m"))
+
+
+class GainLog:
+    """Candidates with their first gains, written once in blocks by descending score, and the losses since, as small tables.
 
-    return a.groupBy("ls", "rs").cogroup(b.groupBy("ls", "rs")).applyInPandas(count, "pid bigint, m bigint").groupBy("pid").agg(F.sum("m").alias("m"))
+    A block's best score, when last read, bounds its present one: gains only fall.
+    """
+
+    def __init__(self, gains: DataFrame, rows: int):
+        spark = gains.sparkSession
+        path, blocks = scratch_path(spark, "gains"), max(1, -(-rows // GAIN_ROWS))
+        score = F.col("bonus") + F.col("gain")
+        # Equal scores are split by id, so that no block is larger than the others.
+        dealt = gains.withColumn("score", score).repartitionByRange(blocks, F.desc("score"), "pid")
+        dealt.withColumn("block", F.spark_partition_id()).write.parquet(path, partitionBy="block")
+        schema = T.StructType([*gains.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("block", T.IntegerType())])
+        self.base = spark.read.schema(schema).parquet(path)
+        self.bounds = {r["block"]: r["s"] for r in self.base.where("pool_id IS NOT NULL").groupBy("block").agg(F.max("score").alias("s")).collect()}
+        self.losses: list[DataFrame] = []
+        self.next_row: dict[int, int | None] = {}  # candidates picked before -> their next unlabelled copy
+        self.read = 0  # blocks read, for tests
+
+    def _best_of(self, blocks: list[int]) -> list:
+        rows = self.base.where(F.col("block").isin(blocks)).drop("score")
+        gain = F.col("gain")
+        if self.losses:
+            lost = reduce(DataFrame.unionByName, self.losses).where(F.col("block").isin(blocks)).groupBy("pid").agg(F.sum("m").alias("m"))
+            rows, gain = rows.join(lost, "pid", "left"), F.col("gain") - F.coalesce("m", F.lit(0))
+        row = F.col("pool_id")
+        for pid, following in self.next_row.items():
+            row = F.when(F.col("pid") == pid, F.lit(following).cast("bigint")).otherwise(row)
+        rows = rows.select("block", "pid", "d1", "d2", "features", "bonus", row.alias("pool_id"), gain.alias("gain"), (F.col("bonus") + gain).alias("score"))
+        self.read += len(blocks)
+        return (rows.where("pool_id IS NOT NULL").groupBy("block").agg(F.min_by(F.struct("score", "gain", "pool_id", "pid", "d1", "d2", "features", "bonus"), F.struct(-F.col("score"), "pool_id")).alias("b"))
+                .collect())
+
+    def best(self):
+        """The candidate of highest score, lowest id on ties; None if there is none."""
+        found, seen = None, set()
+        while True:
+            open_ = sorted((b for b, s in self.bounds.items() if b not in seen and (found is None or s >= found.score)), key=lambda b: -self.bounds[b])[:BLOCKS_AT_ONCE]
+            if not open_:
+                return found
+            seen.update(open_)
+            now = {r["block"]: r["b"] for r in self._best_of(open_)}
+            for block in open_:
+                if block not in now:
+                    del self.bounds[block]
+                    continue
+                self.bounds[block] = now[block].score
+                if found is None or (-now[block].score, now[block].pool_id) < (-found.score, found.pool_id):
+                    found = now[block]
 
 
 def _greedy(df: DataFrame, delta: float, batch: int, bonus: Column | None) -> DataFrame:
-    """Gains are exact after every pick, so the best row is one aggregate. A group of copies with equal bonus is one
+    """Gains are exact for every row that is looked at, so the best one is exact. A group of copies with equal bonus is one
     candidate that lasts for as many picks as it has unlabelled rows, lowest id first."""
     spark = df.sparkSession
     mixed = bonus is not None
@@ -360,12 +451,11 @@ def _greedy(df: DataFrame, delta: float, batch: int, bonus: Column | None) -> Da
     index = _labelled_index(df, delta, ["bonus"])
     uncovered = _uncovered(index)
     waiting = cut_lineage(_with_digest(df.where(~F.col("labelled")), "bonus")) if mixed else None
-    gains = cut_lineage(_pool_gain(index, uncovered).select("pid", "d1", "d2", "features", "bonus", "pool_id", "gain"))
+    log = GainLog(_pool_gain(index, uncovered).select("pid", "d1", "d2", "features", "cell", "dist", "bonus", "pool_id", "gain"), index.size)
     rows: list[tuple] = []
     picked: list[list] = []
     while len(rows) < batch:
-        score = F.col("bonus") + F.col("gain")
-        best = gains.where(F.col("pool_id").isNotNull()).agg(F.min_by(F.struct(score.alias("score"), *gains.columns), F.struct(-score, "pool_id")).alias("b")).first().b
+        best = log.best()
         if best is None or (not mixed and best.gain == 0):
             break
         rows.append((len(rows) + 1, best.pool_id, best.gain, best.score))
@@ -375,17 +465,14 @@ def _greedy(df: DataFrame, delta: float, batch: int, bonus: Column | None) -> Da
         if mixed:
             same = (F.col("d1") == best.d1) & (F.col("d2") == best.d2) & F.col("bonus").eqNullSafe(F.lit(best.bonus)) & (F.col("row_id") > best.pool_id)
             following = waiting.where(same).agg(F.min("row_id")).first()[0]
-        after = F.when(F.col("pid") == best.pid, F.lit(following).cast("bigint")).otherwise(F.col("pool_id"))
-        left = F.col("gain")
+        log.next_row[best.pid] = following
         if best.gain:
             center = np.array(best.features, dtype=float)
-            newly = _ball(uncovered, center, delta, np.array(picked, dtype=float), delta)
-            near = cut_lineage(_ball(gains.select("pid", "features"), center, 2 * delta * (1 + SLACK), np.zeros((0, 1)), delta))
-            tiles = max(1, -(-near.count() // TILE_ROWS))
-            gains = gains.join(_losses(near, newly, delta, tiles), "pid", "left")
-            left = left - F.coalesce("m", F.lit(0))
+            newly = _ball(_near(uncovered, index, center, delta), center, delta, np.array(picked, dtype=float), delta)
+            reach = 2 * delta * (1 + SLACK)
+            near = cut_lineage(_ball(_near(log.base, index, center, reach).select("block", "pid", "features"), center, reach, np.zeros((0, 1)), delta))
+            log.losses.append(cut_lineage(_losses(near, newly, delta, max(1, -(-near.count() // TILE_ROWS)))))
             picked.append(best.features)
-        gains = cut_lineage(gains.select("pid", "d1", "d2", "features", "bonus", after.alias("pool_id"), left.cast("bigint").alias("gain")))
     return spark.createDataFrame(rows, "pick bigint, row_id bigint, gain bigint, score double")
 
 

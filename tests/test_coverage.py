@@ -58,6 +58,9 @@ def clouds(seed, n, copies=True):
 def sizes(request, monkeypatch):
     monkeypatch.setattr(coverage, "BLOCK_ROWS", request.param[0])
     monkeypatch.setattr(coverage, "TILE_ROWS", request.param[1])
+    if request.param[1] < 1000:
+        monkeypatch.setattr(coverage, "GAIN_ROWS", 20)
+        monkeypatch.setattr(coverage, "BLOCKS_AT_ONCE", 1)
 
 
 @pytest.mark.parametrize("delta", [0.9, 3.0])
@@ -95,7 +98,38 @@ def test_copies_per_row_do_not_grow(spark, monkeypatch):
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 8)))], "row_id bigint, features array<double>")
         index = coverage.index_points(df, 3.0)
         plan = coverage._plan(index.points, index.points, index, True)
-        assert coverage._dealt(index.points, plan.left, "ls", "rs").count() <= n
+        assert coverage._dealt(index.points, plan.left.drop("weight"), plan.strips, "ls").count() <= n
+
+
+def test_the_driver_holds_cells_and_not_strips(spark, monkeypatch):
+    """Strips double with the points; what comes to the driver is one row per cell, the cube root of the points."""
+    monkeypatch.setattr(coverage, "TILE_ROWS", 10)
+    held = []
+    monkeypatch.setattr(coverage, "_first_strips", lambda cells, fn=coverage._first_strips: (held.append(len(cells)), fn(cells))[1])
+    rng = np.random.default_rng(8)
+    strips = []
+    for n in (500, 1000):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 3)))], "row_id bigint, features array<double>")
+        index = coverage.index_points(df, 0.3)
+        plan = coverage._plan(index.points, index.points, index, True)
+        strips.append(plan.strips.select("ls").distinct().count())
+        assert max(held) <= len(index.pivots) == round(n ** (1 / 3))
+    assert strips[1] > 1.5 * strips[0] > 20
+
+
+def test_a_pick_reads_blocks_that_can_win_and_writes_its_ball(spark, monkeypatch):
+    monkeypatch.setattr(coverage, "GAIN_ROWS", 50)
+    monkeypatch.setattr(coverage, "BLOCKS_AT_ONCE", 1)
+    logs = []
+    monkeypatch.setattr(coverage, "GainLog", lambda *a, fn=coverage.GainLog: (logs.append(fn(*a)), logs[-1])[1])
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(0, 100), rng.uniform(0, 100)] if i % 2 else [100 * (i % 40) + rng.gauss(0, 0.3), 500.0], False) for i in range(600)]
+    got = [(r["row_id"], r["gain"]) for r in coverage.greedy_cover(frame(spark, rows), 1.0, 8).orderBy("pick").collect()]
+    assert got == brute(rows, 1.0, 8)
+    log, = logs
+    blocks = log.base.select("block").distinct().count()
+    assert blocks > 6 and log.read < 0.6 * len(got) * blocks  # blocks of equal scores are all read
+    assert all(0 < loss.count() < 100 for loss in log.losses)
 
 
 def test_a_dense_ball_is_picked_exactly(spark, sizes):
