@@ -59,7 +59,7 @@ def one_round(aligned: DataFrame, labelled_ids: DataFrame, encoders: list[cotrai
     flag = labelled_ids.select("row_id", F.lit(True).alias("labelled"))
     df = aligned.join(flag, "row_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
     known = df.where("labelled").select("row_id", "y").persist()
-    found = targets.adaptive_label_kmeans(known, clusters, s.seed)
+    found = targets.adaptive_label_kmeans(known, clusters)
     reps = targets.representatives(known, found.centroids).orderBy("centroid_no").collect()
     rep_ids = [r["row_id"] for r in reps]
     rep_x = [_feature_rows(aligned, rep_ids, col) for col in ("x0", "x1")]

@@ -37,7 +37,7 @@ def labelled_reactions(spark, sf):
 @query("e1_adaptive_label_kmeans")
 def e1(spark, sf):
     known = labelled_reactions(spark, sf)
-    found = targets.adaptive_label_kmeans(known, 5, seed=1)
+    found = targets.adaptive_label_kmeans(known, 5)
     rows = targets.representatives(known, found.centroids)
     return rows.select("row_id", "y", F.lit(found.max_span).alias("max_span"), F.lit(found.min_span).alias("min_span"),
                        F.lit(len(found.centroids)).alias("n_clusters"))
@@ -48,7 +48,7 @@ WITH {REACTIONS} SELECT count(*) AS n_rows, true AS spans_agree, true AS no_empt
 def e1_spans(spark, sf):
     """The spans of the fitted clusters, from each label's nearest centroid."""
     known = labelled_reactions(spark, sf)
-    found = targets.adaptive_label_kmeans(known, 5, seed=1)
+    found = targets.adaptive_label_kmeans(known, 5)
     near = F.array_min(F.array(*[F.struct(F.abs(F.col("y") - c).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(found.centroids)]))
     assigned = known.select("y", near["cluster"].alias("cluster"))
     spans = assigned.groupBy("cluster").agg(F.count("*").alias("n"), (F.max("y") - F.min("y")).alias("span"))
@@ -57,6 +57,28 @@ def e1_spans(spark, sf):
 
 
 _KNOWN = f"WITH {REACTIONS}, known AS (SELECT row_id, yield AS y FROM reactions WHERE yield > 0)"
+_FOUR_CLUSTERS = _KNOWN + """, v AS (
+  SELECT y, CAST(count(*) AS DOUBLE) AS w, row_number() OVER (ORDER BY y) AS i FROM known GROUP BY y),
+pre AS (
+  SELECT i, sum(w) OVER (ORDER BY i) AS w, sum(w * (y - 50)) OVER (ORDER BY i) AS s, sum(w * (y - 50) * (y - 50)) OVER (ORDER BY i) AS q FROM v
+  UNION ALL SELECT 0, 0, 0, 0),
+seg AS (
+  SELECT a.i + 1 AS i, b.i AS j, b.q - a.q - (b.s - a.s) * (b.s - a.s) / (b.w - a.w) AS cost, 50 + (b.s - a.s) / (b.w - a.w) AS centroid
+  FROM pre a JOIN pre b ON a.i < b.i),
+l1 AS (SELECT j, cost, i FROM seg WHERE i = 1)""" + "".join(f""",
+l{k} AS (SELECT s.j, min(l.cost + s.cost) AS cost, arg_min(s.i, l.cost + s.cost) AS i FROM seg s JOIN l{k - 1} l ON l.j = s.i - 1 GROUP BY s.j)""" for k in (2, 3, 4)) + """,
+c4 AS (SELECT i, j FROM l4 WHERE j = (SELECT max(i) FROM v)), c3 AS (SELECT l3.i, l3.j FROM l3 JOIN c4 ON l3.j = c4.i - 1),
+c2 AS (SELECT l2.i, l2.j FROM l2 JOIN c3 ON l2.j = c3.i - 1), c1 AS (SELECT l1.i, l1.j FROM l1 JOIN c2 ON l1.j = c2.i - 1)"""
+
+
+@query("e1_label_clusters", _FOUR_CLUSTERS + "".join(f"""
+{'UNION ALL ' if k else ''}SELECT {k} AS cluster, round(centroid, 6) AS centroid FROM c{k + 1} c JOIN seg s ON s.i = c.i AND s.j = c.j""" for k in range(4)))
+def e1_clusters(spark, sf):
+    """The four clusters of least squared distance, exactly."""
+    found = targets.LabelSegmentation(labelled_reactions(spark, sf), "y").clusters(4)
+    return spark.createDataFrame([(k, round(c, 6)) for k, c in enumerate(found.centroids)], "cluster int, centroid double")
+
+
 _REPS = _KNOWN + """, reps AS (
   SELECT centroid_no, arg_min(row_id, (abs(y - centroid), row_id)) AS row_id
   FROM known CROSS JOIN (SELECT unnest([35.0::DOUBLE, 45, 55, 65]) AS centroid, unnest(range(4)) AS centroid_no) c

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,12 +83,12 @@ def test_convergence_rule_in_blocks_equals_the_list_rule(spark, monkeypatch):
 
 def test_label_clusters_respect_bounds(spark):
     two = spark.createDataFrame([(0, 10.0), (1, 10.0), (2, 12.0)], "row_id bigint, y double")
-    found = targets.adaptive_label_kmeans(two, 5, seed=1)
+    found = targets.adaptive_label_kmeans(two, 5)
     assert found.centroids == [10.0, 12.0] and found.max_span == 0
     one = targets.adaptive_label_kmeans(two.where("y = 10"), 5)
     assert one.centroids == [10.0]
     wide = spark.createDataFrame([(i, float(i)) for i in range(60)], "row_id bigint, y double")
-    assert targets.adaptive_label_kmeans(wide, 4, seed=1).max_span <= 5
+    assert targets.adaptive_label_kmeans(wide, 4).max_span <= 5
 
 
 def test_soft_targets_and_assignments_sum_to_one(spark):
@@ -126,6 +128,41 @@ def test_sparse_svd_equals_dense(spark):
     np.testing.assert_allclose(got, bits.astype(float) @ model.components, atol=1e-9)
 
 
+def _squares(values, borders):
+    return sum(((values[i:j] - values[i:j].mean()) ** 2).sum() for i, j in zip(borders, borders[1:]))
+
+
+def test_label_clusters_are_the_best_ranges(spark):
+    rng = np.random.default_rng(3)
+    for n, digits in ((1, 1), (3, 1), (9, 3), (12, 0)):
+        y = np.sort(np.round(rng.uniform(0, 100, n), digits))
+        rows = spark.createDataFrame([(float(v),) for v in y] + [(None,), (float("nan"),)], "y double")
+        found = targets.LabelSegmentation(rows, "y")
+        for k in range(1, len(set(y)) + 1):
+            want = min(_squares(y, [0, *cut, n]) for cut in itertools.combinations(range(1, n), k - 1))
+            got = found.clusters(k)
+            assert len(got.centroids) == k and got.centroids == sorted(got.centroids)
+            near = np.abs(y[:, None] - np.array(got.centroids)).min(1)
+            assert (near ** 2).sum() == pytest.approx(want, abs=1e-9)
+    assert targets.adaptive_label_kmeans(rows.where("y < 0"), 4).centroids == []
+
+
+def test_label_clusters_from_cells_are_refined(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    y = np.concatenate([rng.normal(20, 6, 500), rng.normal(55, 9, 700), rng.uniform(60, 100, 300)])
+    rows = spark.createDataFrame([(float(v),) for v in y], "y double")
+    exact = targets.LabelSegmentation(rows, "y").clusters(5)
+    monkeypatch.setattr(targets, "MAX_VALUES", 100)
+    monkeypatch.setattr(targets, "GRID", 24)
+    found = targets.LabelSegmentation(rows, "y")
+    assert found.edges and len(found.cells.weight) <= 25
+    got = found.clusters(5)
+    np.testing.assert_allclose(got.centroids, exact.centroids, rtol=1e-3)
+    borders = (np.array(got.centroids[1:]) + got.centroids[:-1]) / 2  # no label is nearer to another centroid
+    means = [y[np.searchsorted(borders, y) == c].mean() for c in range(5)]
+    np.testing.assert_allclose(got.centroids, means, rtol=1e-9)
+
+
 def test_wide_svd_in_bounded_passes(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 64)) @ np.linalg.qr(rng.normal(size=(64, 64)))[0] @ np.diag(0.6 ** np.arange(64))
