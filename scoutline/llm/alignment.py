@@ -30,9 +30,10 @@ from pyspark.sql import types as T
 from ..functions.session import cut_lineage
 from .common import only
 from .packing import Encoder, _Spaced, default_tokenizer
-from .piecemodel import default_model, model_of, slices
+from .piecemodel import PieceModel, default_model, slices
 
-KNOWN_WINDOWS, WINDOW_IDS = 80_000, 32  # what a worker remembers: a bound on memory, not on the result
+# What a worker remembers: bounds on memory, not on the result.
+KNOWN_WINDOWS, KNOWN_WORDS, KNOWN_CHUNKS, WINDOW_IDS = 60_000, 150_000, 100_000, 32
 PAIR = 1 << 32  # a pair of ids as one number: left * PAIR + right
 
 
@@ -57,6 +58,11 @@ class ByteTokens(Encoder):
         t.encode_special_tokens = True
         return t
 
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        return super().__missing__(word)
+
     def spaced(self, text: str) -> bytes:
         try:
             return b"".join([self[w] for w in text.split(" ")])
@@ -124,7 +130,7 @@ class Aligner:
     """Both tokenizers and the remembered windows of one Python worker."""
 
     def __init__(self, tokenizer: str, model: str):
-        self.a, self.b = ByteTokens(tokenizer), model_of(model)
+        self.a, self.b = ByteTokens(tokenizer), PieceModel(model, KNOWN_CHUNKS)
         self.left, self.right = Side(self.a.raw), Side(self.b.raw)
         self.known: dict[tuple[bytes, bytes], Window] = {}
         self.older: dict[tuple[bytes, bytes], Window] = {}  # windows known before the memory was full

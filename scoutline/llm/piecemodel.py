@@ -60,10 +60,11 @@ def default_model() -> str:
 class PieceModel:
     """Vocabulary of a model file, and the ids of the chunks met so far as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chunks: int | None = None):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
+        self.bound = chunks or KNOWN_CHUNKS
         model = SentencePieceProcessor(model_file=path)
         if model.normalize(PROBE) != (MARK + PROBE).replace(" ", MARK):
             raise ValueError(f"{path} changes texts before it merges")
@@ -151,7 +152,7 @@ class PieceModel:
 
     def _remember(self, rest: str, ids: bytes) -> bytes:
         if len(rest) < CHUNK_CHARS:
-            if len(self.known) >= KNOWN_CHUNKS:
+            if len(self.known) >= self.bound:
                 self.known, self.older = {}, self.known
             self.known[rest] = ids
         return ids
