@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.session import scratch_path
@@ -9,7 +10,7 @@ from ..operators import commit, cotrain, splits, targets
 from ..operators.features import align_views
 from ..sources import tables
 from ..streaming.commit import last_batch, stream_commit, winners
-from .bindings import (ACCEPTED, GIVEN_PRED, POINTS, REACTIONS, feed, feed_of, given_pred, hash_sql, reactions,
+from .bindings import (ACCEPTED, GIVEN_PRED, POINTS, REACTIONS, VIEWS, feed, feed_of, given_pred, hash_sql, reactions,
                        started_points, table, views)
 from .loop import LoopSettings, _feature_rows, active_loop
 from .metric_queries import POINT_CENTROIDS, SQL as METRIC_SQL
@@ -162,6 +163,44 @@ def e10(spark, sf):
     return both.select("row_id", "q0", "q1")
 
 
+def _given(rows: int, columns: int, step: int) -> np.ndarray:
+    """Weights that are easy to state: small multiples of an eighth."""
+    return np.array([[((step * i + 5 * j) % 9 - 4) / 8 for j in range(columns)] for i in range(rows)])
+
+
+GIVEN_ENCODER = cotrain.Encoder(_given(32, 4, 7), _given(1, 4, 1)[0], _given(4, 2, 2), _given(1, 2, 3)[0])
+GIVEN_ROWS = _given(3, 32, 4)
+
+
+def _forward_sql(features: str) -> list[str]:
+    """The two outputs of the given network as expressions over an array."""
+    e = GIVEN_ENCODER
+    hidden = [f"greatest(list_dot_product({features}, {e.w1[:, j].tolist()}::DOUBLE[]) + ({e.b1[j]}), 0)" for j in range(4)]
+    return [" + ".join(f"{h} * ({e.w2[j, k]})" for j, h in enumerate(hidden)) + f" + ({e.b2[k]})" for k in range(2)]
+
+
+_ENCODED = f"WITH {VIEWS}, z AS (SELECT row_id, {_forward_sql('features')[0]} AS z0, {_forward_sql('features')[1]} AS z1 FROM view_0)"
+
+
+@query("e9_given_weights", _ENCODED + " SELECT row_id, round(z0, 9) AS z0, round(z1, 9) AS z1 FROM z")
+def e9_given(spark, sf):
+    """Encodings of a network with given weights."""
+    z = cotrain.encode(views(spark, sf)[0], GIVEN_ENCODER)
+    return z.select("row_id", *[F.round(F.col("z")[k], 9).alias(f"z{k}") for k in (0, 1)])
+
+
+_CENTRES = "SELECT " + ", ".join(f"{expr} AS c{i}{k}" for i, row in enumerate(GIVEN_ROWS.tolist()) for k, expr in enumerate(_forward_sql(f"{row}::DOUBLE[]")))
+
+
+@query("e10_given_weights", _ENCODED + f""", c AS ({_CENTRES}),
+n AS (SELECT row_id, {', '.join(f'1 / (1 + (z0 - c{i}0) * (z0 - c{i}0) + (z1 - c{i}1) * (z1 - c{i}1)) AS n{i}' for i in range(3))} FROM z CROSS JOIN c)
+SELECT row_id, {', '.join(f'round(n{i} / (n0 + n1 + n2), 9) AS q{i}' for i in range(3))} FROM n""")
+def e10_given(spark, sf):
+    """Cluster assignments against the encodings of given rows."""
+    q = cotrain.cluster_view(views(spark, sf)[0], GIVEN_ENCODER, GIVEN_ROWS)
+    return q.select("row_id", *[F.round(F.col("q")[k], 9).alias(f"q{k}") for k in range(3)])
+
+
 @query("f9_active_loop")
 def f9(spark, sf):
     settings = LoopSettings(start=40, step=10, total=50, hidden=64, out=16, clusters=8, epochs=5, final_clusters=8,

@@ -313,12 +313,19 @@ def g8(spark, sf):
 
 
 @query("g8_decisions", f"""
-WITH {POINTS} SELECT row_id, boundary, true AS decided FROM points CROSS JOIN (SELECT unnest([30.0::DOUBLE, 60]) AS boundary) b""")
+WITH {POINTS} SELECT row_id, boundary, CASE WHEN y > boundary THEN 1 ELSE 0 END AS above
+FROM points CROSS JOIN (SELECT unnest([30.0::DOUBLE, 60]) AS boundary) b""")
 def g8_decisions(spark, sf):
-    """Every row gets a decision at every boundary."""
-    p = points(spark, sf)
-    out = evaluate.apply_threshold_models(p, evaluate.threshold_models(p, [30.0, 60.0]))
-    return out.select("row_id", "boundary", F.col("above").isin(0, 1).alias("decided"))
+    """Labels that the features separate are decided without an error."""
+    p = points(spark, sf).withColumn("features", F.array("y", F.col("features")[0]))
+    return evaluate.apply_threshold_models(p, evaluate.threshold_models(p, [30.0, 60.0])).select("row_id", "boundary", "above")
+
+
+@query("g1_single_tree", f"WITH {POINTS} SELECT row_id, round(y, 9) AS pred FROM points")
+def g1_single_tree(spark, sf):
+    """A forest of one tree, which sees every row, gives back labels that a feature tells apart."""
+    p = points(spark, sf).withColumn("features", F.array(F.col("features")[0] * 0, "y"))
+    return evaluate.fit_predict_rf(p, F.lit(True), "features", "y", 1, 1).select("row_id", F.round("pred", 9).alias("pred"))
 
 
 # --- I: plot data ----------------------------------------------------------------------------------
