@@ -37,11 +37,13 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster whose Python path does not have it (an installed package needs no call)."""
+    """Send this package to Python workers whose path does not have it, once per application (an installed package needs no call).
+
+    The workers of a local session count too: they see the folder the session was started in, which may be another one."""
     sc = spark.sparkContext
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     root, name = os.path.split(package)
-    if sc.master.startswith("local[") or sc.master == "local" or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     archive = os.path.join(tempfile.gettempdir(), f"{name}-{sc.applicationId}.zip")
     if not os.path.exists(archive):

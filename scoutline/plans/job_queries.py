@@ -118,6 +118,16 @@ def a7(spark, sf):
                                              F.col("Yield").alias("yield"))
 
 
+@query("a7_read_nested_history", _HISTORY + " SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, c_0, c_1, c_2, yield FROM history")
+def a7_nested(spark, sf):
+    """Documents of nested iterations, written by a few tasks and read by more."""
+    path = scratch_path(spark, "nested-history")
+    known = commit.accepted(feed(spark, sf)).join(reactions(spark, sf).select("row_id", *COMPONENTS), "row_id")
+    tables.write_nested_history(known.withColumn("date", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), path, COMPONENTS)
+    return tables.read_history(spark, path, COMPONENTS, nested=True).select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date"), *COMPONENTS, F.col("Yield").alias("yield"))
+
+
 @query("a8_snapshot", f"WITH {REACTIONS} SELECT row_id, c_0, c_1, c_2, yield FROM reactions")
 def a8(spark, sf):
     r = reactions(spark, sf).select("row_id", *COMPONENTS, "yield")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.space import select_rows
+from .nested import json_elements, write_json_documents
 
 VIEW_SCHEMA = ("row_id BIGINT, features ARRAY<DOUBLE>, label DOUBLE, dataset STRING, representation STRING, "
                "dim INT, split_mode INT, tag STRING")
@@ -94,17 +95,22 @@ def append_history(df: DataFrame, path: str, components: list[str], ts: str | No
 def read_history(spark: SparkSession, path: str, components: list[str], nested: bool = False) -> DataFrame:
     """The history as (date, components, Yield); an absent path gives an empty table.
 
-    `nested` reads one document {"iterations": [...]}; otherwise each line is one iteration.
+    `nested` reads documents {"iterations": [...]}, each by as many tasks as it has byte ranges; otherwise each line is one iteration.
     """
     schema = history_schema(components)
-    if nested:
-        schema = f"iterations ARRAY<STRUCT<{schema.replace('date STRING, reaction STRUCT', 'date: STRING, reaction: STRUCT', 1)}>>"
     try:
-        raw = spark.read.schema(schema).option("multiLine", nested).json(path)
+        if nested:
+            raw = json_elements(spark, path, "iterations").select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("i")).select("i.*")
+        else:
+            raw = spark.read.schema(schema).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         raw = spark.createDataFrame([], schema)
-    if nested:
-        raw = raw.select(F.explode("iterations").alias("i")).select("i.*")
     return raw.select(F.to_timestamp("date", "yyyy-MM-dd HH:mm:ss").alias("ts"), "reaction.*")
+
+
+def write_nested_history(history: DataFrame, path: str, components: list[str], label: str = "yield") -> None:
+    """(date, components, label) as documents {"iterations": [{date, reaction}, ...]}, one per partition."""
+    reaction = F.struct(*components, F.col(label).alias("Yield"))
+    write_json_documents(history.select(F.to_json(F.struct("date", reaction.alias("reaction"))).alias("json")), path, "iterations")

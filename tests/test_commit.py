@@ -1,8 +1,12 @@
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from scoutline.operators import commit
 from scoutline.sources import tables
+from scoutline.sources.nested import json_elements
 from scoutline.streaming.commit import last_batch, stream_commit, winners
 
 
@@ -40,6 +44,48 @@ def test_history_files(spark, tmp_path):
     assert tables.read_history(spark, str(tmp_path / "lines"), ["a", "b"]).count() == 2
 
 
+def test_one_document_is_read_by_many_tasks(spark, tmp_path):
+    names = ["plain", "}", "{", 'a "quoted" }', "back\\", '"}{', "", 'ends \\"', "[{]}"]
+    items = [{"date": "2024-05-01 10:00:00", "reaction": {"a": names[i % len(names)], "b": str(i), "Yield": i / 2}} for i in range(400)]
+    (tmp_path / "h.json").write_text(json.dumps({"iterations": items}, indent=1))
+    (tmp_path / "none.json").write_text('{"iterations": []}')
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "other.json").write_text('{"meta": [{"x": 1}]}')
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("2500b", "128m"):
+            for k in before:
+                spark.conf.set(k, size)
+            found = json_elements(spark, str(tmp_path / "h.json"), "iterations").orderBy("element").collect()
+            assert [json.loads(r["json"]) for r in found] == items
+            got = tables.read_history(spark, str(tmp_path / "h.json"), ["a", "b"], nested=True).collect()
+            assert sorted((int(r["b"]), r["a"], r["Yield"]) for r in got) == [(i, x["reaction"]["a"], i / 2) for i, x in enumerate(items)]
+            tasks = spark.read.option("lineSep", "}").text(str(tmp_path / "h.json")).rdd.getNumPartitions()
+            assert tasks > 8 if size == "2500b" else tasks == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert json_elements(spark, str(tmp_path / "none.json"), "iterations").count() == json_elements(spark, str(tmp_path / "empty.json"), "iterations").count() == 0
+    with pytest.raises(Exception, match="not an object of the array"):
+        json_elements(spark, str(tmp_path / "other.json"), "iterations").collect()
+
+
+def test_queries_run_in_a_session_started_elsewhere(tmp_path):
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2") \\
+    .config("spark.driver.bindAddress", "127.0.0.1").config("spark.driver.host", "127.0.0.1").getOrCreate()
+import __spark_entry__ as entry
+print("rows", entry.queries()["f2_neighbor_counts"](spark, "/root/testdata/sf0.001").count())
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "rows" in out.stdout, out.stderr[-2000:]
+
+
 def test_snapshots_and_views(spark, tmp_path):
     df = spark.createDataFrame([(0, [1.0], 2.0, "train"), (1, [3.0], 4.0, "test")], "row_id bigint, features array<double>, label double, split string")
     tables.snapshot(df, str(tmp_path / "s"), "t1")
