@@ -10,10 +10,11 @@ from ..operators import commit, cotrain, splits, targets
 from ..operators.features import align_views
 from ..sources import tables
 from ..streaming.commit import last_batch, stream_commit, winners
-from .bindings import (ACCEPTED, GIVEN_PRED, POINTS, REACTIONS, VIEWS, feed, feed_of, given_pred, hash_sql, reactions,
+from .bindings import (ACCEPTED, DELTA, GIVEN_PRED, POINTS, REACTIONS, VIEWS, feed, feed_of, given_pred, hash_sql, reactions,
                        started_points, table, views)
 from .loop import LoopSettings, _feature_rows, active_loop
 from .metric_queries import POINT_CENTROIDS, SQL as METRIC_SQL
+from .suggest import suggest
 
 Q, SQL = {}, {}
 COMPONENTS = ["c_0", "c_1", "c_2"]
@@ -211,6 +212,15 @@ def e10_given(spark, sf):
     return q.select("row_id", *[F.round(F.col("q")[k], 9).alias(f"q{k}") for k in range(3)])
 
 
+def _loop(spark, sf):
+    """Three acquiring rounds, from a twentieth of the rows to a tenth: a third of the difference each."""
+    n = table(spark, sf, "embeddings").count()
+    start, total = n // 20, n // 10
+    settings = LoopSettings(start=start, step=-(-(total - start) // 3), total=total, method="entropy", hidden=16, out=8, clusters=8, epochs=2,
+                            final_clusters=8, final_epochs=2, trees=5, delta=DELTA, kinds=("encoded",), seed=1)
+    return active_loop(*views(spark, sf), settings)
+
+
 @query("f9_active_loop")
 def f9(spark, sf):
     settings = LoopSettings(start=40, step=10, total=50, hidden=64, out=16, clusters=8, epochs=5, final_clusters=8,
@@ -218,6 +228,37 @@ def f9(spark, sf):
     return active_loop(*views(spark, sf), settings)
 
 
+@query("f9_loop_rounds", """
+WITH n AS (SELECT count(*) // 20 AS first, count(*) // 10 AS total FROM embeddings),
+steps AS (SELECT first, total, CAST(ceil((total - first) / 3.0) AS BIGINT) AS step FROM n),
+rounds AS (SELECT unnest(range(0, 5)) AS round, * FROM steps)
+SELECT CAST(round AS INTEGER) AS round, first + round * step AS n_labelled, v.view FROM rounds CROSS JOIN (VALUES ('view_0'), ('view_1')) v(view)
+WHERE round = 0 OR first + (round - 1) * step < total""")
+def f9_rounds(spark, sf):
+    """What each round of a loop of several rounds has labelled, from its metrics."""
+    return _loop(spark, sf).select("round", "n_labelled", "view")
+
+
+@query("f8_suggestion_job", f"""
+WITH {REACTIONS}, known AS (SELECT *, yield > 0 AS known FROM reactions)
+SELECT c_0, count(*) AS n_rows, count(*) FILTER (known) AS n_known, count(*) AS n_predicted, 0::BIGINT AS n_outside, 0::BIGINT AS n_known_suggested
+FROM known GROUP BY c_0""")
+def f8_job(spark, sf):
+    """Stored predictions and suggestions against the table they were made from: every row is predicted, within the range of
+    the known labels, and no known row is suggested."""
+    r = reactions(spark, sf).select("row_id", *COMPONENTS, "yield")
+    settings = LoopSettings(step=10, hidden=32, out=8, clusters=4, epochs=3, trees=10, seed=2)
+    stored = suggest(r, COMPONENTS, scratch_path(spark, "suggest"), settings, n_bits=128, k=16)
+    preds = spark.read.schema("row_id BIGINT, pred DOUBLE").parquet(stored.predictions)
+    picks = spark.read.schema("pos BIGINT, row_id BIGINT").parquet(stored.suggestions).select("row_id", F.lit(1).alias("suggested"))
+    ends = splits.labelled_set(r).agg(F.min("yield").alias("lo"), F.max("yield").alias("hi"))
+    lo, hi, known, slack = ends.select("lo").scalar(), ends.select("hi").scalar(), F.col("yield") > 0, 1e-9
+    return (r.join(preds, "row_id", "left").join(picks, "row_id", "left").withColumns({"lo": lo, "hi": hi}).groupBy("c_0")
+            .agg(F.count("*").alias("n_rows"), F.count_if(known).alias("n_known"), F.count("pred").alias("n_predicted"),
+                 F.count_if((F.col("pred") < F.col("lo") - slack) | (F.col("pred") > F.col("hi") + slack)).alias("n_outside"),
+                 F.count_if(known & F.col("suggested").isNotNull()).alias("n_known_suggested")))
+
+
 # --- J: stream -------------------------------------------------------------------------------------
 
 @query("j1_stream_commit", f"""

@@ -275,6 +275,40 @@ def test_loop_ends_with_the_final_round_when_nothing_is_left(spark, monkeypatch)
     assert rounds == [(3, True), (7, False)] and [(r["round"], r["n_labelled"]) for r in log] == [(0, 5), (1, 5)]
 
 
+def test_a_lost_driver_goes_on_after_the_last_finished_round(spark, tmp_path, monkeypatch):
+    from scoutline.plans import loop
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist(), float(10 + i % 4 * 20)) for i in range(60)]
+    view = spark.createDataFrame(rows, "row_id bigint, features array<double>, y double")
+    settings = loop.LoopSettings(start=10, step=5, total=20, clusters=3, final_clusters=3, hidden=4, out=2, epochs=2, final_epochs=2, trees=3,
+                                 delta=0.01, kinds=("encoded",))
+    whole = loop.active_loop(view, view, settings, str(tmp_path / "whole")).collect()
+    assert sorted({(r["round"], r["n_labelled"]) for r in whole}) == [(0, 10), (1, 15), (2, 20)]
+    commit, ran = loop.LoopLog.commit, []
+
+    def lost(self, round_no, result, *rest):
+        if round_no == 1 and not ran:
+            ran.append(round_no)
+            self.write("picks", round_no, result.picks.select("row_id").limit(1))  # half of a round, without its last line
+            raise KeyboardInterrupt
+        ran.append(round_no)
+        commit(self, round_no, result, *rest)
+
+    monkeypatch.setattr(loop.LoopLog, "commit", lambda self, n, *rest: lost(self, n, *rest) if n else commit(self, n, *rest))
+    with pytest.raises(KeyboardInterrupt):
+        loop.active_loop(view, view, settings, str(tmp_path / "broken"))
+    again = loop.active_loop(view, view, settings, str(tmp_path / "broken")).collect()
+    assert ran == [1, 1, 2]
+    key = lambda r: (r["round"], r["view"], r["kind"])
+    for a, b in zip(sorted(whole, key=key), sorted(again, key=key), strict=True):
+        assert key(a) == key(b) and a["n_labelled"] == b["n_labelled"] and a["mae"] == pytest.approx(b["mae"], rel=1e-6)
+    picks = [{(r["round"], r["row_id"]) for r in loop.LoopLog(spark, str(tmp_path / f)).read("picks", "row_id bigint").collect()} for f in ("whole", "broken")]
+    assert picks[0] == picks[1] and len(picks[0]) == 10
+    ran.clear()
+    assert len(loop.active_loop(view, view, settings, str(tmp_path / "broken")).collect()) == len(whole) and not ran
+
+
 def test_representation_report_of_one_group_equals_the_single_reports(spark):
     from scoutline.operators import evaluate
 
