@@ -3,7 +3,8 @@
 Both tokenizers encode the whole text. Byte offsets of all tokens follow from their bytes; that these join to the text is
 checked. Where a space-marked token of one and a space-marked token of the other start at the same offset, all tokens before
 end there too, so the offset is a shared end: an anchor. Anchors cut a document into windows, pairs of tuples of token ids.
-A window's alignment (the groups between its shared ends) depends on its ids alone, so it is worked out once and remembered.
+A window's alignment (the groups between its shared ends) depends on its ids alone: of the windows with equal id tuples in a
+slice of texts one is kept, looked up in the worker's memory, and aligned if it is new, all new ones side by side.
 
 The corpus-wide part counts, for each pair of ids, the documents that hold it linked. Documents keep their distinct pairs
 with their numbers of links; pairs are counted with map-side combining and join back to the documents' pairs, as a broadcast
@@ -18,8 +19,8 @@ counted from its distinct ids, never listed.
 from __future__ import annotations
 
 import functools
-import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyspark.sql import types as T
 
 from ..functions.session import cut_lineage
 from .common import only
-from .packing import Encoder, _Spaced, default_tokenizer
-from .piecemodel import PieceModel, default_model, slices
+from .packing import Encoder, default_tokenizer
+from .piecemodel import MARK, default_model, slices
 
-# What a worker remembers: bounds on memory, not on the result.
-KNOWN_WINDOWS, KNOWN_WORDS, KNOWN_CHUNKS, WINDOW_IDS = 60_000, 150_000, 100_000, 32
+# What a worker remembers, and the ids of the longest window among it: bounds on memory, not on the result.
+KNOWN_WINDOWS, WINDOW_IDS = 60_000, 32
 PAIR = 1 << 32  # a pair of ids as one number: left * PAIR + right
 
 
@@ -58,113 +59,192 @@ class ByteTokens(Encoder):
         t.encode_special_tokens = True
         return t
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        return super().__missing__(word)
+    def spaced(self, text: str) -> list[int]:
+        return self.ids(" " + text)
 
-    def spaced(self, text: str) -> bytes:
-        try:
-            return b"".join([self[w] for w in text.split(" ")])
-        except _Spaced:
-            return self.encode(" " + text)
+
+class PieceTokens:
+    """Ids of a text under a piece model, which puts a space before it, and the bytes of every id."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        self.ids = model.encode
+        self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode()
+                    for i in range(model.get_piece_size()) for p in [model.id_to_piece(i)]]
 
 
 class Side:
-    """Ids of a document under one tokenizer, by byte offset."""
+    """What the alignment needs of one tokenizer's ids: their bytes, lengths, whether they start with a space, and their decimal
+    text, followed by what separates ids of a group, and by what ends this side of a group."""
 
-    def __init__(self, raw: list[bytes]):
+    def __init__(self, raw: list[bytes], end: str):
         self.raw = raw
-        self.sizes = [len(r) for r in raw]
-        self.length = np.array(self.sizes)
+        self.length = np.array([len(r) for r in raw])
         self.marked = np.array([r.startswith(b" ") for r in raw])
+        self.inner = np.array([f"{i}," for i in range(len(raw))], dtype=object)
+        self.last = np.array([f"{i}{end}" for i in range(len(raw))], dtype=object)
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids.tolist()))
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
 
 
 class Window(tuple):
-    """(groups as text, number of groups, links, distinct pairs as bytes, links of each pair as bytes)."""
-
-
-def align_window(a: tuple[int, ...], b: tuple[int, ...], left: Side, right: Side) -> Window:
-    """Both tuples cover the same bytes. A group ends where tokens of both end."""
-    sizes_a, sizes_b = left.sizes, right.sizes
-    groups, links, counts = [], 0, {}
-    i = j = s = t = 0  # next tokens, and the first ones of the group
-    ahead = 0  # bytes by which the tokens of a that were taken pass those of b
-    while i < len(a) or j < len(b):
-        if ahead <= 0 and i < len(a):
-            ahead += sizes_a[a[i]]
-            i += 1
-        else:
-            ahead -= sizes_b[b[j]]
-            j += 1
-        if ahead or i == s or j == t:
-            continue
-        if i - s == j - t == 1:
-            groups.append(f"{a[s]}|{b[t]}")
-            links += 1
-            key = a[s] * PAIR + b[t]
-            counts[key] = counts.get(key, 0) + 1
-        else:
-            x, y = a[s:i], b[t:j]
-            groups.append(",".join(map(str, x)) + "|" + ",".join(map(str, y)))
-            links += len(x) * len(y)
-            for p, m in _numbers(x).items():
-                for q, n in _numbers(y).items():
-                    key = p * PAIR + q
-                    counts[key] = counts.get(key, 0) + m * n
-        s, t = i, j
-    return Window((";".join(groups), len(groups), links, struct.pack(f"<{len(counts)}q", *counts), struct.pack(f"<{len(counts)}q", *counts.values())))
-
-
-def _numbers(ids: tuple[int, ...]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for i in ids:
-        out[i] = out.get(i, 0) + 1
-    return out
+    """(groups as text, each with a ; behind it, number of groups, links, pairs as bytes, links of each pair as bytes)."""
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one run behind the other: starts[0], starts[0] + 1, ..., starts[1], ..."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+def _numbers(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, id, how often) of the distinct ids of each group, by group."""
+    keys, times = np.unique(groups * PAIR + ids, return_counts=True)
+    return keys // PAIR, keys % PAIR, times
+
+
+def align_windows(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, left: Side, right: Side) -> list[Window]:
+    """Windows one behind the other, of n_a and n_b ids; both sides of a window cover the same bytes. A group ends where tokens
+    of both end. All windows are aligned side by side."""
+    end_a, end_b = np.cumsum(left.length[a]), np.cumsum(right.length[b])
+    ends = np.zeros(end_a[-1] + 1, dtype="i1")
+    ends[end_a] = 1
+    ends[end_b] += 2
+    last_a, last_b = ends[end_a] == 3, ends[end_b] == 3
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+    to_a, to_b = np.cumsum(in_a), np.cumsum(in_b)
+
+    text = np.empty(len(a) + len(b), dtype=object)  # a group's ids of a, then those of b
+    text[np.arange(len(a)) + (to_b - in_b)[group_a]] = np.where(last_a, left.last[a], left.inner[a])
+    text[np.arange(len(b)) + to_a[group_b]] = np.where(last_b, right.last[b], right.inner[b])
+    text = text.tolist()
+
+    (of_a, ids_a, times_a), (of_b, ids_b, times_b) = _numbers(group_a, a), _numbers(group_b, b)
+    distinct_b = np.bincount(of_b, minlength=len(in_b))
+    partners = distinct_b[of_a]  # each id of a meets the distinct ids of b in its group
+    meets = spread((np.cumsum(distinct_b) - distinct_b)[of_a], partners)
+    codes = (np.repeat(ids_a, partners) * PAIR + ids_b[meets]).astype("<i8").tobytes()
+    counts = (np.repeat(times_a, partners) * times_b[meets]).astype("<i8").tobytes()
+
+    groups = group_a[np.cumsum(n_a) - 1] + 1  # groups up to the end of each window
+    links = np.cumsum(in_a * in_b)[groups - 1]
+    pairs = 8 * np.cumsum(np.bincount(of_a, weights=partners).astype("i8"))[groups - 1]
+    cuts, n_groups = np.cumsum(n_a + n_b).tolist(), np.diff(groups, prepend=0).tolist()
+    n_links, pairs = np.diff(links, prepend=0).tolist(), pairs.tolist()
+    return [Window(("".join(text[i:j]), n, m, codes[p:q], counts[p:q]))
+            for i, j, n, m, p, q in zip([0, *cuts], cuts, n_groups, n_links, [0, *pairs], pairs)]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, base, dtype="u8"))
+
+
+def equal_windows(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one window of each kind, the kind of each window). Windows are of one kind if their ids are equal: hashes say which may
+    be, then the ids themselves are compared; those of equal hash but other ids become kinds of their own."""
+    place_a, place_b = spread(np.zeros_like(n_a), n_a), spread(np.zeros_like(n_b), n_b)
+    code = np.add.reduceat((a.astype("u8") + 1) * _powers(0x9E3779B97F4A7C15, n_a.max())[place_a], at_a)
+    code ^= np.add.reduceat((b.astype("u8") + 1) * _powers(0xD1B54A32D192ED03, n_b.max())[place_b], at_b)
+    _, one, kind = np.unique(code, return_index=True, return_inverse=True)
+    like = one[kind]
+    same = (n_a == n_a[like]) & (n_b == n_b[like])
+    for ids, at, n, place in ((a, at_a, n_a, place_a), (b, at_b, n_b, place_b)):
+        other = ids[np.minimum(np.repeat(at[like], n) + place, len(ids) - 1)]
+        same &= np.logical_and.reduceat(ids == other, at)
+    odd = np.flatnonzero(~same)
+    kind[odd] = len(one) + np.arange(len(odd))
+    return np.concatenate([one, odd]), kind
 
 
 class Aligner:
     """Both tokenizers and the remembered windows of one Python worker."""
 
     def __init__(self, tokenizer: str, model: str):
-        self.a, self.b = ByteTokens(tokenizer), PieceModel(model, KNOWN_CHUNKS)
-        self.left, self.right = Side(self.a.raw), Side(self.b.raw)
+        self.a, self.b = ByteTokens(tokenizer), PieceTokens(model)
+        self.left, self.right = Side(self.a.raw, "|"), Side(self.b.raw, ";")
         self.known: dict[tuple[bytes, bytes], Window] = {}
         self.older: dict[tuple[bytes, bytes], Window] = {}  # windows known before the memory was full
 
-    def window(self, key: tuple[bytes, bytes]) -> Window:
-        found = self.older.get(key)
-        if found is None:
-            a, b = key
-            found = align_window(struct.unpack(f"<{len(a) // 4}i", a), struct.unpack(f"<{len(b) // 4}i", b), self.left, self.right)
+    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
+        """The ids of both sides; none for a text that is empty or differs from what the ids join to."""
+        if text:
+            one, two, whole = self.a.spaced(text), self.b.ids(text), b" " + text.encode()
+            if self.left.joined(one) == whole and self.right.joined(two) == whole:
+                return one, two
+        return [], []
+
+    def windows(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[Window]:
+        """The aligned windows. Those not remembered are aligned together."""
+        one, two = a.astype("<i4").tobytes(), b.astype("<i4").tobytes()
+        keys = [(one[i:j], two[k:m]) for i, j, k, m in zip(*[(4 * x).tolist() for x in (at_a, at_a + n_a, at_b, at_b + n_b)])]
+        found = list(map(self.known.get, keys))
+        for k in [k for k, w in enumerate(found) if w is None]:
+            found[k] = self.older.get(keys[k])
+            if found[k] is not None:
+                self._remember(keys[k], found[k])
+        missing = [k for k, w in enumerate(found) if w is None]
+        if missing:
+            m = np.array(missing)
+            made = align_windows(a[spread(at_a[m], n_a[m])], b[spread(at_b[m], n_b[m])], n_a[m], n_b[m], self.left, self.right)
+            for k, window in zip(missing, made):
+                found[k] = window
+                self._remember(keys[k], window)
+        return found
+
+    def _remember(self, key: tuple[bytes, bytes], window: Window) -> None:
+        """Keep it in the memory; a full memory becomes the older one."""
         if len(key[0]) + len(key[1]) <= 8 * WINDOW_IDS:
             if len(self.known) >= KNOWN_WINDOWS:
                 self.known, self.older = {}, self.known
-            self.known[key] = found
-        return found
-
-    def align(self, text: str | None, two: bytes | None = None) -> tuple[bytes, bytes, list[Window]]:
-        """The ids of both sides and the aligned windows, in order; nothing for a text that has no tokens. `two` are the ids of
-        the right side, if they are known."""
-        if not text:
-            return b"", b"", []
-        one, two = self.a.spaced(text), self.b.encode(text) if two is None else two
-        a, b = np.frombuffer(one, "<i4"), np.frombuffer(two, "<i4")
-        whole = b" " + text.encode()
-        if self.left.joined(a) != whole or self.right.joined(b) != whole:
-            return b"", b"", []
+            self.known[key] = window
+
+    def align(self, texts: list[str | None]) -> dict[str, list | np.ndarray]:
+        """Per text n_a, n_b, n_groups, n_links, groups, and the distinct pairs with their links, one text's behind the other's
+        (n_pairs of them)."""
+        ids = list(map(self.tokens, texts))
+        sizes_a, sizes_b = (np.array([len(x[k]) for x in ids]) for k in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable([x[k] for x in ids]), "i8", n) for k, n in ((0, sizes_a.sum()), (1, sizes_b.sum())))
+        del ids
+        out = {"n_a": sizes_a, "n_b": sizes_b, "n_groups": np.zeros(len(texts), "i8"), "n_links": np.zeros(len(texts), "i8"),
+               "groups": [""] * len(texts), "n_pairs": np.zeros(len(texts), "i8"), "pairs": np.zeros(0, "i8"), "links": np.zeros(0, "i8")}
+        if not len(a):
+            return out
         len_a, len_b = self.left.length[a], self.right.length[b]
         start_a, start_b = np.cumsum(len_a) - len_a, np.cumsum(len_b) - len_b
-        anchors = np.intersect1d(start_a[self.left.marked[a]], start_b[self.right.marked[b]], assume_unique=True)
-        anchors = anchors[anchors > 0]  # the start of the text is the start of the first window in any case
-        cut_a = [0, *(4 * np.searchsorted(start_a, anchors)).tolist(), len(one)]
-        cut_b = [0, *(4 * np.searchsorted(start_b, anchors)).tolist(), len(two)]
-        keys = [(one[i:s], two[j:t]) for i, s, j, t in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        windows = list(map(self.known.get, keys))
-        return one, two, [self.window(k) if w is None else w for k, w in zip(keys, windows)] if None in windows else windows
+        full = np.flatnonzero(sizes_a)  # texts with tokens; each starts a window
+        anchors = np.zeros(len_a.sum(), dtype="i1")
+        anchors[start_a[self.left.marked[a]]] = 1
+        anchors[start_b[self.right.marked[b]]] += 2
+        anchors[start_a[(np.cumsum(sizes_a) - sizes_a)[full]]] = 3
+        at_a, at_b = np.flatnonzero(anchors[start_a] == 3), np.flatnonzero(anchors[start_b] == 3)
+        n_a, n_b = np.diff(at_a, append=len(a)), np.diff(at_b, append=len(b))
+        one, kind = equal_windows(a, b, at_a, at_b, n_a, n_b)
+        kinds = self.windows(a, b, at_a[one], at_b[one], n_a[one], n_b[one])
+
+        text_of = np.repeat(np.arange(len(texts)), sizes_a)[at_a]  # of each window
+        first = np.searchsorted(text_of, full)
+        for name, k in (("n_groups", 1), ("n_links", 2)):
+            out[name][full] = np.add.reduceat(np.array([w[k] for w in kinds])[kind], first)
+        groups = np.array([w[0] for w in kinds], dtype=object)[kind].tolist()
+        for t, i, j in zip(full.tolist(), first.tolist(), [*first[1:].tolist(), len(groups)]):
+            out["groups"][t] = "".join(groups[i:j])[:-1]
+
+        n_pairs = np.array([len(w[3]) // 8 for w in kinds])
+        held = spread((np.cumsum(n_pairs) - n_pairs)[kind], n_pairs[kind])
+        codes = np.frombuffer(b"".join([w[3] for w in kinds]), "<i8")[held]
+        links = np.frombuffer(b"".join([w[4] for w in kinds]), "<i8")[held]
+        owner = np.repeat(text_of, n_pairs[kind])
+        order = np.lexsort((codes, owner)) if len(texts) * len(self.left.raw) * len(self.right.raw) >= 1 << 63 else np.argsort(
+            (owner * len(self.left.raw) + codes // PAIR) * len(self.right.raw) + codes % PAIR)
+        codes, owner = codes[order], owner[order]
+        new = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])]))
+        out["pairs"], out["links"] = codes[new], np.add.reduceat(links[order], new)
+        out["n_pairs"] = np.bincount(owner[new], minlength=len(texts))
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -184,20 +264,11 @@ def align(docs: DataFrame, tokenizer: str | None = None, model: str | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(tokenizer, model)
         for batch in slices(batches, "text"):
-            rows, pairs, links = [], [], []
-            texts = batch.column("text").to_pylist()
-            for text, ids in zip(texts, aligner.b.encode_all(texts)):
-                one, two, windows = aligner.align(text, ids)
-                codes = np.frombuffer(b"".join([w[3] for w in windows]), "<i8")
-                counts = np.frombuffer(b"".join([w[4] for w in windows]), "<i8")
-                distinct, at = np.unique(codes, return_inverse=True)
-                pairs.append(distinct)
-                links.append(np.bincount(at, weights=counts, minlength=len(distinct)).astype("int64") if len(codes) else codes)
-                rows.append((len(one) // 4, len(two) // 4, sum([w[1] for w in windows]), sum([w[2] for w in windows]), ";".join([w[0] for w in windows])))
-            ends = pa.array(np.cumsum([0] + [len(p) for p in pairs]).astype("int32"))
-            flat = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c or [np.zeros(0, "int64")]))) for c in (pairs, links)]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64()] * 4 + [pa.string()])]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns, *flat], names=schema.names)
+            out = aligner.align(batch.column("text").to_pylist())
+            ends = pa.array(np.cumsum([0, *out["n_pairs"]]).astype("int32"))
+            numbers = [pa.array(out[n], pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(out[n], pa.int64())) for n in ("pairs", "links")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *numbers, pa.array(out["groups"], pa.string()), *lists], names=schema.names)
 
     source = only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, schema)
