@@ -4,7 +4,7 @@ Both tokenizers encode the whole text. Byte offsets of all tokens follow from th
 checked. Where a space-marked token of one and a space-marked token of the other start at the same offset, all tokens before
 end there too, so the offset is a shared end: an anchor. Anchors cut a document into windows, pairs of tuples of token ids.
 A window's alignment (the groups between its shared ends) depends on its ids alone: of the windows with equal id tuples in a
-slice of texts one is kept, looked up in the worker's memory, and aligned if it is new, all new ones side by side.
+slice of texts one is kept, and all new ones are aligned side by side. A worker remembers those that came up more than once in a slice.
 
 The corpus-wide part counts, for each pair of ids, the documents that hold it linked. Documents keep their distinct pairs
 with their numbers of links; pairs are counted with map-side combining and join back to the documents' pairs, as a broadcast
@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +91,25 @@ class Side:
         return b"".join(map(self.raw.__getitem__, ids))
 
 
-class Window(tuple):
-    """(groups as text, each with a ; behind it, number of groups, links, pairs as bytes, links of each pair as bytes)."""
+class Window(NamedTuple):
+    """An alignment that is remembered: its groups as text, each with a ; behind it, and its pairs as left * PAIR + right."""
+
+    text: str
+    groups: int
+    links: int
+    pairs: np.ndarray
+    times: np.ndarray  # links of each pair
+
+
+class Windows(NamedTuple):
+    """Many alignments: `pairs` and `times` of all windows stand one window's behind the other's, n_pairs of each."""
+
+    text: list[str]
+    groups: np.ndarray
+    links: np.ndarray
+    n_pairs: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -106,7 +124,7 @@ def _numbers(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys // PAIR, keys % PAIR, times
 
 
-def align_windows(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, left: Side, right: Side) -> list[Window]:
+def align_windows(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, left: Side, right: Side) -> Windows:
     """Windows one behind the other, of n_a and n_b ids; both sides of a window cover the same bytes. A group ends where tokens
     of both end. All windows are aligned side by side."""
     end_a, end_b = np.cumsum(left.length[a]), np.cumsum(right.length[b])
@@ -127,16 +145,13 @@ def align_windows(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray
     distinct_b = np.bincount(of_b, minlength=len(in_b))
     partners = distinct_b[of_a]  # each id of a meets the distinct ids of b in its group
     meets = spread((np.cumsum(distinct_b) - distinct_b)[of_a], partners)
-    codes = (np.repeat(ids_a, partners) * PAIR + ids_b[meets]).astype("<i8").tobytes()
-    counts = (np.repeat(times_a, partners) * times_b[meets]).astype("<i8").tobytes()
+    pairs, times = np.repeat(ids_a, partners) * PAIR + ids_b[meets], np.repeat(times_a, partners) * times_b[meets]
 
-    groups = group_a[np.cumsum(n_a) - 1] + 1  # groups up to the end of each window
-    links = np.cumsum(in_a * in_b)[groups - 1]
-    pairs = 8 * np.cumsum(np.bincount(of_a, weights=partners).astype("i8"))[groups - 1]
-    cuts, n_groups = np.cumsum(n_a + n_b).tolist(), np.diff(groups, prepend=0).tolist()
-    n_links, pairs = np.diff(links, prepend=0).tolist(), pairs.tolist()
-    return [Window(("".join(text[i:j]), n, m, codes[p:q], counts[p:q]))
-            for i, j, n, m, p, q in zip([0, *cuts], cuts, n_groups, n_links, [0, *pairs], pairs)]
+    groups = group_a[np.cumsum(n_a) - 1] + 1  # groups up to the end of each window; likewise links and pairs
+    links, n_pairs = np.cumsum(in_a * in_b)[groups - 1], np.cumsum(np.bincount(of_a, weights=partners).astype("i8"))[groups - 1]
+    cuts = np.cumsum(n_a + n_b).tolist()
+    texts = ["".join(text[i:j]) for i, j in zip([0, *cuts], cuts)]
+    return Windows(texts, *[np.diff(x, prepend=0) for x in (groups, links, n_pairs)], pairs, times)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -177,30 +192,41 @@ class Aligner:
                 return one, two
         return [], []
 
-    def windows(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[Window]:
-        """The aligned windows. Those not remembered are aligned together."""
+    def windows(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
+                often: np.ndarray) -> tuple[Windows, np.ndarray]:
+        """The alignments, and where among them each window's is. Those of windows that come up `often` are remembered; the ones
+        that are not known are aligned together."""
+        where = np.flatnonzero(often & (n_a + n_b <= WINDOW_IDS))
         one, two = a.astype("<i4").tobytes(), b.astype("<i4").tobytes()
-        keys = [(one[i:j], two[k:m]) for i, j, k, m in zip(*[(4 * x).tolist() for x in (at_a, at_a + n_a, at_b, at_b + n_b)])]
-        found = list(map(self.known.get, keys))
-        for k in [k for k, w in enumerate(found) if w is None]:
-            found[k] = self.older.get(keys[k])
-            if found[k] is not None:
-                self._remember(keys[k], found[k])
-        missing = [k for k, w in enumerate(found) if w is None]
-        if missing:
-            m = np.array(missing)
-            made = align_windows(a[spread(at_a[m], n_a[m])], b[spread(at_b[m], n_b[m])], n_a[m], n_b[m], self.left, self.right)
-            for k, window in zip(missing, made):
-                found[k] = window
+        spans = [(4 * x[where]).tolist() for x in (at_a, at_a + n_a, at_b, at_b + n_b)]
+        keys = {k: (one[i:j], two[m:n]) for k, i, j, m, n in zip(where.tolist(), *spans)}
+        found = {k: w for k, key in keys.items() if (w := self.known.get(key) or self.older.get(key)) is not None}
+        new = np.ones(len(at_a), dtype=bool)
+        new[list(found)] = False
+        new = np.flatnonzero(new)
+        made = align_windows(a[spread(at_a[new], n_a[new])], b[spread(at_b[new], n_b[new])], n_a[new], n_b[new], self.left, self.right) if len(new) else None
+        place = np.zeros(len(at_a), dtype="i8")
+        place[list(found)], place[new] = np.arange(len(found)), len(found) + np.arange(len(new))
+        for k, window in found.items():
+            if keys[k] not in self.known:
                 self._remember(keys[k], window)
-        return found
+        if made:
+            ends = np.cumsum(made.n_pairs)
+            fresh = np.flatnonzero(np.isin(new, where))
+            for m, k, i, j in zip(fresh.tolist(), new[fresh].tolist(), (ends - made.n_pairs)[fresh].tolist(), ends[fresh].tolist()):
+                self._remember(keys[k], Window(made.text[m], int(made.groups[m]), int(made.links[m]), made.pairs[i:j].copy(), made.times[i:j].copy()))
+        if not found:
+            return made, place
+        old = list(found.values())
+        known = Windows([w.text for w in old], *[np.array(x) for x in ([w.groups for w in old], [w.links for w in old], [len(w.pairs) for w in old])],
+                        np.concatenate([w.pairs for w in old]), np.concatenate([w.times for w in old]))
+        return (Windows(known.text + made.text, *[np.concatenate(x) for x in zip(known[1:], made[1:])]) if made else known), place
 
     def _remember(self, key: tuple[bytes, bytes], window: Window) -> None:
         """Keep it in the memory; a full memory becomes the older one."""
-        if len(key[0]) + len(key[1]) <= 8 * WINDOW_IDS:
-            if len(self.known) >= KNOWN_WINDOWS:
-                self.known, self.older = {}, self.known
-            self.known[key] = window
+        if len(self.known) >= KNOWN_WINDOWS:
+            self.known, self.older = {}, self.known
+        self.known[key] = window
 
     def align(self, texts: list[str | None]) -> dict[str, list | np.ndarray]:
         """Per text n_a, n_b, n_groups, n_links, groups, and the distinct pairs with their links, one text's behind the other's
@@ -223,21 +249,19 @@ class Aligner:
         at_a, at_b = np.flatnonzero(anchors[start_a] == 3), np.flatnonzero(anchors[start_b] == 3)
         n_a, n_b = np.diff(at_a, append=len(a)), np.diff(at_b, append=len(b))
         one, kind = equal_windows(a, b, at_a, at_b, n_a, n_b)
-        kinds = self.windows(a, b, at_a[one], at_b[one], n_a[one], n_b[one])
+        kinds, place = self.windows(a, b, at_a[one], at_b[one], n_a[one], n_b[one], np.bincount(kind, minlength=len(one)) > 1)
+        kind = place[kind]
 
         text_of = np.repeat(np.arange(len(texts)), sizes_a)[at_a]  # of each window
         first = np.searchsorted(text_of, full)
-        for name, k in (("n_groups", 1), ("n_links", 2)):
-            out[name][full] = np.add.reduceat(np.array([w[k] for w in kinds])[kind], first)
-        groups = np.array([w[0] for w in kinds], dtype=object)[kind].tolist()
+        out["n_groups"][full], out["n_links"][full] = np.add.reduceat(kinds.groups[kind], first), np.add.reduceat(kinds.links[kind], first)
+        groups = np.array(kinds.text, dtype=object)[kind].tolist()
         for t, i, j in zip(full.tolist(), first.tolist(), [*first[1:].tolist(), len(groups)]):
             out["groups"][t] = "".join(groups[i:j])[:-1]
 
-        n_pairs = np.array([len(w[3]) // 8 for w in kinds])
-        held = spread((np.cumsum(n_pairs) - n_pairs)[kind], n_pairs[kind])
-        codes = np.frombuffer(b"".join([w[3] for w in kinds]), "<i8")[held]
-        links = np.frombuffer(b"".join([w[4] for w in kinds]), "<i8")[held]
-        owner = np.repeat(text_of, n_pairs[kind])
+        n_pairs = kinds.n_pairs[kind]
+        held = spread((np.cumsum(kinds.n_pairs) - kinds.n_pairs)[kind], n_pairs)
+        codes, links, owner = kinds.pairs[held], kinds.times[held], np.repeat(text_of, n_pairs)
         order = np.lexsort((codes, owner)) if len(texts) * len(self.left.raw) * len(self.right.raw) >= 1 << 63 else np.argsort(
             (owner * len(self.left.raw) + codes // PAIR) * len(self.right.raw) + codes % PAIR)
         codes, owner = codes[order], owner[order]
