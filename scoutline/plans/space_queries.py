@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.session import cut_lineage, scratch_path
 from ..operators import commit, space, splits
+from ..sources import versions
 from .bindings import (ACCEPTED, FEED, POINTS, REACTIONS, START_SEED, STARTED, VIEWS, feed, hash_sql, points,
                        reactions, table, views)
 
@@ -280,6 +282,26 @@ def h4(spark, sf):
     return commit.commit_by_id(reactions(spark, sf), edits, ["ts", "event_id"]).select("row_id", "yield")
 
 
+@query("h3_versioned_commit", f"""
+WITH {REACTIONS}, {ACCEPTED}, last AS (
+  SELECT c_0, c_1, c_2, arg_max(a.yield, (ts, event_id)) AS new_yield
+  FROM accepted a JOIN reactions r ON a.row_id = r.row_id GROUP BY c_0, c_1, c_2)
+SELECT r.row_id, r.yield AS before, coalesce(new_yield, r.yield) AS after
+FROM reactions r LEFT JOIN last l ON r.c_0 = l.c_0 AND r.c_1 = l.c_1 AND r.c_2 = l.c_2""")
+def h3_versioned(spark, sf):
+    """A tagged version and the one that commits of the history's halves have made of it, side by side."""
+    root, keys, seq = scratch_path(spark, "versions"), ["c_0", "c_1", "c_2"], ["ts", "event_id"]
+    r = cut_lineage(reactions(spark, sf).select("row_id", *keys, "yield"))
+    versions.create(r, root, keys, n_buckets=64)
+    versions.tag(spark, root, "before")
+    history = cut_lineage(commit.accepted(feed(spark, sf)).join(r.select("row_id", *keys), "row_id").select(*keys, *seq, "yield"))
+    late = F.coalesce(F.col("ts") > history.agg(F.percentile_approx("ts", 0.5)).scalar(), F.lit(False))
+    for batch, part in enumerate([history.where(~late), history.where(late)]):
+        versions.commit_edits(spark, root, part, seq, batch=batch)
+    before = versions.read_version(spark, root, "before").select("row_id", F.col("yield").alias("before"))
+    return before.join(versions.read_version(spark, root).select("row_id", F.col("yield").alias("after")), "row_id")
+
+
 @query("h5_count_known", f"WITH {REACTIONS} SELECT count(*) FILTER (yield > -1) AS n_known FROM reactions")
 def h5(spark, sf):
     return commit.count_known(reactions(spark, sf))

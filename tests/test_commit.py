@@ -5,7 +5,7 @@ import sys
 
 import pytest
 from scoutline.operators import commit
-from scoutline.sources import tables
+from scoutline.sources import tables, versions
 from scoutline.sources.nested import json_elements
 from scoutline.streaming.commit import last_batch, stream_commit, winners
 
@@ -86,6 +86,33 @@ print("rows", entry.queries()["f2_neighbor_counts"](spark, "/root/testdata/sf0.0
     assert "rows" in out.stdout, out.stderr[-2000:]
 
 
+def test_versions_share_the_buckets_that_a_commit_leaves(spark, tmp_path):
+    root = str(tmp_path / "t")
+    space = spark.range(500).selectExpr("id AS row_id", "CAST(id % 100 AS STRING) AS c", "-1.0D AS yield", "1 AS bucket", "'x' AS commit")
+    versions.create(space, root, ["c"], n_buckets=64)
+    files = lambda: {f for folder, _, names in os.walk(f"{root}/data") for f in (os.path.join(folder, n) for n in names) if f.endswith(".parquet")}
+    first = files()
+    versions.tag(spark, root, "start")
+    assert files() == first  # a snapshot copies nothing
+    with pytest.raises(Exception, match="exist"):
+        versions.tag(spark, root, "start")
+    with pytest.raises(ValueError, match="table already"):
+        versions.create(space, root, ["c"])
+    edits = spark.createDataFrame([("7", 1, 10.0), ("7", 2, 20.0), ("9", 1, 30.0), ("none", 1, 1.0), (None, 1, 2.0)], "c string, seq int, yield double")
+    assert [versions.commit_edits(spark, root, edits, ["seq"], batch="b") for _ in range(2)] == [1, 1]  # repeated, committed once
+    assert len({os.path.dirname(f) for f in files() - first}) <= 4 and first <= files()
+    assert versions.commit_edits(spark, root, edits.limit(0), ["seq"]) == 1
+    assert versions.commit_edits(spark, root, edits.where("c = '9'").withColumn("yield", edits["yield"] + 1), ["seq"]) == 2
+    got = {v: {(r.row_id, r["yield"]) for r in versions.read_version(spark, root, v).collect()} for v in ("start", 0, 1, 2, None)}
+    want = [{(i, new.get(i % 100, -1.0)) for i in range(500)} for new in ({}, {7: 20.0, 9: 30.0}, {7: 20.0, 9: 31.0})]
+    assert [got[v] for v in ("start", 0, 1, 2, None)] == [want[0], *want, want[2]]
+    assert versions.read_version(spark, root).columns == space.columns
+    with pytest.raises(ValueError, match="no version 9"):
+        versions.read_version(spark, root, 9)
+    versions.create(space.limit(0), str(tmp_path / "empty"), ["c"])
+    assert versions.read_version(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_snapshots_and_views(spark, tmp_path):
     df = spark.createDataFrame([(0, [1.0], 2.0, "train"), (1, [3.0], 4.0, "test")], "row_id bigint, features array<double>, label double, split string")
     tables.snapshot(df, str(tmp_path / "s"), "t1")
