@@ -131,6 +131,60 @@ def _search(work: DataFrame, open_: dict[int, tuple], first_bins: dict | None =
     return [found[i] for i in range(wanted)]
 
 
+def group_thresholds(df: DataFrame, by: list[str], key: Column, tie: Column, ranks: dict[str, Column]) -> DataFrame:
+    """`thresholds` of many groups and ranks at once: (by, target, key, tie) for each name in `ranks`.
+
+    A rank is an expression over the columns of `by` and `n`, the rows of the group; ranks outside 1..n give no row. Groups are
+    never sorted or brought together, so one may hold all rows. What is searched is a table of ranges, a row for each group and
+    target; each pass joins the rows to the ranges that hold them and counts at most `BINS` bins of each. Ranges of at most
+    `FINISH_ROWS` rows are ranked, each apart from the others. Groups with a null in `by` are left out.
+    """
+    work = cut_lineage(df.select(*by, key.cast("double").alias("_k"), tie.cast("bigint").alias("_t")).where(F.col("_k").isNotNull()))
+    low, high, nan = (F.col("_k") == F.lit(v) for v in EXTREMES)  # values of their own, as nothing lies between them
+    kind = F.when(low, 0).when(high, 2).when(nan, 3).otherwise(1)
+    ends = [F.count("*").alias("_n"), F.min("_k").alias("_k0"), F.max("_k").alias("_k1"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1")]
+    blocks = cut_lineage(work.groupBy(*by, kind.alias("_b")).agg(*ends))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("target"), rank.cast("bigint").alias("_rank")) for name, rank in ranks.items()]))
+    targets = (blocks.groupBy(*by).agg(F.sum("_n").alias("n")).withColumn("_w", wanted)
+               .where(F.col("_w._rank").between(1, F.col("n"))).select(*by, "_w.*"))
+    open_ = cut_lineage(_narrowed(targets, blocks, by))
+    where = ["_k0", "_k1", "_t0", "_t1"]
+    large = (F.col("_n") > FINISH_ROWS) & ((F.col("_k0") < F.col("_k1")) | (F.col("_t0") < F.col("_t1")))
+    while open_.where(large).limit(1).count():
+        wide = open_.where(large)
+        inside = _inside(work, wide.select(*by, *where).distinct(), by)
+        half = F.col("_k1") / 2 - F.col("_k0") / 2
+        key_bin = F.when(half > 0, F.least(F.floor((F.col("_k") / 2 - F.col("_k0") / 2) / half * BINS), F.lit(BINS - 1))).otherwise(
+            F.when(F.col("_k") == F.col("_k0"), 0).otherwise(1))
+        tie_bin = F.call_function("div", F.col("_t") - F.col("_t0"), F.call_function("div", F.col("_t1") - F.col("_t0"), F.lit(BINS)) + 1)
+        bin_ = F.when(F.col("_k0") < F.col("_k1"), key_bin).otherwise(tie_bin)
+        counted = inside.groupBy(*by, *[F.col(c).alias("_of" + c) for c in where], bin_.alias("_b")).agg(*ends)
+        asked = wide.select(*by, "target", "_rank", *[F.col(c).alias("_of" + c) for c in where])
+        open_ = cut_lineage(open_.where(~large).unionByName(_narrowed(asked, counted, [*by, *["_of" + c for c in where]]).select(open_.columns)))
+    last = Window.partitionBy(*by, *where).orderBy("_k", "_t")
+    ranked = _inside(work, open_.select(*by, *where).distinct(), by).withColumn("_rank", F.row_number().over(last).cast("bigint"))
+    return ranked.join(open_, [*by, *where, "_rank"]).select(*by, "target", F.col("_k").alias("key"), F.col("_t").alias("tie"))
+
+
+def _inside(work: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with each of the ranges that hold them; where a range has one key, its ties count too."""
+    r = ranges.select(*[F.col(c).alias("_by" + c) for c in by], "_k0", "_k1", "_t0", "_t1")
+    same = [F.col(c) == F.col("_by" + c) for c in by]
+    held = F.col("_k").between(F.col("_k0"), F.col("_k1")) & ((F.col("_k0") < F.col("_k1")) | F.col("_t").between(F.col("_t0"), F.col("_t1")))
+    on = held
+    for c in same:
+        on = c & on
+    return work.join(r, on).drop(*["_by" + c for c in by])
+
+
+def _narrowed(targets: DataFrame, bins: DataFrame, at: list[str]) -> DataFrame:
+    """The bin that holds each target's rank, and its rank there. A range has few bins, which are summed in order."""
+    upto = F.sum("_n").over(Window.partitionBy(*at).orderBy("_b"))
+    found = targets.join(bins.withColumn("_upto", upto), at)
+    return (found.where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
+            .withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_n")).drop("_upto", "_b", *[c for c in at if c.startswith("_of")]))
+
+
 def _named(col: Column | str, name: str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).alias(name)
 

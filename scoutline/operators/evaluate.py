@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.selection import exact_rank, thresholds
+from ..functions.selection import group_thresholds, thresholds
 from ..functions.session import concurrently, cut_lineage
 from .features import binarize
 
@@ -105,24 +105,32 @@ def representation_report(preds: DataFrame, by: list[str] = ("view", "kind"), ra
                           pred: str = "pred") -> DataFrame:
     """R2, MAE and RMSE of each group with, per ratio, the MAE of its top rows and the counts and F1 at its label threshold.
 
-    Every row is ranked once in each direction within its group (groups are cut into buckets, so one may hold all rows);
-    all ratios are then conditional aggregates.
+    No row is sorted: both cuts of every group and ratio come from `group_thresholds`, and all ratios are then conditional
+    aggregates of one scan. Groups with a null in `by` are left out.
     """
     by = list(by)
     base = cut_lineage(preds.select(*by, "row_id", F.col(label).alias("y"), F.col(pred).alias("pred")))
-    ranked = exact_rank(base, F.col("y"), out="_up", by=by)
-    ranked = cut_lineage(exact_rank(ranked, -F.col("y"), out="_down", by=by))
-    sizes = ranked.groupBy(*by).agg(F.count("*").alias("n"))
-    place = lambda r: F.floor(F.col("n") * F.lit(r))
-    sized = ranked.join(sizes, by)
-    cuts = sized.groupBy(*by).agg(F.first("n").alias("n"), F.array(*[F.struct(
-        F.lit(r).alias("ratio"), F.first(place(r)).cast("bigint").alias("k"), F.max(F.when(F.col("_up") == place(r), F.col("y"))).alias("threshold"),
-        F.avg(F.when(F.col("_down") < place(r), F.abs(F.col("y") - F.col("pred")))).alias("top_mae")) for r in ratios]).alias("cuts")).drop("n")
-    y, p, c = F.col("y"), F.col("pred"), F.col("c.threshold")
-    counts = (ranked.select(*by, "y", "pred").join(cuts, by).withColumn("c", F.explode("cuts")).groupBy(*by, "c")
-              .agg(F.count_if((y > c) & (p > c)).alias("tp"), F.count_if((y < c) & (p < c)).alias("tn"),
-                   F.count_if((y > c) & (p < c)).alias("fn"), F.count_if((y < c) & (p > c)).alias("fp")))
-    return with_f1(counts.select(*by, "c.*", "tp", "tn", "fn", "fp")).join(regression_metrics(base, by, "y", "pred"), by)
+    place = lambda r: F.floor(F.col("n") * F.lit(r)).cast("bigint")
+    ways = F.explode(F.array(F.struct(F.lit(0).alias("_way"), F.col("y").alias("_v")), F.struct(F.lit(1).alias("_way"), (-F.col("y")).alias("_v"))))
+    both = base.select(*by, "row_id", ways.alias("w")).select(*by, "row_id", "w.*")
+    found = cut_lineage(group_thresholds(both, [*by, "_way"], F.col("_v"), F.col("row_id"), {
+        str(i): place(r) + F.when(F.col("_way") == 0, 1).otherwise(0) for i, r in enumerate(ratios)}))
+    up, down = F.col("_way") == 0, F.col("_way") == 1
+    of = lambda way, i, c: F.max(F.when(way & (F.col("target") == str(i)), F.col(c)))
+    cuts = found.groupBy(*by).agg(*[F.struct(of(up, i, "key").alias("threshold"), of(down, i, "key").alias("top"), of(down, i, "tie").alias("last")).alias(f"_c{i}")
+                                    for i in range(len(ratios))])
+    y, p, err = F.col("y"), F.col("pred"), F.abs(F.col("y") - F.col("pred"))
+
+    def row(i: int, r: float) -> Column:
+        c, top, last = F.col(f"_c{i}.threshold"), F.col(f"_c{i}.top"), F.col(f"_c{i}.last")
+        best = (-y < top) | ((-y == top) & (F.col("row_id") <= last))
+        return F.struct(F.lit(r).alias("ratio"), F.floor(F.count("y") * F.lit(r)).cast("bigint").alias("k"), F.max(c).alias("threshold"),
+                        F.avg(F.when(best, err)).alias("top_mae"), F.count_if((y > c) & (p > c)).alias("tp"), F.count_if((y < c) & (p < c)).alias("tn"),
+                        F.count_if((y > c) & (p < c)).alias("fn"), F.count_if((y < c) & (p > c)).alias("fp"))
+
+    counts = (base.join(cuts, by).groupBy(*by).agg(F.array(*[row(i, r) for i, r in enumerate(ratios)]).alias("rows"))
+              .select(*by, F.explode("rows").alias("c")).select(*by, "c.*"))
+    return with_f1(counts).join(regression_metrics(base, by, "y", "pred"), by)
 
 
 def prediction_matrix(preds: DataFrame, series: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,24 @@ def test_catalog_space(spark):
     for mode, group in HALIDE_GROUPS.items():
         held = splits.split_by_group(halides, "h", group).where("split = 'test'").collect()
         assert {r["h"] for r in held} == set(group), mode
+
+
+@pytest.mark.parametrize("finish", [4096, 3, 0])
+def test_grouped_thresholds_equal_sorting_each_group(spark, monkeypatch, finish):
+    monkeypatch.setattr(selection, "FINISH_ROWS", finish)
+    monkeypatch.setattr(selection, "BINS", 8)
+    rng = np.random.default_rng(3)
+    keys = {"hot": [float(v) for v in rng.integers(0, 3, 300)], "wide": [float(v) for v in 10.0 ** rng.uniform(-5, 5, 40)],
+            "odd": [float("inf"), float("-inf"), float("nan"), 1.0, 1.0, -0.0, 0.0, 5e-324, float("nan"), float("inf"), 1e308, -1e308], "one": [2.5]}
+    rows = [(g, 7 * i - 50, v) for g, values in keys.items() for i, v in enumerate(values)] + [("null", 1, None), (None, 2, 1.0)]
+    df = spark.createDataFrame(rows, "g string, row_id bigint, v double")
+    ranks = {f"r{k}": F.lit(k) for k in (0, 1, 2, 3, 5, 9, 11, 12, 150, 301)} | {"half": F.floor(F.col("n") / 2) + 1, "last": F.col("n")}
+    got = {(r.g, r.target): (str(r.key + 0.0), r.tie) for r in selection.group_thresholds(df, ["g"], F.col("v"), F.col("row_id"), ranks).collect()}
+    want = {}
+    for g, values in keys.items():
+        ordered = sorted([(v != v, v if v == v else 0.0, 7 * i - 50) for i, v in enumerate(values)])
+        for name, k in [(f"r{k}", k) for k in (0, 1, 2, 3, 5, 9, 11, 12, 150, 301)] + [("half", len(values) // 2 + 1), ("last", len(values))]:
+            if 1 <= k <= len(values):
+                nan, v, tie = ordered[k - 1]
+                want[g, name] = ("nan" if nan else str(v + 0.0), tie)
+    assert got == want
