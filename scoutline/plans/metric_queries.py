@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bins, evaluate, targets
+from ..operators import bins, evaluate, reduce, targets
 from ..operators.splits import labelled_set
 from .bindings import (GIVEN_PRED, POINTS, REACTIONS, STARTED, VIEWS, given_pred, hash_sql, points, reactions, started_points,
                        table, views)
@@ -349,6 +349,14 @@ def i1(spark, sf):
     return _rounded(bins.hexbin(plane(spark, sf)), "mean")
 
 
+@query("i1_projection")
+def i1_projection(spark, sf):
+    """Hexagon means of the plane that the first two SVD components of all dimensions span."""
+    p = points(spark, sf)
+    flat = reduce.fit_svd(p, 2).transform(p)
+    return _rounded(bins.hexbin(flat.select("row_id", F.col("features")[0].alias("x"), F.col("features")[1].alias("y"), F.col("y").alias("value"))), "mean")
+
+
 @query("i2_extent", f"""
 WITH {_PLANE} SELECT min(x) - 1 AS min_x, max(x) + 1 AS max_x, min(y) - 1 AS min_y, max(y) + 1 AS max_y FROM plane""")
 def i2(spark, sf):

@@ -322,3 +322,23 @@ def test_representation_report_of_one_group_equals_the_single_reports(spark):
             assert got[g, r["ratio"]]["k"] == r["k"] and got[g, r["ratio"]]["top_mae"] == (None if r["mae"] is None else pytest.approx(r["mae"]))
         for r in evaluate.rank_threshold_confusion(own).collect():
             assert [got[g, r["ratio"]][c] for c in ("threshold", "tp", "tn", "fn", "fp")] == [r[c] for c in ("threshold", "tp", "tn", "fn", "fp")]
+
+
+def test_projection_plot_equals_numpy(spark):
+    from scoutline.plans import metric_queries
+    from scoutline.plans.bindings import points
+
+    sf = "/root/testdata/sf0.001"
+    rows = points(spark, sf).collect()
+    x, value = np.array([r["features"] for r in rows]), np.array([r["y"] for r in rows])
+    v = np.linalg.svd(x, full_matrices=False)[2][:2].T
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(2)])
+    flat = x @ v
+    unit = (flat - flat.min(0)) / (flat.max(0) - flat.min(0)) * [50, int(50 / 3 ** 0.5)]
+    near, below = np.rint(unit), np.floor(unit)
+    first = ((unit - near) ** 2 @ [1, 3]) < ((unit - below - 0.5) ** 2 @ [1, 3])
+    want = {}
+    for a, p, q, y in zip(first, near, below, value):
+        want.setdefault((0, *p) if a else (1, *q), []).append(y)
+    got = {(r.lattice, r.i, r.j): (r.n, r["mean"]) for r in metric_queries.Q["i1_projection"](spark, sf).collect()}
+    assert got == {k: (len(v), pytest.approx(np.mean(v), abs=1e-5)) for k, v in want.items()}
