@@ -341,3 +341,19 @@ def test_repaired_turns(spark):
         mine = sorted(steps.get(r.conv_id, []), key=lambda s: s.place)
         assert "".join(s.edit for s in mine) == r.audit
         assert sha("\n".join(f"{s.role}:{s.text}" for s in mine if s.edit != "D")) == r.repaired_sha256
+
+
+@pytest.mark.parametrize("trouble", ["none", "equal hashes", "small memory"])
+def test_alignment_does_not_depend_on_hashes_memory_or_slices(monkeypatch, trouble):
+    texts = ["the cat sat on the mat", None, "", "the mat, the mat", "naïve 日本 \n\n the cat", "x" * 400 + " the cat", " ", "the cat sat on the mat"] * 3
+    whole = alignment.Aligner(packing.default_tokenizer(), piecemodel.default_model()).align(texts)
+    if trouble == "equal hashes":
+        monkeypatch.setattr(alignment, "_powers", lambda base, n: np.zeros(n, dtype="u8"))
+    if trouble == "small memory":
+        monkeypatch.setattr(alignment, "KNOWN_WINDOWS", 2)
+    aligner, slices = alignment.Aligner(packing.default_tokenizer(), piecemodel.default_model()), 5
+    parts = [aligner.align(texts[i:i + slices]) for i in range(0, len(texts), slices)]
+    for name, values in whole.items():
+        assert list(values) == [v for p in parts for v in p[name]], name
+    again = whole["n_pairs"].reshape(3, -1)
+    assert (again == again[0]).all() and whole["groups"][:8] == whole["groups"][8:16]
