@@ -207,3 +207,35 @@ def test_entropy_and_dispatch(spark):
     assert [r["row_id"] for r in recommend(scored, "entropy", 5, 0.0, F.col("score")).orderBy("pick").collect()] == [1, 0]
     with pytest.raises(ValueError):
         recommend(scored, "unknown", 1, 0.0)
+
+
+def test_pairs_leave_a_task_in_pieces(monkeypatch):
+    """What is held of a dense block list is bounded, and nothing of it is lost."""
+    monkeypatch.setattr(coverage, "BLOCK_ROWS", 8)
+    made = []
+
+    def blocks():
+        for k in range(50):
+            made.append(k)
+            yield np.arange(8) + 8 * k, np.arange(8), np.ones((8, 8), bool)
+
+    sizes, seen = [], 0
+    for found in coverage._gathered(blocks()):
+        seen += 1
+        assert len(made) == seen  # the next block has not been measured yet
+        sizes.append(sum(len(i) for i, _ in found))
+    assert max(sizes) <= 64 + 16 and sum(sizes) == 50 * 64
+
+
+def test_pairs_of_several_strips_and_ties(spark, monkeypatch):
+    """A grid whose pairs lie at delta by the thousand, measured a few at a time."""
+    monkeypatch.setattr(coverage, "TILE_ROWS", 64)
+    monkeypatch.setattr(coverage, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(coverage, "CLOSE_PAIRS", 5)
+    rows = [(i, [float(i % 20), float(i // 20)]) for i in range(400)]
+    x = np.array([r[1] for r in rows])
+    want = {(int(i), int(j), 1) for i, j in zip(*np.nonzero(((x[:, None] - x[None]) ** 2).sum(2) < 4.0))}
+    got = [tuple(r) for r in coverage.neighbors(spark.createDataFrame(rows, "row_id bigint, features array<double>"), 2.0).collect()]
+    assert set(got) == want and len(got) == len(want)
+    direct = coverage.within(x, x, 2.0)
+    assert {(int(i), int(j), 1) for i, j in zip(*np.nonzero(direct))} == want
