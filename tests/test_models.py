@@ -342,3 +342,20 @@ def test_projection_plot_equals_numpy(spark):
         want.setdefault((0, *p) if a else (1, *q), []).append(y)
     got = {(r.lattice, r.i, r.j): (r.n, r["mean"]) for r in metric_queries.Q["i1_projection"](spark, sf).collect()}
     assert got == {k: (len(v), pytest.approx(np.mean(v), abs=1e-5)) for k, v in want.items()}
+
+
+def test_fingerprints_equal_the_formula_and_run_on_batches(spark):
+    """Code points beyond the basic plane, short texts and nulls; no nested array expression per text is left in the plan."""
+    texts = [None, "", "ab", "abc", "a\U0001f600bcd\u00e9\x00zz", "abcabc " * 30, "\u65e5\u672c\u8a9e\u30c6"]
+
+    def bits(text):
+        codes = [ord(ch) for ch in text or ""]
+        keys = [((a * 31 + b) % 2 ** 30 * 31 + c) % 2 ** 30 for a, b, c in zip(codes, codes[1:], codes[2:])]
+        return sorted({(k * 2654435761) % 2 ** 32 * 512 >> 32 for k in keys})
+
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, t string")
+    got = df.select("row_id", features.fingerprint("t", 512).alias("b"))
+    assert {r["row_id"]: r["b"] for r in got.collect()} == {i: bits(t) for i, t in enumerate(texts)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "array_distinct" not in plan
+    assert features._set_bits("abcabc", 512, 3, None).tolist() == bits("abcabc")
