@@ -359,3 +359,38 @@ def test_fingerprints_equal_the_formula_and_run_on_batches(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "array_distinct" not in plan
     assert features._set_bits("abcabc", 512, 3, None).tolist() == bits("abcabc")
+
+
+def sparse_rows(rng, rows, width):
+    return [sorted(rng.choice(width, size=int(rng.integers(0, 6)), replace=False).tolist()) for _ in range(rows)]
+
+
+def test_sparse_products_equal_dense_ones():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    slots = sparse_rows(rng, 60, 20)
+    dense = np.array([[float(k in r) for k in range(20)] for r in slots])
+    column = pa.array([[9]] + slots, pa.list_(pa.int32())).slice(1)  # a slice knows where it begins
+    w, total = rng.normal(size=(20, 3)), np.zeros((20, 3))
+    rows = reduce._Sparse.of(column)
+    assert np.allclose(rows.times(w), dense @ w)
+    rows.back(dense @ w, total)
+    assert np.allclose(total, dense.T @ dense @ w)
+
+
+def test_sparse_fits_make_no_iterations_and_no_dense_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    slots = sparse_rows(rng, 80, 12)
+    dense = np.array([[float(k in r) for k in range(12)] for r in slots])
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(slots)], "row_id bigint, slots array<int>")
+    values = np.linalg.svd(dense, compute_uv=False)
+    monkeypatch.setattr(reduce, "_fit", None)  # MLlib's pass per iteration
+    model = reduce.fit_svd_slots(df, 12, 4)
+    assert model.singular_values == pytest.approx(values[:4]) and model.components.shape == (12, 4)
+    out = np.array([r["features"] for r in model.transform_slots(df).orderBy("row_id").collect()])
+    assert np.allclose(out, dense @ model.components)
+    monkeypatch.setattr(reduce, "_blocks", None)
+    wide = reduce.fit_svd_wide(df, 12, 12, col="slots", sparse=True)
+    assert wide.singular_values == pytest.approx(values)
+    assert model.transform_slots(df).columns == ["row_id", "slots", "features"]
