@@ -394,3 +394,18 @@ def test_sparse_fits_make_no_iterations_and_no_dense_blocks(spark, monkeypatch):
     wide = reduce.fit_svd_wide(df, 12, 12, col="slots", sparse=True)
     assert wide.singular_values == pytest.approx(values)
     assert model.transform_slots(df).columns == ["row_id", "slots", "features"]
+
+
+def test_views_are_encoded_in_one_python_pass(spark):
+    """The same columns as one call per column, of one operator in the plan."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=3).tolist(), rng.normal(size=2).tolist()) for i in range(50)], "row_id bigint, x0 array<double>, x1 array<double>")
+    encoders, reps = [cotrain.Encoder.create(3, 5, 4, 1), cotrain.Encoder.create(2, 5, 4, 2)], [rng.normal(size=(3, 3)), rng.normal(size=(3, 2))]
+    got = cotrain.encode_views(df, encoders, reps)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and got.columns == ["row_id", "x0", "x1", "z0", "z1", "q0", "q1"]
+    want = df
+    for v in (0, 1):
+        want = cotrain.cluster_view(cotrain.encode(want, encoders[v], f"x{v}", f"z{v}"), encoders[v], reps[v], f"x{v}", f"q{v}")
+    assert got.orderBy("row_id").collect() == want.select(got.columns).orderBy("row_id").collect()
+    assert cotrain.encode_views(df.where("row_id < 0"), encoders, reps).count() == 0
