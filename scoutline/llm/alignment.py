@@ -4,7 +4,7 @@ Both tokenizers encode the whole text. Byte offsets of all tokens follow from th
 checked. Where a space-marked token of one and a space-marked token of the other start at the same offset, all tokens before
 end there too, so the offset is a shared end: an anchor. Anchors cut a document into windows, pairs of tuples of token ids.
 A window's alignment (the groups between its shared ends) depends on its ids alone: of the windows with equal id tuples in a
-slice of texts one is kept, and all new ones are aligned side by side. A worker remembers those that came up more than once in a slice.
+slice of texts one is kept, and these are aligned side by side. A worker remembers the ids of words that stood between single spaces.
 
 The corpus-wide part counts, for each pair of ids, the documents that hold it linked. Documents keep their distinct pairs
 with their numbers of links; pairs are counted with map-side combining and join back to the documents' pairs, as a broadcast
@@ -32,10 +32,10 @@ from pyspark.sql import types as T
 from ..functions.session import cut_lineage
 from .common import only
 from .packing import Encoder, default_tokenizer
-from .piecemodel import MARK, default_model, slices
+from .piecemodel import MARK, PROBE, default_model, slices
 
-# What a worker remembers, and the ids of the longest window among it: bounds on memory, not on the result.
-KNOWN_WINDOWS, WINDOW_IDS = 60_000, 32
+# What a worker remembers (the ids of windows of one word), and the longest word among it: bounds on memory, not on the result.
+KNOWN_WINDOWS, WORD_CHARS = 300_000, 48
 PAIR = 1 << 32  # a pair of ids as one number: left * PAIR + right
 
 
@@ -44,6 +44,7 @@ class ByteTokens(Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.by_words = self.ids != self.whole_ids  # PATTERN is known to cut before each space
         self.added = []
         model = self.tokenizer.get_vocab(with_added_tokens=False)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,6 +64,9 @@ class ByteTokens(Encoder):
     def spaced(self, text: str) -> list[int]:
         return self.ids(" " + text)
 
+    def words(self, words: list[str]) -> list[list[int]]:
+        return list(map(self.spaced, words))
+
 
 class PieceTokens:
     """Ids of a text under a piece model, which puts a space before it, and the bytes of every id."""
@@ -71,9 +75,14 @@ class PieceTokens:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
-        self.ids = model.encode
+        self.ids, every = model.encode, [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        # If so, a text has the ids of its words: no piece has a space behind another character, and no character is changed.
+        self.by_words = model.normalize(PROBE) == (MARK + PROBE).replace(" ", MARK) and not any(MARK in p.lstrip(MARK) for p in every)
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode()
-                    for i in range(model.get_piece_size()) for p in [model.id_to_piece(i)]]
+                    for i, p in enumerate(every)]
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        return self.ids(words, num_threads=1)
 
 
 class Side:
@@ -91,25 +100,15 @@ class Side:
         return b"".join(map(self.raw.__getitem__, ids))
 
 
-class Window(NamedTuple):
-    """An alignment that is remembered: its groups as text, each with a ; behind it, and its pairs as left * PAIR + right."""
-
-    text: str
-    groups: int
-    links: int
-    pairs: np.ndarray
-    times: np.ndarray  # links of each pair
-
-
 class Windows(NamedTuple):
     """Many alignments: `pairs` and `times` of all windows stand one window's behind the other's, n_pairs of each."""
 
-    text: list[str]
+    text: list[str]  # the groups of each window, each with a ; behind it
     groups: np.ndarray
     links: np.ndarray
     n_pairs: np.ndarray
-    pairs: np.ndarray
-    times: np.ndarray
+    pairs: np.ndarray  # left * PAIR + right
+    times: np.ndarray  # links of each pair
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -176,13 +175,14 @@ def equal_windows(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarr
 
 
 class Aligner:
-    """Both tokenizers and the remembered windows of one Python worker."""
+    """Both tokenizers and the remembered words of one Python worker."""
 
     def __init__(self, tokenizer: str, model: str):
         self.a, self.b = ByteTokens(tokenizer), PieceTokens(model)
         self.left, self.right = Side(self.a.raw, "|"), Side(self.b.raw, ";")
-        self.known: dict[tuple[bytes, bytes], Window] = {}
-        self.older: dict[tuple[bytes, bytes], Window] = {}  # windows known before the memory was full
+        self.by_words = self.a.by_words and self.b.by_words
+        self.place: dict[str, int] = {}  # word -> its number, or -1: a text with this word is encoded whole
+        self.ids_a, self.ids_b, self.size_a, self.size_b = [np.zeros(0, "i8")] * 4  # ids of the words, one word's behind the other's
 
     def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
         """The ids of both sides; none for a text that is empty or differs from what the ids join to."""
@@ -192,49 +192,60 @@ class Aligner:
                 return one, two
         return [], []
 
-    def windows(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
-                often: np.ndarray) -> tuple[Windows, np.ndarray]:
-        """The alignments, and where among them each window's is. Those of windows that come up `often` are remembered; the ones
-        that are not known are aligned together."""
-        where = np.flatnonzero(often & (n_a + n_b <= WINDOW_IDS))
-        one, two = a.astype("<i4").tobytes(), b.astype("<i4").tobytes()
-        spans = [(4 * x[where]).tolist() for x in (at_a, at_a + n_a, at_b, at_b + n_b)]
-        keys = {k: (one[i:j], two[m:n]) for k, i, j, m, n in zip(where.tolist(), *spans)}
-        found = {k: w for k, key in keys.items() if (w := self.known.get(key) or self.older.get(key)) is not None}
-        new = np.ones(len(at_a), dtype=bool)
-        new[list(found)] = False
-        new = np.flatnonzero(new)
-        made = align_windows(a[spread(at_a[new], n_a[new])], b[spread(at_b[new], n_b[new])], n_a[new], n_b[new], self.left, self.right) if len(new) else None
-        place = np.zeros(len(at_a), dtype="i8")
-        place[list(found)], place[new] = np.arange(len(found)), len(found) + np.arange(len(new))
-        for k, window in found.items():
-            if keys[k] not in self.known:
-                self._remember(keys[k], window)
-        if made:
-            ends = np.cumsum(made.n_pairs)
-            fresh = np.flatnonzero(np.isin(new, where))
-            for m, k, i, j in zip(fresh.tolist(), new[fresh].tolist(), (ends - made.n_pairs)[fresh].tolist(), ends[fresh].tolist()):
-                self._remember(keys[k], Window(made.text[m], int(made.groups[m]), int(made.links[m]), made.pairs[i:j].copy(), made.times[i:j].copy()))
-        if not found:
-            return made, place
-        old = list(found.values())
-        known = Windows([w.text for w in old], *[np.array(x) for x in ([w.groups for w in old], [w.links for w in old], [len(w.pairs) for w in old])],
-                        np.concatenate([w.pairs for w in old]), np.concatenate([w.times for w in old]))
-        return (Windows(known.text + made.text, *[np.concatenate(x) for x in zip(known[1:], made[1:])]) if made else known), place
-
-    def _remember(self, key: tuple[bytes, bytes], window: Window) -> None:
-        """Keep it in the memory; a full memory becomes the older one."""
-        if len(self.known) >= KNOWN_WINDOWS:
-            self.known, self.older = {}, self.known
-        self.known[key] = window
+    def _learn(self, words: set[str]) -> None:
+        """Remembers the ids of words, each with a space before it, for which both sides join to just that."""
+        new = words.difference(self.place)
+        if len(self.place) + len(new) > KNOWN_WINDOWS:
+            self.place, new = {}, words
+            self.ids_a, self.ids_b, self.size_a, self.size_b = [np.zeros(0, "i8")] * 4
+        self.place.update(dict.fromkeys(new, -1))
+        new = [w for w in new if 0 < len(w) < WORD_CHARS and not w[0].isspace() and not w[-1].isspace()]
+        if not new:
+            return
+        text = " " + " ".join(new)
+        flat_a, each_b = np.array(self.a.ids(text)), self.b.words(new)
+        first_a = np.flatnonzero(self.left.marked[flat_a])
+        flat_b, size_b = np.fromiter(chain.from_iterable(each_b), "i8"), np.array(list(map(len, each_b)))
+        # A token that starts with a space starts a word, as no word has spaces inside.
+        if len(first_a) == len(new) and self.left.joined(flat_a.tolist()) == self.right.joined(flat_b.tolist()) == text.encode():
+            size_a = np.diff(first_a, append=len(flat_a))
+        else:
+            some = [(w, a, b) for w, a, b in zip(new, self.a.words(new), each_b) if self.left.joined(a) == self.right.joined(b) == b" " + w.encode()]
+            new, each_a, each_b = [[x[k] for x in some] for k in range(3)]
+            flat_a, flat_b = (np.fromiter(chain.from_iterable(x), "i8") for x in (each_a, each_b))
+            size_a, size_b = (np.array(list(map(len, x)), dtype="i8") for x in (each_a, each_b))
+        self.place.update(zip(new, range(len(self.size_a), len(self.size_a) + len(new))))
+        self.ids_a, self.size_a = np.concatenate([self.ids_a, flat_a]), np.concatenate([self.size_a, size_a])
+        self.ids_b, self.size_b = np.concatenate([self.ids_b, flat_b]), np.concatenate([self.size_b, size_b])
+
+    def all_tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """`tokens` of texts, one text's behind the other's, and how many each text has. Neither tokenizer joins what single spaces
+        part, so words are encoded once and remembered. Texts in which a space touches other white space, or with a long word, are
+        encoded whole."""
+        words = [t.split(" ") if t and self.by_words else [] for t in texts]
+        every = set().union(*words)
+        self._learn(every)
+        n_words = list(map(len, words))
+        number = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), "i8", sum(n_words))
+        ends = np.cumsum(n_words).tolist()
+        parts = [number[i:j] for i, j in zip([0, *ends], ends)]
+        whole = [k for k, (t, p) in enumerate(zip(texts, parts)) if t and (not len(p) or p.min() < 0)]
+        ids = [self.tokens(texts[k]) for k in whole]
+        for n, k in enumerate(whole):  # each as one more word
+            parts[k] = np.array([len(self.size_a) + n])
+        number, out = np.concatenate(parts), []
+        for side, (flat, size) in enumerate(((self.ids_a, self.size_a), (self.ids_b, self.size_b))):
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable([x[side] for x in ids]), "i8")])
+            size = np.concatenate([size, np.array([len(x[side]) for x in ids], dtype="i8")])
+            out += [flat[spread((np.cumsum(size) - size)[number], size[number])], np.array([size[p].sum() for p in parts], dtype="i8")]
+        for w in [w for w in every if len(w) >= WORD_CHARS]:
+            del self.place[w]
+        return tuple(out)
 
     def align(self, texts: list[str | None]) -> dict[str, list | np.ndarray]:
         """Per text n_a, n_b, n_groups, n_links, groups, and the distinct pairs with their links, one text's behind the other's
         (n_pairs of them)."""
-        ids = list(map(self.tokens, texts))
-        sizes_a, sizes_b = (np.array([len(x[k]) for x in ids]) for k in (0, 1))
-        a, b = (np.fromiter(chain.from_iterable([x[k] for x in ids]), "i8", n) for k, n in ((0, sizes_a.sum()), (1, sizes_b.sum())))
-        del ids
+        a, sizes_a, b, sizes_b = self.all_tokens(texts)
         out = {"n_a": sizes_a, "n_b": sizes_b, "n_groups": np.zeros(len(texts), "i8"), "n_links": np.zeros(len(texts), "i8"),
                "groups": [""] * len(texts), "n_pairs": np.zeros(len(texts), "i8"), "pairs": np.zeros(0, "i8"), "links": np.zeros(0, "i8")}
         if not len(a):
@@ -249,8 +260,7 @@ class Aligner:
         at_a, at_b = np.flatnonzero(anchors[start_a] == 3), np.flatnonzero(anchors[start_b] == 3)
         n_a, n_b = np.diff(at_a, append=len(a)), np.diff(at_b, append=len(b))
         one, kind = equal_windows(a, b, at_a, at_b, n_a, n_b)
-        kinds, place = self.windows(a, b, at_a[one], at_b[one], n_a[one], n_b[one], np.bincount(kind, minlength=len(one)) > 1)
-        kind = place[kind]
+        kinds = align_windows(a[spread(at_a[one], n_a[one])], b[spread(at_b[one], n_b[one])], n_a[one], n_b[one], self.left, self.right)
 
         text_of = np.repeat(np.arange(len(texts)), sizes_a)[at_a]  # of each window
         first = np.searchsorted(text_of, full)

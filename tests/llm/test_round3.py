@@ -357,3 +357,22 @@ def test_alignment_does_not_depend_on_hashes_memory_or_slices(monkeypatch, troub
         assert list(values) == [v for p in parts for v in p[name]], name
     again = whole["n_pairs"].reshape(3, -1)
     assert (again == again[0]).all() and whole["groups"][:8] == whole["groups"][8:16]
+
+
+def test_alignment_encodes_a_word_once_and_odd_texts_whole(monkeypatch):
+    rng = random.Random(4)
+    bits = ["the", "cat,", "it's", "'s", "a\n\nB", "x▁y", "▁", "naïve", "漢字", "", "\t", "\xa0b", "c ", "\x1cd", "<|endoftext|>", "w" * 60, "\0", "12", "\u0085e", "!"]
+    texts = [None, "", " ", *bits] + [" ".join(rng.choices(bits[:4] if k % 2 else bits, k=rng.randint(1, 9))) for k in range(400)]
+    for bound in (alignment.KNOWN_WINDOWS, 3):
+        monkeypatch.setattr(alignment, "KNOWN_WINDOWS", bound)
+        aligner, sent = alignment.Aligner(packing.default_tokenizer(), piecemodel.default_model()), []
+        for some in (texts, texts[::-1], ["the cat, the cat,"] * 50):
+            want = [aligner.tokens(t) for t in some]
+            if some[0] == "the cat, the cat,":
+                ids = aligner.b.ids
+                monkeypatch.setattr(aligner.b, "ids", lambda x, **how: (sent.extend([x] if isinstance(x, str) else x), ids(x, **how))[1])
+            out = aligner.align(some)
+            assert out["n_a"].tolist() == [len(a) for a, _ in want] and out["n_b"].tolist() == [len(b) for _, b in want]
+            flat = aligner.all_tokens(some)
+            assert flat[0].tolist() == [i for a, _ in want for i in a] and flat[2].tolist() == [i for _, b in want for i in b]
+        assert sum(map(len, sent)) <= 20
