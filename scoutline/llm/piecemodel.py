@@ -28,7 +28,9 @@ import codecs
 import functools
 import re
 from array import array
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Callable, Iterator, Mapping
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,7 @@ LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]"  # Latin
 PARTS = re.compile(f"{MARK}*{LETTERS}+|{MARK}*(?:(?!{LETTERS})[^{MARK}])+|{MARK}+").findall
 # What a worker remembers, and how many texts it takes at once: bounds on memory, not on the result.
 KNOWN_CHUNKS, KNOWN_PARTS, KNOWN_PAIRS, CHUNK_CHARS, TOGETHER, SLICE_CHARS = 250_000, 100_000, 300_000, 48, 20_000, 1_000_000
+PAIR_BITS = 18  # pairs that are looked up side by side
 SEPARATOR = "\0"
 PROBE = " Ａ́  ﬁ "  # a text that every normalizer but the identity changes
 
@@ -57,6 +60,43 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Recent:
+    """What was found lately by key: at most `bound` values, and as many from before the memory was last full."""
+
+    def __init__(self, bound: int):
+        self.bound, self.now, self.older = bound, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.now)
+
+    def missing(self, keys: set) -> set:
+        """The keys without a value. Values that were older are recent again."""
+        unknown = keys.difference(self.now)
+        again = {k for k in unknown if k in self.older}
+        if again:
+            of = self.older.__getitem__
+            self.remember(dict(zip(again, map(of, again))))
+            unknown -= again
+        return unknown
+
+    def remember(self, new: dict) -> None:
+        if len(self.now) + len(new) > self.bound:
+            self.now, self.older = dict(islice(new.items(), self.bound)), self.now
+        else:
+            self.now.update(new)
+
+    def recall(self, keys: set[str], make: Callable[[set[str]], dict], longest: int) -> Mapping:
+        """The values of all keys, and maybe of others: remembered, or else made. Keys of `longest` characters or more are not remembered."""
+        now, older = self.now, self.older
+        made = make(self.missing(keys))
+        short = {k: v for k, v in made.items() if len(k) < longest}
+        self.remember(short)
+        if self.now is now and len(short) == len(made):
+            return now
+        every = ChainMap(made, self.now, now, older)  # the memory became full meanwhile, or there is more than it takes
+        return {k: every[k] for k in keys}
+
+
 class PieceModel:
     """Vocabulary of a model file, and the ids of the chunks met so far as little-endian 32-bit bytes."""
 
@@ -64,7 +104,6 @@ class PieceModel:
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
-        self.bound = chunks or KNOWN_CHUNKS
         model = SentencePieceProcessor(model_file=path)
         if model.normalize(PROBE) != (MARK + PROBE).replace(" ", MARK):
             raise ValueError(f"{path} changes texts before it merges")
@@ -89,14 +128,17 @@ class PieceModel:
         self.alphabet = {p for p in self.id_of if len(p) == 1 and p != SEPARATOR}
         self.finder = ahocorasick.Automaton()
         for p, i in self.id_of.items():
-            self.finder.add_word(p, i)
+            if len(p) > 1:
+                self.finder.add_word(p, i)
         self.finder.make_automaton()
+        self.single = np.full(max(map(ord, self.alphabet), default=0) + 1, -1, dtype="i8")  # code point -> id
+        self.single[list(map(ord, self.alphabet))] = [self.id_of[c] for c in self.alphabet]
         if max(self.sizes[i] for i in self.id_of.values()) > 31 or any(SEPARATOR in p for p in self.id_of):
             raise ValueError(f"{path} has pieces too long for a bit mask of lengths, or pieces with a zero byte")
         self.stable: dict[int, bool] = {}  # id of a piece * 2^32 + id of the next one: do they fit?
-        self.known: dict[str, bytes] = {}  # what follows the mark of a chunk -> ids
-        self.older: dict[str, bytes] = {}  # the same from before the memory was full
-        self.parts: dict[str, bytes] = {}  # parts of chunks, between letters and other characters
+        self.pair, self.pair_fits = np.full(1 << PAIR_BITS, -1 << 62, dtype="i8"), np.zeros(1 << PAIR_BITS, dtype=bool)  # some of `stable`, by hash
+        self.known = Recent(chunks or KNOWN_CHUNKS)  # what follows the mark of a chunk -> ids
+        self.parts = Recent(KNOWN_PARTS)  # parts of chunks, between letters and other characters -> ids
 
     def merged(self, text: str) -> list[str]:
         """The model's merges replayed over a text of a few characters."""
@@ -150,33 +192,20 @@ class PieceModel:
             ids = [i for p, known in zip(pieces, ids) for i in ([known] if known is not None else [self.byte_id[b] for b in p.encode()])]
         return array("i", ids).tobytes()
 
-    def _remember(self, rest: str, ids: bytes) -> bytes:
-        if len(rest) < CHUNK_CHARS:
-            if len(self.known) >= self.bound:
-                self.known, self.older = {}, self.known
-            self.known[rest] = ids
-        return ids
-
-    def _new(self, rest: str) -> bytes:
-        ids = self.older.get(rest)
-        if ids is None:
-            ids = b"".join(map(self.ids_of, PARTS(MARK + rest))) if self.has_chunks else self.ids_of(MARK + rest)
-        return self._remember(rest, ids)
-
-    def learn(self, texts: list[str | None]) -> list[list[str]]:
-        """The chunks of texts. Those not remembered are encoded together first: their parts, each once, side by side."""
-        chunks = [self.chunks_of(t) for t in texts]
-        unknown = set().union(*chunks) - self.known.keys() - self.older.keys() if self.has_chunks else ()
-        new = {c: PARTS(MARK + c) for c in unknown if len(c) < CHUNK_CHARS}
-        parts = list({p for ps in new.values() for p in ps if p not in self.parts})
-        if len(self.parts) + len(parts) > KNOWN_PARTS:
-            self.parts.clear()
-            parts = list({p for ps in new.values() for p in ps})
-        for k in range(0, len(parts), TOGETHER):
-            self.parts.update(self._side_by_side(parts[k:k + TOGETHER]))
-        for chunk, ps in new.items():
-            self._remember(chunk, b"".join([self.parts[p] for p in ps]))
-        return chunks
+    def _ids_of_parts(self, parts: set[str]) -> dict[str, bytes]:
+        every, out = list(parts), {}
+        for k in range(0, len(every), TOGETHER):
+            out |= self._side_by_side(every[k:k + TOGETHER])
+        return out
+
+    def _ids_of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of chunks: their parts, each once, side by side."""
+        split = {c: PARTS(MARK + c) for c in chunks if len(c) < CHUNK_CHARS} if self.has_chunks else {}
+        of = self.parts.recall(set(chain.from_iterable(split.values())), self._ids_of_parts, CHUNK_CHARS).__getitem__
+        out = {c: of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps)) for c, ps in split.items()}
+        for c in chunks - out.keys():
+            out[c] = b"".join(map(self.ids_of, PARTS(MARK + c))) if self.has_chunks else self.ids_of(MARK + c)
+        return out
 
     def _side_by_side(self, texts: list[str]) -> dict[str, bytes]:
         """Text -> ids. `split` for many texts at once: each step of the search is one step for all of them."""
@@ -185,14 +214,19 @@ class PieceModel:
         texts = [t for t in texts if t not in out]
         if not texts:
             return out
-        found = np.fromiter(self.finder.iter(SEPARATOR.join(texts)), dtype=[("end", "i8"), ("id", "i4")])
-        start = found["end"] + 1 - self.size[found["id"]]
-        order = np.lexsort((-found["end"], start))  # the longest piece of each place first
-        ids, ends = found["id"][order], found["end"][order] + 1
+        joined = SEPARATOR.join(texts)
+        found = np.fromiter(self.finder.iter(joined), dtype=[("end", "i8"), ("id", "i8")])
+        size = self.size[found["id"]]
+        alone = self.single[np.frombuffer(joined.encode("utf-32-le"), "<u4")]  # pieces of one character
+        places = np.flatnonzero(alone >= 0)
+        # Sorted by place, the longest piece of each place first: place, 31 - size and id in one number.
+        order = np.sort(np.concatenate([(((found["end"] + 1 - size) << 5 | (31 - size)) << 32) | found["id"], (places << 5 | 30) << 32 | alone[places]]))
+        ids, start = order & 0xFFFFFFFF, order >> 37
+        ends = start + 31 - (order >> 32 & 31)
         sizes = np.array([len(t) for t in texts])
         at = np.cumsum(sizes + 1) - sizes - 1
         stop = at + sizes
-        first = np.searchsorted(start[order], np.arange(stop[-1] + 2))  # place -> its longest piece
+        first = np.searchsorted(start, np.arange(stop[-1] + 2))  # place -> its longest piece
         failed = np.zeros(stop[-1] + 2, dtype=bool)
         stack = np.zeros((len(texts), sizes.max() + 1), dtype="i4")  # per text the pieces taken; column 0 is none
         taken = np.zeros(len(texts), dtype="i4")
@@ -229,11 +263,20 @@ class PieceModel:
 
     def _fit(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """`fits` for arrays of ids; -1 before the first piece."""
-        keys, at = np.unique((before.astype("i8") << 32) | after, return_inverse=True)
-        known = self.stable
-        if len(known) > KNOWN_PAIRS:
-            known.clear()
-        return np.array([known[k] if k in known else self._fits(k) for k in keys.tolist()], dtype=bool)[at]
+        keys = (before << 32) | after
+        slots = ((keys.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype("i8")
+        out = self.pair_fits[slots]
+        other = np.flatnonzero(self.pair[slots] != keys)
+        if len(other):
+            known = self.stable
+            if len(known) > KNOWN_PAIRS:
+                known.clear()
+            each, at = np.unique(keys[other], return_inverse=True)
+            out[other] = np.array([known[k] if k in known else self._fits(k) for k in each.tolist()], dtype=bool)[at]
+            _, one = np.unique(slots[other], return_index=True)
+            put = other[one]
+            self.pair[slots[put]], self.pair_fits[slots[put]] = keys[put], out[put]
+        return out
 
     def _fits(self, key: int) -> bool:
         before, piece = key >> 32, self.pieces[key & 0xFFFFFFFF]
@@ -251,16 +294,12 @@ class PieceModel:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 32-bit bytes."""
-        return self._joined(self.chunks_of(text))
+        return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        return list(map(self._joined, self.learn(texts)))
-
-    def _joined(self, chunks: list[str]) -> bytes:
-        ids = list(map(self.known.get, chunks))
-        if None in ids:
-            ids = [self._new(c) if i is None else i for c, i in zip(chunks, ids)]
-        return b"".join(ids)
+        chunks = list(map(self.chunks_of, texts))
+        of = self.known.recall(set().union(*chunks), self._ids_of_chunks, CHUNK_CHARS).__getitem__
+        return [b"".join(map(of, c)) for c in chunks]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes in a row are read as UTF-8 (each byte that is none becomes U+FFFD), and of a space that
@@ -268,7 +307,9 @@ class PieceModel:
         parts = list(map(self.surface.__getitem__, ids))
         k = next((k for k, i in enumerate(ids) if i not in self.control), None)
         own = k is not None and self.raw[ids[k]].startswith(b" ") and ids[k] not in self.byte_of and ids[k] not in self.unknown
-        if None in parts:
+        try:
+            text = "".join(parts)
+        except TypeError:  # there are bytes among them
             out, run = [], bytearray()
             for i, part in zip(ids, parts):
                 if part is None:
@@ -278,8 +319,7 @@ class PieceModel:
                     run.clear()
                 else:
                     out.append(part)
-            parts = [*out, run.decode("utf-8", "each byte")]
-        text = "".join(parts)
+            text = "".join([*out, run.decode("utf-8", "each byte")])
         return text[1:] if own else text
 
 

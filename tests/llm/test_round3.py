@@ -376,3 +376,14 @@ def test_alignment_encodes_a_word_once_and_odd_texts_whole(monkeypatch):
             flat = aligner.all_tokens(some)
             assert flat[0].tolist() == [i for a, _ in want for i in a] and flat[2].tolist() == [i for _, b in want for i in b]
         assert sum(map(len, sent)) <= 20
+
+
+def test_parts_from_before_the_memory_was_full_are_not_encoded_anew(monkeypatch):
+    monkeypatch.setattr(piecemodel, "KNOWN_PARTS", 8)
+    small, sent = piecemodel.PieceModel(piecemodel.default_model()), []
+    side_by_side = small._side_by_side
+    monkeypatch.setattr(small, "_side_by_side", lambda parts: (sent.extend(parts), side_by_side(parts))[1])
+    for text, new in (("one, two, three,", {"▁one", "▁two", "▁three", ","}), ("four five six seven eight", {"▁four", "▁five", "▁six", "▁seven", "▁eight"}), ("one. two. three.", {"."})):
+        sent.clear()
+        assert np.frombuffer(small.encode(text), "<i4").tolist() == library().encode(text)
+        assert set(sent) == new
