@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from scoutline.functions import sums
@@ -409,3 +410,40 @@ def test_views_are_encoded_in_one_python_pass(spark):
         want = cotrain.cluster_view(cotrain.encode(want, encoders[v], f"x{v}", f"z{v}"), encoders[v], reps[v], f"x{v}", f"q{v}")
     assert got.orderBy("row_id").collect() == want.select(got.columns).orderBy("row_id").collect()
     assert cotrain.encode_views(df.where("row_id < 0"), encoders, reps).count() == 0
+
+
+def test_large_forests_are_grown_by_fits_side_by_side(spark, monkeypatch):
+    """All trees, each fit over the same written rows, `pred` the mean over all trees; few rows stay one fit."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 3))
+    df = spark.createDataFrame([(i, v.tolist(), float(v[0] * 3 + v[1])) for i, v in enumerate(x)], "row_id bigint, features array<double>, y double").repartition(5)
+    fits, fit = [], evaluate.RandomForestRegressor.fit
+
+    def recorded(self, train):
+        model = fit(self, train)
+        fits.append((self.getNumTrees(), self.getSeed(), train.rdd.getNumPartitions(), train.count(), model, self))
+        return model
+
+    monkeypatch.setattr(evaluate.RandomForestRegressor, "fit", recorded)
+    known = F.col("row_id") % 2 == 0
+    assert evaluate.fit_predict_rf(df, known, seed=1, trees=25).columns == ["row_id", "features", "y", "pred"]
+    assert [f[0] for f in fits] == [25]
+
+    fits.clear()
+    monkeypatch.setattr(evaluate, "FOREST_ROWS", 100)
+    monkeypatch.setattr(evaluate, "ROWS_A_TASK", 70)
+    got = evaluate.fit_predict_rf(df, known, seed=1, trees=25)
+    assert got.columns == ["row_id", "features", "y", "pred"] and got.count() == 240
+    assert sorted(f[0] for f in fits) == [8, 8, 9] and len({f[1] for f in fits}) == 3
+    assert all(f[2] == 2 and f[3] == 120 and f[5].getMaxDepth() == 30 and f[5].getFeatureSubsetStrategy() == "all" for f in fits)
+    pred = {r["row_id"]: r["pred"] for r in got.collect()}
+    trees = [t for f in fits for t in f[4].trees]
+    vector = lambda i: Vectors.dense(x[i].tolist())
+    assert len(trees) == 25 and all(pred[i] == pytest.approx(np.mean([t.predict(vector(i)) for t in trees])) for i in range(0, 240, 40))
+    assert evaluate.regression_metrics(got.where(~known)).first()["r2"] > 0.8
+    again = {r["row_id"]: r["pred"] for r in evaluate.fit_predict_rf(df.repartition(3, "y"), known, seed=1, trees=25).collect()}
+    assert again == pytest.approx(pred)
+
+    fits.clear()
+    evaluate.fit_predict_rf(df, known, seed=1, trees=evaluate.TREES_AT_ONCE)
+    assert [f[0] for f in fits] == [10]
