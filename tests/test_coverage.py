@@ -239,3 +239,40 @@ def test_pairs_of_several_strips_and_ties(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want)
     direct = coverage.within(x, x, 2.0)
     assert {(int(i), int(j), 1) for i, j in zip(*np.nonzero(direct))} == want
+
+
+def test_strips_are_counted_as_arrow_batches(spark, monkeypatch):
+    """The counting step is one grouping of both sides, without a cogroup through pandas, and right when a strip comes in many batches."""
+    monkeypatch.setattr(coverage, "TILE_ROWS", 64)
+    monkeypatch.setattr(coverage, "BLOCK_ROWS", 16)
+    rows = clouds(3, 300)
+    df, x = frame(spark, rows), np.array([r[1] for r in rows])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = coverage.index_points(df, 1.5)
+        weights = coverage.neighbor_weights(index.points, index.points, index)
+        got = {r["pid"]: r["n_within"] for r in weights.collect()}
+        near = index.points.select(F.lit(3).alias("block"), "pid", "features")
+        losses = coverage._losses(near, index.points.select("pid", "features", "weight"), 1.5, 3)
+        lost = {r["pid"]: (r["block"], r["m"]) for r in losses.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    within = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) < 1.5).sum(1)
+    want = {r[0]: n for r, n in zip(rows, within.tolist()) if r[0] in got}
+    assert got == want and len(got) == len({tuple(r[1]) for r in rows}) and lost == {pid: (3, n) for pid, n in want.items()}
+    for step in (weights, losses):
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "CoGroups" not in plan
+
+
+def test_a_block_is_measured_in_place():
+    """Two matrices of a block's size and the answer at a time, not three."""
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(512, 8))
+    tracemalloc.start()
+    hit = coverage.within(x, x, 3.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 8 * 512 * 512
+    assert (hit == (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) < 3.0)).all()
